@@ -637,7 +637,7 @@ def report_order(spark: SparkSession, d: str) -> DataFrame:
     p = F.substring("o_orderpriority", 1, 1)
     level = F.when(p == "1", "high").when(p == "2", "medium").when(p == "3", "low").otherwise("watch")
     rows = table(spark, d, "orders").select("o_orderkey", level.alias("level"), (F.floor("o_totalprice") % 11).alias("score"), F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("effective_date"), F.col("o_orderkey").alias("pos"))
-    return ordered(rows).select("o_orderkey", "place")
+    return ordered(rows).select("o_orderkey", F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT 'orders' AS report, 'o' || o_orderkey AS location, 'total must be under 250000' AS message FROM orders WHERE o_totalprice >= 250000
@@ -667,9 +667,9 @@ def contract_violations(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("report").join(found, "report", "left").groupBy(F.coalesce("kind", F.lit("ok")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_nationkey, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9500)""")
+@query("""SELECT n_nationkey, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900)""")
 def scope_without_ledger(spark: SparkSession, d: str) -> DataFrame:
-    rich = table(spark, d, "customer").filter("c_acctbal > 9500").select(F.col("c_nationkey").alias("n_nationkey")).distinct()
+    rich = table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey")).distinct()
     return table(spark, d, "nation").join(rich, "n_nationkey", "left_anti").select("n_nationkey", "n_name")
 
 
