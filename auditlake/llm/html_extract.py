@@ -61,9 +61,9 @@ CHROME = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEGATED = frozenset("no has with without not is".split())
 
-SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)>")
+SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)>")
 TAG = re.compile(
-    r"<(/?)([a-zA-Z][^\s/>]*)"
+    r"<(/?)([a-zA-Z][^\s/>]*+)"
     r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+)*+)>"
 )
 ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")

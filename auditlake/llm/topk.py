@@ -101,7 +101,8 @@ class Best:
             good = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
             scores, ids = scores[good], ids[good]
         scores, ids = np.concatenate((self.scores[q], scores)), np.concatenate((self.ids[q], ids))
-        order = np.lexsort((ids, -scores))[: self.k] if scores.min() > -_TOP else np.array(sorted(range(len(scores)), key=lambda i: (-int(scores[i]), int(ids[i]))))[: self.k]
+        # ~x falls as x rises and, unlike -x, holds for every long
+        order = np.lexsort((ids, ~scores))[: self.k]
         self.scores[q], self.ids[q] = scores[order], ids[order]
 
 
