@@ -111,7 +111,7 @@ def event_rules(reports: DataFrame) -> DataFrame:
     rows = rows.withColumn("again", F.row_number().over(order) > 1)
     e, dot = F.col("item"), F.col("dot")
     at = lambda n: F.concat(dot, F.lit(n))
-    points = get(e, "score", "long")
+    points = F.when(kind_of(e, "score") == "BIGINT", get(e, "score", "long"))
     parts = [get(e, f"score_breakdown.{d}", "long") for d in K.BREAKDOWN]
     kinds = [kind_of(e, f"score_breakdown.{d}") for d in K.BREAKDOWN]
     whole = F.lit(True)
