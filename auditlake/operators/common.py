@@ -16,6 +16,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Pairs over all tasks, before a costly function: a few bytes of pairs can be minutes of work."""
+    spark = pairs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return pairs.repartition(n, *keys)
+
+
 def best_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import ids, score, text, timing, udfs
+from auditlake.operators.common import spread
 from auditlake.operators.graph import components, constrained
 
 
@@ -49,9 +50,14 @@ def lead_links(leads: DataFrame, threshold: float = K.CLUSTER_THRESHOLD) -> Data
 
     goods = F.when((F.size("a.goods") > 0) & (F.size("b.goods") > 0), score.jaccard(F.col("a.goods"), F.col("b.goods"))).otherwise(0.0)
     x, y, z = K.LEAD_WEIGHTS
-    near = a.join(b, ordered & (x * bound("claim") + y * bound("title") + z * goods >= threshold - 1e-9))
-    ratio = lambda n: F.coalesce(udfs.seq_ratio(f"a.{n}", f"b.{n}"), F.lit(0.0))
-    by_text = pick(near, x * ratio("claim") + y * ratio("title") + z * goods)
+    hopeful = ordered & (x * bound("claim") + y * bound("title") + z * goods >= threshold - 1e-9)
+    # known jurisdictions must agree, so those meet by key; only rows without one meet all
+    known = a.join(b, (F.col("a.jurisdiction") == F.col("b.jurisdiction")) & hopeful)
+    loose = a.join(b, (F.col("a.jurisdiction").isNull() | F.col("b.jurisdiction").isNull()) & hopeful)
+    texts = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("pos", "claim", "title")]
+    near = spread(known.select(*texts, goods.alias("g")).union(loose.select(*texts, goods.alias("g"))), "a_pos", "b_pos")
+    near = near.withColumn("c", udfs.seq_ratio("a_claim", "b_claim")).withColumn("t", udfs.seq_ratio("a_title", "b_title"))
+    by_text = near.select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"), (x * F.coalesce("c", F.lit(0.0)) + y * F.coalesce("t", F.lit(0.0)) + z * F.col("g")).alias("similarity"))
     return by_url.union(by_id).union(by_text).filter(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
@@ -119,7 +125,7 @@ def semantic_links(events: DataFrame) -> DataFrame:
     pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.pos") < F.col("b.pos"))).select(F.col("a.pos").alias("x"), F.col("b.pos").alias("y")).distinct()
     pairs = pairs.join(rows.alias("a"), F.col("x") == F.col("a.pos")).join(rows.alias("b"), F.col("y") == F.col("b.pos"))
     filled = lambda n: (F.col(f"a.{n}") != "") & (F.col(f"a.{n}") == F.col(f"b.{n}"))
-    pairs = pairs.withColumn("t", F.coalesce(udfs.seq_ratio("a.title", "b.title"), F.lit(0.0))).withColumn("s", udfs.seq_ratio("a.authority", "b.authority"))
+    pairs = spread(pairs, "x", "y").withColumn("t", F.coalesce(udfs.seq_ratio("a.title", "b.title"), F.lit(0.0))).withColumn("s", udfs.seq_ratio("a.authority", "b.authority"))
     authority = F.coalesce(filled("authority") | (F.col("s") >= 0.9), F.lit(False))
     url = F.coalesce(F.col("a.url") == F.col("b.url"), F.lit(False))
     shared, anchor = F.arrays_overlap("a.identifiers", "b.identifiers"), F.arrays_overlap("a.anchors", "b.anchors")

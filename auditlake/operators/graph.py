@@ -14,7 +14,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Labels shrink to the smallest neighbour's label and then jump to their label's label, so that chains halve.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    edges = cut(edges.select("a", "b"))  # links may be costly to find: once
+    both = cut(edges.union(edges.select("b", "a")).distinct())
     labels = cut(nodes.select("node", F.col("node").alias("component")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
@@ -32,6 +33,7 @@ def constrained(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``nodes``: node, jurisdiction, platform (null if unknown). The order matters, so each plain component replays its own
     edges; components bound what a task holds.
     """
+    edges = cut(edges.select("a", "b"))
     whole = components(nodes.select("node"), edges)
     members = nodes.join(whole, "node").select("component", "node", "jurisdiction", "platform", F.lit(None).cast("long").alias("b"))
     links = edges.join(whole, edges.a == whole.node).select("component", F.col("a").alias("node"), F.lit(None).cast("string").alias("jurisdiction"), F.lit(None).cast("string").alias("platform"), "b")
