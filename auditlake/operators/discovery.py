@@ -56,8 +56,11 @@ def lead_links(leads: DataFrame, threshold: float = K.CLUSTER_THRESHOLD) -> Data
     loose = a.join(b, (F.col("a.jurisdiction").isNull() | F.col("b.jurisdiction").isNull()) & hopeful)
     texts = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("pos", "claim", "title")]
     near = spread(known.select(*texts, goods.alias("g")).union(loose.select(*texts, goods.alias("g"))), "a_pos", "b_pos")
-    near = near.withColumn("c", udfs.seq_ratio("a_claim", "b_claim")).withColumn("t", udfs.seq_ratio("a_title", "b_title"))
-    by_text = near.select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"), (x * F.coalesce("c", F.lit(0.0)) + y * F.coalesce("t", F.lit(0.0)) + z * F.col("g")).alias("similarity"))
+    near = near.withColumn("c", F.coalesce(udfs.seq_ratio("a_claim", "b_claim"), F.lit(0.0)))
+    p, q = F.length("a_title"), F.length("b_title")
+    still = x * F.col("c") + y * F.when((p > 0) & (q > 0), 2 * F.least(p, q) / (p + q)).otherwise(0.0) + z * F.col("g") >= threshold - 1e-9
+    near = near.filter(still).withColumn("t", udfs.seq_ratio("a_title", "b_title"))
+    by_text = near.select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"), (x * F.col("c") + y * F.coalesce("t", F.lit(0.0)) + z * F.col("g")).alias("similarity"))
     return by_url.union(by_id).union(by_text).filter(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
