@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from auditlake.functions import score, text
 
 SECTIONS = {
-    "en": ("Trade report", "Key actions", "Events", "Watch list", "Deduplication", "Coverage", "Gaps"),
-    "zh": ("贸易报告", "重点行动", "事件", "观察清单", "去重", "覆盖", "缺口"),
+    "en": ("Regulatory event report", "Key actions", "Events", "Watch list", "Deduplication", "Coverage", "Gaps"),
+    "zh": ("监管事件报告", "重点行动", "事件", "观察清单", "去重", "覆盖", "缺口"),
 }
 
 
