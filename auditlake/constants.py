@@ -74,3 +74,44 @@ DASHBOARD_HINT = "Check this dashboard through an existing authorized read-only
 GATES = {"minimum_positive_events": 20, "precision": 0.9, "recall": 0.9, "primary_source_rate": 0.95, "date_accuracy": 0.98, "deduplication_accuracy": 0.9, "unsupported_sources": 0}
 SIGNATURE_FIELDS = ("id", "source_url", "published_at", "published_date", "effective_at", "effective_date", "deadline_at", "deadline", "summary")
 XML_LIMIT = 5 * 1024 * 1024
+
+# Fixed values of plans: regions, subject, authorities and routes that a scope without its own has, and the wording of drills.
+DEFAULT_REGIONS = ("China", "United States", "European Union")
+DEFAULT_SUBJECT = "trade customs sanctions tariffs product compliance import ban equipment authorization covered list national security new models"
+AUTHORITIES = {
+    "china": ("Ministry of Commerce", "General Administration of Customs", "State Taxation Administration", "SAMR"),
+    "united states": ("Federal Register", "BIS", "OFAC", "USTR", "CBP", "FCC Covered List"),
+    "european union": ("European Commission", "EUR-Lex", "Access2Markets"),
+}
+AUTHORITY_REGIONS = {"cn": "china", "usa": "united states", "us": "united states", "eu": "european union"}
+MARITIME_AUTHORITIES = (
+    "UK Maritime Trade Operations", "International Maritime Organization", "Joint Maritime Information Center", "Maritime Security Centre Indian Ocean",
+    "U.S. Maritime Administration",
+)
+MARITIME_URLS = (
+    "https://www.ukmto.org/recent-incidents", "https://www.ukmto.org/ukmto-products",
+    "https://www.imo.org/en/mediacentre/hottopics/pages/middle-east-strait-of-hormuz.aspx", "https://www.maritime.dot.gov/msci",
+)
+MARITIME_QUERIES = (
+    "Strait of Hormuz UKMTO vessel attack incident closure reopening safe navigation shipping",
+    "Bab el-Mandeb Red Sea UKMTO vessel attack blockade rerouting shipping",
+    "Suez Canal authority closure grounding congestion transit advisory",
+    "Panama Canal authority restrictions draft congestion transit advisory",
+    "South China Sea Taiwan Strait Black Sea maritime incident port closure shipping advisory",
+    "Maersk CMA CGM Hapag-Lloyd MSC service suspension surcharge rerouting maritime security",
+)
+DRILL_QUERIES = ("official current consolidated text", "amendment corrigendum implementation guidance", "effective date deadline enforcement")
+DRILL_QUESTIONS = (
+    "What is the current operative text, and has it been amended, corrected, superseded, or withdrawn?",
+    "What are the exact publication, effective, transition, expiry, and deadline timestamps and timezones?",
+    "Which jurisdictions, products, HS codes, seller markets, programs, and business models are actually in scope?",
+    "What filing, document, labeling, listing, fulfillment, payment, or account action is required?",
+    "What enforcement consequence applies, and what official implementation guidance exists?",
+    "What material facts changed since the earliest stored sighting?",
+)
+DRILL_POLICY_QUESTION = "Does the platform-owned current policy or account notice confirm the same market and program scope?"
+
+# Fixed values of platform files: kinds, access and roles of routes, and the fields that each file has.
+ROUTE_ROLES = {"official_updates": "discovery", "current_policy": "current_rule", "dashboard": "account_specific"}
+ROUTE_ACCESS = ("public", "authenticated", "mixed")
+PLATFORM_LISTS = ("aliases", "seller_markets", "programs", "dashboard_checks", "applicability_dimensions", "policy_areas", "notes")

@@ -84,4 +84,4 @@ def source_depth(types: Column, all_verified: Column, verified_public: Column) -
 
 
 def numeric_delta(current: Column, previous: Column) -> Column:
-    return F.round(current.cast("double") - previous.cast("double"), 6)
+    return F.round(current.cast("double") - previous.cast("double"), 4)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import score
-from auditlake.operators.common import zero_filled
+from auditlake.operators.common import cut, zero_filled
 
 
 def consensus(reviews: DataFrame) -> DataFrame:
@@ -102,3 +102,83 @@ def compare_reports(current: DataFrame, previous: DataFrame, names: tuple[str, .
     """metric, current, previous and delta of two one-row reports."""
     long = lambda df, n: df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], list(names), "metric", n)
     return long(current, "current").join(long(previous, "previous"), "metric", "full_outer").withColumn("delta", score.numeric_delta(F.col("current"), F.col("previous")))
+
+
+def require_ready(ready: DataFrame) -> None:
+    """Refuses an incremental worksheet (``worksheet.ready``) in which changes still wait for a review."""
+    row = ready.first()
+    if row is None or not row["ready"]:
+        raise ValueError(f"calibration waits for {row['blockers'] if row else 'a worksheet'} unresolved records")
+
+
+def calibrate(reviews: DataFrame, total: int = 20, each: int = 3) -> DataFrame:
+    """One row: counts, agreement, the gate, the current thresholds' figures and, past the gate, the best candidate's.
+
+    Reviews: event_id, reviewer, level, score. All figures come from the consensus' histogram of 44 rows and from counts
+    by event and level.
+    """
+    if min(total, each) < 1:
+        raise ValueError("minimum sample limits must be positive")
+    events = consensus(reviews)
+    hist = cut(histogram(events))
+    ranked = grid_search(hist)
+    w, low, m = K.THRESHOLDS
+    shown = lambda df, name: df.select(
+        F.struct("watch", "low", "medium").alias(f"{name}_thresholds"), F.round(F.try_divide(F.col("correct"), F.col("total")), 4).alias(f"{name}_accuracy"),
+        F.col("macro_f1").alias(f"{name}_macro_f1"), (F.col("total") - F.col("correct")).alias(f"{name}_disagreement_count"),
+    )
+    current = shown(ranked.filter((F.col("watch") == w) & (F.col("low") == low) & (F.col("medium") == m)), "current")
+    best = shown(ranked.filter("rank = 1"), "candidate").drop("candidate_disagreement_count")
+    counted = events.agg(F.count("level").alias("consensus_event_count"), F.count_if(F.col("level").isNull()).alias("excluded_conflict_count"), F.sum("n").alias("review_record_count"))
+    levels = zero_filled(hist.groupBy("level").agg(F.sum("n").alias("n")), "level", K.LEVELS)
+    gate = levels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("label_counts"), ((F.sum("n") >= total) & (F.min("n") >= each)).alias("sufficient"))
+    pairs = pair_agreement(reviews)
+    agreed = pairs.select("pairs", F.round(F.try_divide("exact", "pairs"), 4).alias("exact_agreement"), F.round(F.try_divide(F.col("thirds") / 3, F.col("pairs")), 4).alias("weighted_agreement"))
+    out = counted
+    for one in (gate, agreed):
+        out = out.join(F.broadcast(one))  # one row each
+    for one in (current, best):
+        out = out.join(F.broadcast(one), F.lit(True), "left")
+    same = F.col("current_thresholds") == F.col("candidate_thresholds")
+    status = F.when(~F.col("sufficient"), "insufficient_data").when(same, "current_rules_supported").otherwise("candidate_change_requires_review")
+    for c in best.columns:
+        out = out.withColumn(c, F.when(F.col("sufficient"), F.col(c)))
+    return out.withColumn("recommendation_status", status).withColumn("automatic_rule_change_allowed", F.lit(False))
+
+
+#: What decides about thresholds in a calibration.
+DECISIVE = (
+    "consensus_event_count", "label_counts", "current_thresholds", "current_accuracy", "current_macro_f1", "current_disagreement_count", "recommendation_status",
+    "candidate_thresholds", "candidate_accuracy", "candidate_macro_f1",
+)
+
+
+def changed(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Whether two calibrations differ in what decides, and where: decision_relevant_change and fields."""
+    told = lambda df, name: df.select(F.struct(*[(F.to_json(c) if c == "label_counts" else F.col(c)).alias(c) for c in DECISIVE]).alias(name))
+    both = told(current, "c").join(F.broadcast(told(previous, "p")))
+    differ = F.filter(F.array(*[F.when(~F.col(f"c.{c}").eqNullSafe(F.col(f"p.{c}")), F.lit(c)) for c in DECISIVE]), lambda x: x.isNotNull())
+    return both.select(differ.alias("fields")).withColumn("decision_relevant_change", F.size("fields") > 0)
+
+
+# Exit codes of an update by its status.
+UPDATE_EXITS = {"calibration_complete": 0, "human_review_required": 3, "insufficient_calibration_sample": 4}
+
+
+def update(ready: DataFrame, calibration: DataFrame | None, previous: DataFrame | None = None, decided: bool = False) -> dict:
+    """What an update of a calibration comes to: status, exit code and who has to decide about the thresholds.
+
+    ``ready`` is ``worksheet.ready``; ``decided`` says that a human decision on the previous calibration exists.
+    """
+    if not ready.first()["ready"] or calibration is None:
+        status, threshold = "human_review_required", "not_evaluated"
+    else:
+        row = calibration.first()
+        difference = changed(calibration, previous).first() if previous is not None else None
+        if not row["sufficient"]:
+            status, threshold = "insufficient_calibration_sample", "insufficient_data"
+        else:
+            kept = decided and difference is not None and not difference["decision_relevant_change"]
+            supported = row["recommendation_status"] == "current_rules_supported"
+            status, threshold = "calibration_complete", "current_rules_supported" if supported else "previous_human_decision_retained" if kept else "fresh_human_decision_required"
+    return {"status": status, "exit_code": UPDATE_EXITS[status], "threshold_status": threshold, "automatic_threshold_change_allowed": False}

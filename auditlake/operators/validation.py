@@ -333,3 +333,88 @@ def receipt_rules(receipts: DataFrame, tasks: DataFrame) -> DataFrame:
     out = [(F.concat("task_id", F.lit("")), "has no task", F.col("known").isNull())]
     out += [(F.concat("task_id", F.lit(f".{c}")), "differs from its task", F.col("known") & ~F.col(mine.get(c, c)).eqNullSafe(F.col(f"t_{c}"))) for c in same]
     return found(rows, out)
+
+
+KEBAB = r"^[a-z0-9]+(-[a-z0-9]+)*$"
+
+
+def _strings(v: Column, name: str, some: bool = False) -> Column:
+    """Whether a field isn't an array of nonblank strings, and with ``some`` not an empty one."""
+    items = F.try_variant_get(v, f"$.{name}", "array<variant>")
+    good = F.forall(items, lambda x: (F.schema_of_variant(x) == "STRING") & text.nonblank(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))))
+    return ~F.coalesce(good & (F.size(items) > 0 if some else F.lit(True)), F.lit(False))
+
+
+def platform_rules(files: DataFrame) -> DataFrame:
+    """What is wrong with platform files: their fields, routes, declared gaps, and aliases that two platforms claim."""
+    rows = files.select("report", F.try_parse_json("raw").alias("v"))
+    v, kinds = F.col("v"), tuple(K.ROUTE_ROLES)
+    gap = lambda k: F.try_variant_get(v, f"$.source_profile.known_gaps.{k}", "string")
+    routes = F.coalesce(F.try_variant_get(v, "$.official_routes", "array<variant>"), F.array().cast("array<variant>"))
+    has = lambda k: F.exists(routes, lambda r: F.try_variant_get(r, "$.source_type", "string").eqNullSafe(F.lit(k)))
+    at = lambda name: F.lit(name)
+    expected = F.try_variant_get(v, "$.source_profile.expected_source_types", "array<string>")
+    every = F.array_sort(F.array(*[F.lit(k) for k in kinds]))
+    root = [
+        (at("id"), "must be lowercase kebab-case", ~F.coalesce(get(v, "id").rlike(KEBAB), F.lit(False))),
+        (at("display_name"), "must be nonblank", ~F.coalesce(text.nonblank(get(v, "display_name")), F.lit(False))),
+        (at("official_routes"), "must not be empty", F.size(routes) == 0),
+        (at("source_profile.expected_source_types"), "must name all source types", ~F.coalesce(F.array_sort(F.array_distinct(expected)) == every, F.lit(False))),
+        *[(at(name), "must be an array of nonblank strings", _strings(v, name)) for name in K.PLATFORM_LISTS],
+        *[(at(f"official_routes.{k}"), "needs a route or a declared gap", ~has(k) & ~F.coalesce(text.nonblank(gap(k)), F.lit(False))) for k in kinds],
+        *[(at(f"official_routes.{k}"), "cannot be both routed and a gap", has(k) & gap(k).isNotNull()) for k in kinds],
+    ]
+    items = _items(rows, v, "official_routes", F.lit(""))
+    r, dot = F.col("item"), F.col("dot")
+    place = Window.partitionBy("report", get(r, "route_id")).orderBy("i")
+    items = items.withColumn("again", F.row_number().over(place) > 1)
+    role = F.element_at(F.create_map(*[F.lit(x) for pair in K.ROUTE_ROLES.items() for x in pair]), F.coalesce(get(r, "source_type"), F.lit("")))
+    status, verified_on = get(r, "verification_status"), get(r, "last_verified_on")
+    outside = lambda c, allowed: ~F.coalesce(c.isin(*allowed), F.lit(False))
+    each = [
+        (F.concat(dot, F.lit("source_type")), "is not a known kind", outside(get(r, "source_type"), kinds)),
+        (F.concat(dot, F.lit("url")), "must be http(s)", ~F.coalesce(get(r, "url").rlike("^https?://"), F.lit(False))),
+        (F.concat(dot, F.lit("route_id")), "must be lowercase kebab-case", ~F.coalesce(get(r, "route_id").rlike(KEBAB), F.lit(False))),
+        (F.concat(dot, F.lit("route_id")), "must be unique", F.col("again") & get(r, "route_id").isNotNull()),
+        (F.concat(dot, F.lit("access")), "is not a known access", outside(get(r, "access"), K.ROUTE_ACCESS)),
+        (F.concat(dot, F.lit("evidence_role")), "must fit source_type", role.isNotNull() & ~get(r, "evidence_role").eqNullSafe(role)),
+        (F.concat(dot, F.lit("market_specific")), "must be boolean", ~F.coalesce(kind_of(r, "market_specific") == "BOOLEAN", F.lit(False))),
+        (F.concat(dot, F.lit("markets")), "must be nonblank strings", _strings(r, "markets", some=True)),
+        (F.concat(dot, F.lit("verification_status")), "must be verified or conditional", outside(status, ("verified", "conditional"))),
+        (F.concat(dot, F.lit("last_verified_on")), "must be YYYY-MM-DD", (status == "verified") & ~F.coalesce(timing.valid_date(verified_on), F.lit(False))),
+        (F.concat(dot, F.lit("last_verified_on")), "must be null unless verified", (status != "verified") & verified_on.isNotNull()),
+        (F.concat(dot, F.lit("verify_before_use")), "must be true for conditional routes", (status == "conditional") & ~F.coalesce(get(r, "verify_before_use", "boolean"), F.lit(False))),
+    ]
+    names = F.array_distinct(F.transform(F.concat(F.array(get(v, "id"), get(v, "display_name")), F.coalesce(F.try_variant_get(v, "$.aliases", "array<string>"), F.array().cast("array<string>"))), lambda x: text.normalized(x)))
+    claimed = rows.select("report", F.explode(names).alias("alias")).filter("alias <> ''").withColumn("n", F.size(F.collect_set("report").over(Window.partitionBy("alias"))))
+    twice = claimed.filter("n > 1").select("report", F.lit("aliases").alias("location"), F.concat(F.lit("another platform also claims "), "alias").alias("message"))
+    return found(rows, root).unionByName(found(items, each)).unionByName(twice)
+
+
+def official_rules(files: DataFrame) -> DataFrame:
+    """What is wrong with files of official sources; an id may occur once."""
+    rows = files.select("report", F.try_parse_json("raw").alias("v"))
+    broken = found(rows, [(F.lit("sources"), "must be an array", ~F.coalesce(kind_of(F.col("v"), "sources").startswith("ARRAY"), F.lit(False)))])
+    sources = _items(rows, F.col("v"), "sources", F.lit(""))
+    s, dot = F.col("item"), F.col("dot")
+    sources = sources.withColumn("again", F.row_number().over(Window.partitionBy(get(s, "id")).orderBy("report", "i")) > 1)
+    blank = lambda v, at, names: [(F.concat(at, F.lit(n)), "must be nonblank", ~F.coalesce(text.nonblank(get(v, n)), F.lit(False))) for n in names]
+    exact = lambda v, names: ~F.coalesce(F.array_sort(F.json_object_keys(v.cast("string"))) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
+    fields = ("id", "display_name", "jurisdiction", "authority", "aliases", "routes")
+    each = [
+        *blank(s, dot, fields[:4]),
+        (F.col("at"), "fields do not match", exact(s, fields)),
+        (F.concat(dot, F.lit("id")), "must be unique", F.col("again") & get(s, "id").isNotNull()),
+        (F.concat(dot, F.lit("aliases")), "must be nonblank strings", _strings(s, "aliases")),
+        (F.concat(dot, F.lit("routes")), "must not be empty", F.coalesce(F.size(F.try_variant_get(s, "$.routes", "array<variant>")), F.lit(0)) < 1),
+    ]
+    routes = _items(sources.select("report", "item", F.col("dot").alias("over")).withColumnRenamed("item", "source"), F.col("source"), "routes", F.col("over"))
+    r, dot = F.col("item"), F.col("dot")
+    of_route = [
+        *blank(r, dot, ("label",)),
+        (F.col("at"), "fields do not match", exact(r, ("label", "url", "source_type", "topics"))),
+        (F.concat(dot, F.lit("url")), "must be a direct https URL", ~F.coalesce(get(r, "url").rlike("^https://[^/]+"), F.lit(False))),
+        (F.concat(dot, F.lit("source_type")), "is not supported", ~F.coalesce(get(r, "source_type").isin("official_publication", "current_rule"), F.lit(False))),
+        (F.concat(dot, F.lit("topics")), "must be nonblank strings", _strings(r, "topics")),
+    ]
+    return broken.unionByName(found(sources, each)).unionByName(found(routes, of_route))

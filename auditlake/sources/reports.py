@@ -87,3 +87,11 @@ def registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     routes = rows.select(F.col("p.display_name").alias("platform"), F.explode("p.official_routes").alias("r")).select("platform", "r.*")
     names = F.array_distinct(F.concat(F.array("p.id", "p.display_name"), F.coalesce("p.aliases", F.array().cast("array<string>"))))
     return routes.withColumn("markets", F.coalesce("markets", F.array(F.lit("*")))), rows.select(F.explode(names).alias("alias"), F.col("p.display_name").alias("platform"))
+
+
+def official_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Routes of official sources, one row a route, from files with an array of sources."""
+    route = "label:string,url:string,source_type:string,topics:array<string>"
+    source = f"id:string,display_name:string,jurisdiction:string,authority:string,aliases:array<string>,routes:array<struct<{route}>>"
+    rows = raw(spark, path).select(F.explode(F.from_json("raw", f"sources array<struct<{source}>>")["sources"]).alias("s"))
+    return rows.select("s.*").withColumn("r", F.explode("routes")).drop("routes").select("*", "r.*").drop("r")
