@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import ids, score, text, timing, udfs
-from auditlake.operators import acquisition, alerting, applicability, calibration, common, discovery, evaluation, graph, language, library, linkage, snapshots, validation, worksheet
+from auditlake.operators import acquisition, alerting, applicability, calibration, common, discovery, evaluation, graph, language, library, linkage, planning, snapshots, validation, worksheet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -594,6 +594,22 @@ def threshold_grid_search(spark: SparkSession, d: str) -> DataFrame:
     return calibration.grid_search(hist).select("watch", "low", "medium", F.col("total").cast("long").alias("total"), F.col("correct").cast("long").alias("correct"))
 
 
+@query(CONSENSUS + f""", k AS (SELECT level, {LV} AS predicted, n FROM c), l AS (SELECT level, count(*) AS m FROM k WHERE level IS NOT NULL GROUP BY level)
+SELECT count(level) AS consensus_event_count, count(*) FILTER (level IS NULL) AS excluded_conflict_count, sum(n)::BIGINT AS review_record_count, count(*) FILTER (level <> predicted) AS current_disagreement_count,
+(SELECT sum(m) >= 20 AND count(*) = 4 AND min(m) >= 3 FROM l) AS sufficient FROM k""")
+def calibration_report(spark: SparkSession, d: str) -> DataFrame:
+    out = calibration.calibrate(reviews(spark, d))
+    return out.select(*[F.col(c).cast("long").alias(c) for c in ("consensus_event_count", "excluded_conflict_count", "review_record_count", "current_disagreement_count")], "sufficient")
+
+
+@query("""SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(n_name) IN ('asia', 'france') OR lower(r_name) IN ('asia', 'france')""")
+def sources_for_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as official sources that also answer to their region's name."""
+    region = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.array("r_name").alias("aliases"))
+    rows = table(spark, d, "nation").join(region, "n_regionkey").withColumn("jurisdiction", F.col("n_name"))
+    return planning.for_regions(rows, ["Asia ", "France"]).select("n_nationkey", "n_name")
+
+
 @query("""WITH u AS (SELECT CASE WHEN l_linenumber >= 5 THEN 'high' ELSE 'low' END AS level, unnest([['urgency', (l_partkey % 3)::VARCHAR], ['evidence', (l_suppkey % 3)::VARCHAR]]) AS x FROM lineitem)
 SELECT level, x[1] AS dimension, sum(x[2]::BIGINT)::BIGINT AS total, count(*) AS n FROM u GROUP BY ALL""")
 def dimension_sums(spark: SparkSession, d: str) -> DataFrame:
