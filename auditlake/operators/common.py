@@ -29,6 +29,20 @@ def best_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
+def placed(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Rows with their place (from 1) in an order of the whole table, sorted by range over all tasks.
+
+    A place is a row's number in its sorted part behind the sizes of the parts before; only those sizes meet in one task.
+    """
+    rows = cut(df.orderBy(*order).withColumn("__i", F.monotonically_increasing_id()))
+    part = F.shiftright("__i", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))  # a row for each part
+    found = rows.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return found.withColumn(name, (F.col("__before") + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int" if name == "rank" else "long")).drop("__i", "__part", "__before")
+
+
 def latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """The row of the latest time of each key; the first by ``tie`` of equal times. One hash aggregation, no sort."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(F.col(time), -F.col(tie))).alias("__r")).select(*keys, "__r.*")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import ids, score, text, timing, udfs
-from auditlake.operators.common import spread
+from auditlake.operators.common import placed, spread
 from auditlake.operators.graph import components, constrained
 
 
@@ -97,9 +97,9 @@ def prioritize(leads: DataFrame, cutoff: str, regions: Sequence[str] = (), platf
     )
     out = out.withColumn("corroboration", score.corroboration(F.col("domains"))).withColumn("cluster_id", ids.cluster_id(F.col("lead_ids")))
     out = out.withColumn("priority_score", F.col("recency") + F.col("corroboration") + F.col("business_relevance") + F.col("source_quality") + F.col("momentum"))
-    order = Window.orderBy(F.desc("priority_score"), F.desc("domains"), "cluster_id")
-    out = out.withColumn("rank", F.row_number().over(order)).withColumn("qualified", F.col("priority_score") >= minimum)
-    none = ~F.max("qualified").over(Window.partitionBy(F.lit(0)))
+    out = placed(out.withColumn("qualified", F.col("priority_score") >= minimum), F.desc("priority_score"), F.desc("domains"), F.col("cluster_id"), name="rank")
+    # the first by priority is unqualified only if none is qualified
+    none = ~F.col("qualified")
     queries = F.array_distinct(F.filter(F.array(F.concat_ws(" ", "source_title", "jurisdiction"), F.concat_ws(" ", "claim", F.lit("official source")), F.concat_ws(" ", "platform", "source_title")), text.nonblank))
     return out.withColumn("weak_signal", none & (F.col("rank") == 1)).withColumn("verification_queries", queries).withColumn("event_status", F.lit("unconfirmed")).withColumn("risk_level", F.lit("watch")).orderBy("rank")
 

@@ -6,10 +6,11 @@ import html
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import score, text
+from auditlake.operators.common import placed
 
 SECTIONS = {
     "en": ("Regulatory event report", "Key actions", "Events", "Watch list", "Deduplication", "Coverage", "Gaps"),
@@ -19,8 +20,7 @@ SECTIONS = {
 
 def ordered(events: DataFrame) -> DataFrame:
     """Events with ``place``: level, then score, then effective date (none last), then position."""
-    order = Window.orderBy(F.desc(score.level_rank(F.col("level"))), F.desc("score"), F.coalesce("effective_date", F.lit("9999-99-99")), "pos")
-    return events.withColumn("place", F.row_number().over(order))
+    return placed(events, F.desc(score.level_rank(F.col("level"))), F.desc("score"), F.coalesce("effective_date", F.lit("9999-99-99")), F.col("pos"))
 
 
 def event_block(place: str = "place") -> Column:

@@ -241,8 +241,8 @@ def source_tier_priority(spark: SparkSession, d: str) -> DataFrame:
     tier = F.when(F.col("event_type") == "purchase", "official_lead").when(F.col("event_type") == "signup", "carrier_or_port").when(F.col("event_type") == "view", "trade_media").when(F.col("event_type") == "click", "social").otherwise("other")
     rows = e.groupBy("user_id").agg(F.max(score.recency(F.col("ts"), cutoff)).alias("r"), F.max(score.tier_weight(tier)).alias("q"), F.max(F.floor("value") % 6).alias("m"), F.countDistinct("event_type").alias("domains"))
     rows = rows.withColumn("priority", F.col("r") + F.col("q") + F.col("m") + score.corroboration(F.col("domains")))
-    rank = F.row_number().over(Window.orderBy(F.desc("priority"), F.desc("domains"), "user_id"))
-    return rows.select("user_id", F.col("priority").cast("long").alias("priority"), "domains", (F.col("priority") >= K.MINIMUM_PRIORITY).alias("qualified"), rank.cast("long").alias("rank"))
+    rows = common.placed(rows, F.desc("priority"), F.desc("domains"), F.col("user_id"), name="rank")
+    return rows.select("user_id", F.col("priority").cast("long").alias("priority"), "domains", (F.col("priority") >= K.MINIMUM_PRIORITY).alias("qualified"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH h AS (SELECT regexp_extract(url, '/(en|fr|de|es)/', 1) AS lang, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages), n AS (SELECT lang, count(DISTINCT host) AS domains FROM h GROUP BY lang)

@@ -94,3 +94,13 @@ def test_calibration_and_update(spark):
     with pytest.raises(ValueError):
         calibration.require_ready(ready(False))
     assert calibration.calibrate(spark.createDataFrame([], shape)).first().recommendation_status == "insufficient_data"
+
+
+def test_placed(spark):
+    from pyspark.sql import functions as F
+
+    from auditlake.operators.common import placed
+
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), F.lit("a").alias("y")).repartition(7)
+    assert [r.place for r in placed(rows, F.desc("x")).orderBy(F.desc("x")).collect()] == list(range(1, 1001))
+    assert placed(rows.limit(0), F.col("x")).collect() == []
