@@ -6,13 +6,17 @@ phrase is a seed only where everything around it is common, and any unchanged ru
 a seed, however often it occurs in the corpus. Where a document has an item's seed, the stretch of the document around
 it is aligned with the item word by word (Smith-Waterman: +2 for a match, -1 for another word, a gap or an insertion),
 so edited and paraphrased copies score too. A stretch whose words cannot reach the threshold is left out before that.
+Every copy of an item in a document is returned: beside a found one, both sides are aligned again.
 
-Documents are never shuffled: both passes only read them, and the index of the benchmark is broadcast. Its size is
-bounded: items are taken in blocks of at most ``BLOCK_GRAMS`` n-grams, each with its own two passes.
+Documents are never shuffled: both passes only read them, and the index of the benchmark is broadcast. Items are taken
+in blocks of at most ``BLOCK_GRAMS`` n-grams, each of which passes through the driver and has its own two passes;
+between two blocks the matches so far are written to the shared folder and the index is destroyed, so that a task, and
+the driver, hold one index at a time.
 
-Defined results: null text or item is empty; items of fewer than ``GRAM`` words tell nothing and match nothing; a row
-without doc_id is searched like any other; rows and items that repeat are searched as often as they occur. Further
-columns are carried by ``with_matches`` and ``clean``.
+Defined results: null text or item is empty; an item without words matches nothing, one of fewer than ``LEAST`` words
+only a document of the very same words; a row without doc_id is searched like any other; rows and items that repeat are
+searched as often as they occur. Further columns are carried by ``with_matches`` and ``clean`` whatever their names; one
+named like the matches is replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import small_batches
+from auditlake.llm.common import carried, small_batches, stored
 
 GRAM = 3
 WINDOW = 3
+#: Items of fewer words are compared whole.
+LEAST = 3
 #: Alignment score of a contaminated document, as a part of the item's own.
 THRESHOLD = 0.5
 #: n-grams of the benchmark in one broadcast index.
@@ -54,6 +60,11 @@ class Index:
             for w in words:
                 self.word.setdefault(w, len(self.word))
         self.base = len(self.word) + 1
+        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for i, words in items:
+            if len(words) < LEAST:
+                self.short[tuple(words)].append(i)
+        items = [x for x in items if len(x[1]) >= LEAST]
         self.ids = [i for i, _ in items]
         self.items = [np.array([self.word[w] for w in words], np.int64) for _, words in items]
         self.keys = [self.grams(x) for x in self.items]
@@ -105,7 +116,7 @@ class Index:
         self.seed_at = [seeds[k] for k in self.seed_key.tolist()]
 
     def matches(self, words: np.ndarray, at: list[int], which: list[int], threshold: float) -> list[tuple[int, float, int, int]]:
-        """(item, score, first and last word) of each item that the document's words hold a copy of."""
+        """(item, score, first and last word) of each copy that the document's words hold."""
         spans: dict[int, list[list[int]]] = defaultdict(list)
         for place, seed in zip(at, which):
             for item, offset in self.seed_at[seed]:
@@ -119,19 +130,19 @@ class Index:
                     runs.append([low, high])
         out = []
         for item, runs in sorted(spans.items()):
-            query, best = self.items[item], None
+            query = self.items[item]
             need = threshold * MATCH * len(query)
-            for low, high in runs:
+            while runs:
+                low, high = runs.pop()
                 part = words[low:high]
                 if MATCH * min(int(np.isin(part, query).sum()), int(np.isin(query, part).sum())) < need:
                     continue
                 score, last = align(query, part)
-                if score >= need and (best is None or score > best[1]):
-                    back, length = align(query[::-1], part[: last + 1][::-1])
-                    best = (item, score, low + last - length, low + last)
-            if best:
-                out.append((self.ids[item], best[1] / (MATCH * len(query)), best[2], best[3]))
-        return out
+                if score >= need:
+                    _, length = align(query[::-1], part[: last + 1][::-1])
+                    out.append((self.ids[item], score / (MATCH * len(query)), low + last - length, low + last))
+                    runs += [[low, low + last - length], [low + last + 1, high]]
+        return sorted(out, key=lambda m: (m[0], m[2]))
 
 
 def align(query: np.ndarray, part: np.ndarray) -> tuple[int, int]:
@@ -153,7 +164,7 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[Index]:
     items, grams = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         words = tokens(row["text"])
-        if len(words) < GRAM:
+        if not words:
             continue
         if items and grams + len(words) > most:
             yield Index(items)
@@ -186,6 +197,7 @@ def gram_documents(docs: DataFrame, index: Index) -> np.ndarray:
     out = np.zeros(len(index.gram), np.int64)
     for row in counted.collect():  # a row for each n-gram of the block at most
         out[row["gram"]] = row["n"]
+    shared.destroy()
     return out
 
 
@@ -203,9 +215,11 @@ def _search(shared: Broadcast, threshold: float):  # noqa: ANN202
                 own[d].append(n)
             for d in range(len(begin)):
                 some = []
+                if many[d] < LEAST and index.short:
+                    some = [(i, 1.0, 0, int(many[d]) - 1) for i in index.short.get(tuple(tokens(texts[a + d])), ())]
                 if hits := own.get(d):
                     words = flat[begin[d] : begin[d] + many[d]]
-                    some = index.matches(words, (at[hits] - begin[d]).tolist(), which[hits].tolist(), threshold)
+                    some += index.matches(words, (at[hits] - begin[d]).tolist(), which[hits].tolist(), threshold)
                 found.append([dict(zip(("item_id", "score", "first", "last"), x)) for x in some])
         return pd.Series(found, dtype=object)
 
@@ -213,18 +227,18 @@ def _search(shared: Broadcast, threshold: float):  # noqa: ANN202
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_GRAMS, name: str = "matches") -> DataFrame:
-    """``docs`` with ``matches``: for each copied item its id, score (0 to 1) and the first and last word of the copy."""
+    """``docs`` with ``matches``: for each copy of an item its id, score (0 to 1) and the first and last word of the copy."""
     spark = docs.sparkSession
     small_batches(spark)
-    out, columns = docs.withColumn(name, F.array().cast(SCHEMA)), []
-    for number, index in enumerate(_blocks(benchmark, block)):
+    out, shared = docs.select(carried(docs, name), "text", F.array().cast(SCHEMA).alias("found")), None
+    for index in _blocks(benchmark, block):
+        if shared is not None:
+            out = stored(out, "matches")
+            shared.destroy()
         index.choose(gram_documents(docs, index))
         shared = spark.sparkContext.broadcast(index)
-        columns.append(f"__m{number}")
-        out = out.withColumn(columns[-1], _search(shared, threshold)("text"))
-    if columns:
-        out = out.withColumn(name, F.concat(*columns)).drop(*columns)
-    return out
+        out = out.withColumn("found", F.concat("found", _search(shared, threshold)("text")))
+    return out.select("row.*", F.col("found").alias(name))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -235,5 +249,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that hold a copy of an item."""
-    found = with_matches(docs, benchmark, threshold, name="__matches").filter(F.size("__matches") == 0)
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = with_matches(docs.select(carried(docs), "text"), benchmark, threshold)
+    return found.filter(F.size("matches") == 0).select("row.*")

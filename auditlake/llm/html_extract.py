@@ -1,19 +1,30 @@
 """Main text of web pages by tree scoring.
 
 A page is read once into a tree of block elements. Every run of inline text (a paragraph) earns points for its
-length and its commas, which go to the element it stands in and, in shrinking shares, to the ancestors. Points of an
-element are discounted by its link density. The best container and those siblings that score or read like text are
-kept; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never enter.
+length and its commas, which go to the element it stands in and, in shrinking shares, to the next ancestors (``SHARES``).
+Points of an element are discounted by its link density. The best container and those siblings that score or read like
+text are kept; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never
+enter.
+
+What stands around an article is told by element names, roles, and words of classes and ids. A class that names such a
+thing alone drops the element. One that only holds such a word (``share-price``, ``search-results``) drops it outside an
+article, unless most of the page's text is in it; inside an article or main, paragraphs and the like stay, and others
+stay if they hold a paragraph and are not mostly links. Ids of paragraphs, headings and sections are places to link to
+and drop nothing there. Links in lists are text inside an article element; elsewhere a list of links is a menu. A button
+inside a paragraph is part of its sentence, elsewhere it is a control. Mathematics is text.
+
+Reading and scoring take time in proportion to the page, however deep or broken its tree is.
 
 Defined results: null, empty and text-free html give the empty string; a tag that is never completed ends the page, as
 in a browser; character references decode as in HTML5; white space of any kind inside a block becomes one space;
-``n_chars`` counts code points. Nulls in other columns pass through, repeated rows stay repeated, further columns of
-the input are not carried.
+``n_chars`` counts code points. Nulls in other columns pass through, repeated rows stay repeated; further columns are
+carried, but for the html and those named like text or n_chars in any case, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -28,10 +39,10 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp select"
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption"
     " figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav noscript object ol optgroup option"
-    " p pre search section summary svg table tbody td template tfoot th thead tr ul canvas audio video math".split()
+    " p pre search section summary svg table tbody td template tfoot th thead tr ul canvas audio video".split()
 )
 DROPPED = frozenset(
-    "aside audio button canvas dialog dir footer form legend math menu nav noscript object option optgroup search svg"
+    "aside audio button canvas dialog dir footer form legend menu nav noscript object option optgroup search svg"
     " template video".split()
 )
 CLOSES_P = BLOCK - frozenset("button caption tbody td tfoot th thead tr option optgroup object svg canvas".split())
@@ -39,15 +50,19 @@ SCOPE = frozenset("table td th caption button object template svg".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text counts for the parent, not for themselves.
 LEAVES = HEADINGS | frozenset("p pre li dd dt td th figcaption blockquote summary caption address".split())
-#: What an open element of the key's kind ends at a start tag: (elements that end, elements that stop the search).
-ENDS = {
-    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir", "td", "th", "table"])),
-    "dd": (frozenset(["dd", "dt"]), frozenset(["dl", "td", "th", "table"])),
-    "dt": (frozenset(["dd", "dt"]), frozenset(["dl", "td", "th", "table"])),
-    "td": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
-    "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
-    "tr": (frozenset(["tr"]), frozenset(["table"])),
-}
+#: Pairs of the elements that some start tags end, and the elements that keep them from doing so.
+WATCHED = (
+    (frozenset(["p"]), SCOPE),
+    (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir", "td", "th", "table"])),
+    (frozenset(["dd", "dt"]), frozenset(["dl", "td", "th", "table"])),
+    (frozenset(["td", "th"]), frozenset(["table", "tr"])),
+    (frozenset(["tr"]), frozenset(["table"])),
+)
+#: The pair that a start tag minds, beside the paragraph's.
+MINDS = {"li": 1, "dd": 2, "dt": 2, "td": 3, "th": 3, "tr": 4}
+IN_PAIRS = {name: tuple(k for k, pair in enumerate(WATCHED) if name in pair[0] | pair[1]) for name in BLOCK}
+#: What the element a paragraph stands in and the ancestors above it get of its points.
+SHARES = (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12, 1 / 15)
 # Words in class names and ids, and roles, of what is not the article.
 CHROME = frozenset(
     "nav navbar navigation navi menu menubar header masthead topbar footer foot sidebar sidenav aside ad ads advert"
@@ -58,6 +73,13 @@ CHROME = frozenset(
     " pager toolbar widget widgets skip skiplink form search outbrain taboola copyright disclaimer toc hidden"
     " invisible".split()
 )
+# Of these, the words that tell even beside others.
+TELLING_WORDS = frozenset(
+    "nav navbar navigation navi menu menubar masthead topbar footer sidebar sidenav ad ads advert adverts advertisement"
+    " advertising adsense adslot adbox adsbygoogle sponsor sponsored sponsors promo promotion promoted cookie cookies"
+    " consent gdpr popup modal lightbox newsletter subscribe subscription signup login signin comment comments commentlist"
+    " disqus breadcrumb breadcrumbs pagination pager outbrain taboola".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEGATED = frozenset("no has with without not is".split())
 
@@ -70,27 +92,40 @@ ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 TELLING = re.compile(r"class|id|role|hidden|style|aria", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 COMMENT_END = re.compile(r"--!?>")
+RAW_ENDS: dict[str, re.Pattern[str]] = {}
 COMMAS = str.maketrans({c: "," for c in "،，、"})
 
 
-def chrome(attributes: str) -> bool:
-    """Whether an element's attributes mark it as something around the article, or as hidden."""
+def _label(label: str) -> int:
+    """What a class or id says: 2 names something around the article, 1 holds such a word, 0 neither."""
+    parts = [p.lower() for p in PARTS.findall(label)]
+    if not parts or parts[0] in NEGATED:
+        return 0
+    first, last = parts[0], "" if NEGATED.intersection(parts[:-1]) else parts[-1]
+    if first not in CHROME and last not in CHROME:
+        return 0
+    return 2 if CHROME.issuperset(parts) or first in TELLING_WORDS or last in TELLING_WORDS else 1
+
+
+def chrome(attributes: str, place: bool = False) -> int:
+    """Whether an element's attributes mark it as something around the article, or as hidden: 2 surely, 1 perhaps.
+
+    ``place``: its id is a place to link to.
+    """
     if not attributes or not TELLING.search(attributes):
-        return False
+        return 0
+    found = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 2
         if name == "role" and value.strip().lower() in ROLES:
-            return True
-        if name in ("class", "id"):
-            for label in value.split():
-                parts = [p.lower() for p in PARTS.findall(label)]
-                if parts and parts[0] not in NEGATED and (parts[0] in CHROME or parts[-1] in CHROME):
-                    return True
-    return False
+            return 2
+        if name == "class" or name == "id" and not place:
+            found = max([found, *map(_label, value.split())])
+    return found
 
 
 class Page:
@@ -98,39 +133,52 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent = ["#"], [-1]
+        self.doubtful: list[tuple[int, bool]] = []  # elements that hold a word of things around articles; whether in an article
         self.blocks: list[tuple[int, str, int, int]] = []  # owner, text, characters in links, links
         self._read(html)
 
     def _read(self, html: str) -> None:
         tags, parents, blocks = self.tag, self.parent, self.blocks
         stack, inline = [0], []  # inline: names of dropped inline elements that are open
+        is_open: Counter[str] = Counter()  # open elements by name; headings count as one name
+        watched: list[list[int]] = [[] for _ in WATCHED]  # depths of the open elements of each pair
         text: list[str] = []
-        linked = links = 0
+        linked = links = pressed = 0  # pressed: characters in buttons
         anchor = -1  # depth at which the open link began
+        button = False
         inline_at = 0  # depth at which the first of inline began
         dropped = 0  # depth of the outermost dropped element; 0: none
-        within = 0  # open article or main elements
 
         def flush() -> None:
-            nonlocal linked, links
+            nonlocal linked, links, pressed
             if text:
-                if joined := " ".join("".join(text).split()):
+                joined = " ".join("".join(text).split())
+                if joined and not (pressed and pressed >= len(joined)):
                     blocks.append((stack[-1], joined, linked, links))
                 text.clear()
-            linked = links = 0
+            linked = links = pressed = 0
 
         def cut_to(depth: int) -> None:
-            nonlocal anchor, dropped, within
+            nonlocal anchor, dropped, button
             if depth < inline_at:
                 inline.clear()
             for node in stack[depth:]:
-                within -= tags[node] in ("article", "main")
+                is_open["h" if tags[node] in HEADINGS else tags[node]] -= 1
+            for depths in watched:
+                while depths and depths[-1] >= depth:
+                    depths.pop()
             del stack[depth:]
+            button = False
             if anchor >= depth:
                 anchor = -1
             if dropped >= depth:
                 dropped = 0
 
+        def end(pair: int) -> None:
+            """Ends the nearest open element of a pair, if nothing between keeps it open."""
+            if watched[pair] and tags[stack[watched[pair][-1]]] in WATCHED[pair][0]:
+                cut_to(watched[pair][-1])
+
         pos, size = 0, len(html)
         while pos < size:
             at = html.find("<", pos)
@@ -141,6 +189,8 @@ class Page:
                 text.append(piece)
                 if anchor >= 0:
                     linked += len(piece.strip())
+                if button:
+                    pressed += len(piece.strip())
             if at == size:
                 break
             m = SIMPLE.match(html, at)
@@ -150,12 +200,12 @@ class Page:
                     if html.startswith(("<!-->", "<!--->"), at):
                         pos = html.index(">", at) + 1
                     else:
-                        end = COMMENT_END.search(html, at + 4)
-                        pos = end.end() if end else size
+                        close = COMMENT_END.search(html, at + 4)
+                        pos = close.end() if close else size
                     continue
                 if nxt in ("!", "?") or nxt == "/" and not html[at + 2 : at + 3].isalpha():
-                    end = html.find(">", at)
-                    pos = size if end < 0 else end + 1
+                    close = html.find(">", at)
+                    pos = size if close < 0 else close + 1
                     continue
                 if not (nxt.isascii() and nxt.isalpha() or nxt == "/"):
                     if not dropped and not inline:
@@ -170,33 +220,40 @@ class Page:
                 attributes = ""
             pos = m.end()
             name = m[2].lower()
+            kind = "h" if name in HEADINGS else name
             if m[1]:
-                if name in BLOCK:
+                if button and name == "button":
+                    button = False
+                elif name in BLOCK:
                     if name == "body":
                         continue
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if tags[stack[depth]] == name or name in HEADINGS and tags[stack[depth]] in HEADINGS:
-                            flush()
-                            cut_to(depth)
-                            break
-                    else:
-                        flush()
+                    flush()
+                    if is_open[kind]:
+                        depth = len(stack) - 1
+                        while tags[stack[depth]] != name and not (kind == "h" and tags[stack[depth]] in HEADINGS):
+                            depth -= 1
+                        cut_to(depth)
                 elif name == "a":
                     anchor = -1
                 elif inline and name == inline[-1]:
                     inline.pop()
                 continue
             if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, pos)
-                pos = end.start() if end else size
-                if end:
-                    close = html.find(">", pos)
-                    pos = size if close < 0 else close + 1
+                if name not in RAW_ENDS:
+                    RAW_ENDS[name] = re.compile(rf"</{name}(?=[\s/>])", re.I)
+                close = RAW_ENDS[name].search(html, pos)
+                pos = close.start() if close else size
+                if close:
+                    at = html.find(">", pos)
+                    pos = size if at < 0 else at + 1
                 continue
             if name in VOID:
                 if name in ("br", "hr"):
                     flush()
                 continue
+            if name == "button" and not dropped and not inline and tags[stack[-1]] in LEAVES and chrome(attributes) < 2:
+                button = True
+                continue
             if name not in BLOCK:
                 if name == "a":
                     anchor = len(stack)
@@ -216,62 +273,77 @@ class Page:
                     stack.append(len(tags) - 1)
                 continue
             if name in CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_tag = tags[stack[depth]]
-                    if open_tag == "p":
-                        cut_to(depth)
-                        break
-                    if open_tag in SCOPE:
-                        break
+                end(0)
                 if name in HEADINGS and tags[stack[-1]] in HEADINGS:
                     cut_to(len(stack) - 1)
-            if name in ENDS:
-                ended, stop = ENDS[name]
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_tag = tags[stack[depth]]
-                    if open_tag in ended:
-                        cut_to(depth)
-                        break
-                    if open_tag in stop:
-                        break
+            if name in MINDS:
+                end(MINDS[name])
+            within = is_open["article"] + is_open["main"] > 0
             tags.append(name)
             parents.append(stack[-1])
             stack.append(len(tags) - 1)
-            if name in ("article", "main"):
-                within += 1
-            if not dropped and (
-                name in DROPPED
-                or name == "header" and within == 0
-                or attributes and not (name == "main" or name == "body") and chrome(attributes)
-            ):
-                dropped = len(stack) - 1
+            is_open[kind] += 1
+            for pair in IN_PAIRS[name]:
+                watched[pair].append(len(stack) - 1)
+            if not dropped:
+                place = within and (name in LEAVES or name == "section")
+                mark = chrome(attributes, place) if attributes and name != "main" else 0
+                if name in DROPPED or name == "header" and not within or mark == 2:
+                    dropped = len(stack) - 1
+                elif mark == 1 and name != "article" and not (within and name in LEAVES):
+                    self.doubtful.append((len(tags) - 1, within))
         flush()
 
+    def _doubts(self) -> None:
+        """Takes out what doubtful elements hold, unless it reads like text of the article."""
+        tags, parents = self.tag, self.parent
+        size, linked, told = [0] * len(tags), [0] * len(tags), [False] * len(tags)
+        for owner, text, in_links, _ in self.blocks:
+            size[owner] += len(text)
+            linked[owner] += in_links
+            told[owner] = told[owner] or tags[owner] in LEAVES and (len(text) >= 25 or text[-1] in ".!?")
+        for i in range(len(tags) - 1, 0, -1):
+            size[parents[i]] += size[i]
+            linked[parents[i]] += linked[i]
+            told[parents[i]] = told[parents[i]] or told[i]
+        out = [False] * len(tags)
+        for i, within in self.doubtful:
+            out[i] = not (2 * size[i] >= size[0] or within and told[i] and 2 * linked[i] < size[i])
+        for i in range(1, len(tags)):
+            out[i] = out[i] or out[parents[i]]
+        self.blocks = [b for b in self.blocks if not out[b[0]]]
+
     def text(self) -> str:
         """The kept blocks in page order."""
+        if self.doubtful:
+            self._doubts()
         tags, parents, blocks = self.tag, self.parent, self.blocks
         if not blocks:
             return ""
         n = len(tags)
         points, size, linked, links = [0.0] * n, [0] * n, [0] * n, [0] * n
         for owner, text, in_links, many in blocks:
+            size[owner] += len(text)
+            linked[owner] += in_links
+            links[owner] += many
             earned = len(text) / 25 if len(text) < 25 else 1 + min(len(text) // 100, 3)
             earned += text.translate(COMMAS).count(",")
-            node, level = owner, 0
-            if tags[owner] in LEAVES:
-                size[owner] += len(text)
-                linked[owner] += in_links
-                links[owner] += many
-                node = parents[owner]
-            while node >= 0:
-                points[node] += earned / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                size[node] += len(text)
-                linked[node] += in_links
-                links[node] += many
-                node, level = parents[node], level + 1
+            node = parents[owner] if tags[owner] in LEAVES else owner
+            for share in SHARES:
+                if node < 0:
+                    break
+                points[node] += earned * share
+                node = parents[node]
+        for i in range(n - 1, 0, -1):
+            size[parents[i]] += size[i]
+            linked[parents[i]] += linked[i]
+            links[parents[i]] += links[i]
         density = [min(1.0, linked[i] / size[i]) if size[i] else 0.0 for i in range(n)]
         bonus = {"article": 5.0, "main": 3.0, "div": 1.0, "section": 1.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "table": -1.0}
         score = [(points[i] + bonus.get(tags[i], 0.0)) * (1 - density[i]) if points[i] else 0.0 for i in range(n)]
+        children: list[list[int]] = [[] for _ in range(n)]
+        for i in range(1, n):
+            children[parents[i]].append(i)
         best = max(range(n), key=lambda i: (score[i], -i))
         up, around = best, -1
         while up > 0:
@@ -280,16 +352,15 @@ class Page:
             up = parents[up]
         if around > 0:
             best = around
-        kept = {best}
         if tags[best] not in ("article", "main"):
             while parents[best] > 0 and tags[parents[best]] != "body":
-                near = [i for i in range(best and 1, n) if parents[i] == parents[best] and i != best and tags[i] not in LEAVES]
+                near = (i for i in children[parents[best]] if i != best and tags[i] not in LEAVES)
                 if not any(score[i] >= max(1.0, 0.2 * score[best]) and density[i] < 0.5 for i in near):
                     break
                 best = parents[best]
-            kept = {best}
-        for i in range(1, n):
-            if i == best or parents[i] != parents[best] or best == 0:
+        kept = {best}
+        for i in children[parents[best]] if best else ():
+            if i == best:
                 continue
             if tags[i] in ("h1", "h2") and i < best and density[i] < 0.5:
                 kept.add(i)
@@ -298,11 +369,12 @@ class Page:
                     kept.add(i)
             elif tags[i] not in LEAVES and score[i] >= max(5.0, 0.2 * score[best]) and density[i] < 0.5:
                 kept.add(i)
-        state = [0] * n  # 1: kept, 2: a block of links
+        state, article = [0] * n, [False] * n  # state 1: kept, 2: a menu
         for i in range(n):
             above = state[parents[i]] if i else 0
+            article[i] = tags[i] == "article" or i > 0 and article[parents[i]]
             state[i] = above or (1 if i in kept else 0)
-            if state[i] == 1 and i not in kept and links[i] >= 3 and density[i] > 0.6 and tags[i] in ("ul", "ol", "div", "section", "table", "dl"):
+            if state[i] == 1 and i not in kept and not article[i] and links[i] >= 3 and density[i] > 0.6 and tags[i] in ("ul", "ol", "div", "section", "table", "dl"):
                 state[i] = 2
         return " ".join(text for owner, text, _, _ in blocks if state[owner] == 1)
 
@@ -320,7 +392,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     def article(column: pd.Series) -> pd.Series:
         return column.map(main_text, na_action=None)
 
-    kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    kept = [c for c in pages.columns if c.lower() not in (html.lower(), "text", "n_chars")]
     return pages.select(*[F.col(f"`{c}`") for c in kept], article(F.col(html)).alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long")
     )

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import small_batches
+from auditlake.llm.common import carried, small_batches
 
 #: Labelled rows of each class that the fit may use.
 PER_CLASS = 2000
@@ -213,4 +213,4 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
 def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that the classifier rejects."""
     model = train(docs, labels, per_class)
-    return docs.withColumn("__score", score(docs, model)).filter(F.col("__score") >= threshold).drop("__score")
+    return docs.select(carried(docs), score(docs, model).alias("score")).filter(F.col("score") >= threshold).select("row.*")

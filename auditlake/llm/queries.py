@@ -113,7 +113,7 @@ p{number + 1} AS (SELECT p{number}.* REPLACE (given AS budget) FROM p{number} JO
 
 OP5_SQL = f"""
 WITH d AS (
-  SELECT doc_id, lang, source, coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s,
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS own, lang, source, coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s,
          CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src1[0-4]$') THEN 'books'
               WHEN regexp_matches(source, '^src1[5-9]$') THEN 'code' ELSE 'other' END AS domain,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::HUGEINT AS n FROM documents
@@ -124,7 +124,7 @@ p0 AS (SELECT *, supply * {MIX_EPOCHS} AS cap0,
 plan AS (SELECT domain, lang, source, supply, budget, CASE WHEN supply > 0 THEN least(budget // supply, {MIX_EPOCHS}) ELSE 0 END AS whole FROM p3),
 ordered AS (
   SELECT d.*, whole, budget - whole * supply AS rest,
-         sum(n) OVER (PARTITION BY d.domain, l, s ORDER BY md5('{MIX_SEED}:' || (whole + 1)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), n
+         sum(n) OVER (PARTITION BY d.domain, l, s ORDER BY md5('{MIX_SEED}:' || (whole + 1)::VARCHAR || ':' || own), n
                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
   FROM d JOIN plan ON d.domain = plan.domain AND d.l = plan.lang AND d.s = plan.source
 ), times AS (SELECT *, (whole + CASE WHEN so_far <= rest THEN 1 ELSE 0 END)::INT AS times FROM ordered)
@@ -192,14 +192,14 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS n,
-         count(*) OVER (PARTITION BY conv_id) AS size FROM conversations
+WITH r AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, md5(text)) AS n, count(*) OVER (PARTITION BY conv_id, own) AS size FROM r
 ), p AS (
   SELECT conv_id, n, size, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '')
-                     OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chat FROM t
-), w AS (SELECT min(conv_id) AS conv_id, n, chat, count(*) AS copies FROM p WHERE n = size GROUP BY n, chat)
+                     OVER (PARTITION BY conv_id, own ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chat FROM t
+), w AS (SELECT CASE WHEN count(*) = count(conv_id) THEN min(conv_id) END AS conv_id, n, chat, count(*) AS copies FROM p WHERE n = size GROUP BY n, chat)
 SELECT conv_id, n AS n_turns, copies, chat FROM w
 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n = w.n AND p.chat = w.chat AND p.n < p.size)
 """
@@ -215,13 +215,14 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS MATERIALIZED (SELECT *, row_number() OVER () AS own FROM v
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND c.own <> q.own
 )
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) <= 5
 """
 
 # -- 9 ---------------------------------------------------------------------------------------------------------------
@@ -234,8 +235,13 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 
+#: A tokenizer's vocabulary whose words the dictionary of guesses also holds, where the file is there.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.with_spans(docs, words=secrets.dictionary(docs, VOCABULARY))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = secrets.digest(F.col("spans"), ("assign", "access", "hex"))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))

@@ -12,7 +12,8 @@ holds a hot group. Inside a group the fingerprints are sorted by Gray rank, so n
 form the nodes of a tree, each of which keeps the bits all its members share that its parent doesn't. A search goes
 down with the differences summed so far and leaves a whole run once they exceed three. Links become one edge for each
 fingerprint and group, towards the group's smallest member of its part, and the edges become components in rounds of
-large and small stars, whose rows are cut through the shared folder.
+large and small stars, whose rows are cut through the shared folder. Rows of one fingerprint, and edges of one hub, are
+dealt to several tasks where they are many.
 
 Defined results: null text is an empty text; rows without ``doc_id`` take part in links, get the component of their
 fingerprint, and never name one unless all members lack an id; repeated rows stay repeated. Other columns aren't read.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import cut, small_batches
+from auditlake.llm.common import cut, join_unique, small_batches
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -55,11 +56,21 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
     digest, total, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(tokens) - shingle + 1
     for at in range(0, n, _HASHES):
         some = [digest(joined[a:b], SEED) for a, b in zip(starts[at : min(n, at + _HASHES)].tolist(), ends[at + shingle - 1 : at + shingle - 1 + _HASHES].tolist())]
-        bits = np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(0, dtype=np.int64)
+        total += _set_bits(np.array(some, "<u8"))
     return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles by their hashes, as a signed number; zero without any."""
+    total = sum((_set_bits(hashes[at : at + _HASHES]) for at in range(0, len(hashes), _HASHES)), np.zeros(64, np.int64))
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every row."""
     small_batches(docs.sparkSession)
@@ -223,10 +234,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        other = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = join_unique(both, least.select("u", "m"), ["u"], "u", least.select("u", "n"))
+        large = cut(large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        other = join_unique(large, least.select("u", "m"), ["u"], "u", least.select("u", "n")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(other.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
         if state == before:
@@ -240,22 +252,10 @@ def _state(edges: DataFrame) -> tuple:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS, group: int = GROUP) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest reachable doc_id)."""
     ids = cut(with_fingerprints(docs, shingle))
-    prints = cut(ids.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    prints = cut(ids.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     linked = components(near_edges(prints, most, group))
     named = prints.join(linked, prints.fp == linked.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
-    return ids.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it.
-
-    Rows without a doc_id stay, as nothing names them; of rows that repeat a kept doc_id, the first by text stays.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, most)
-    firsts = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
-    kept = docs.join(firsts, "doc_id")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != "doc_id"])
-    once = kept.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-    return once.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = join_unique(ids, named, ["fp"], "fp", prints.select("fp", "n"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -5,13 +5,14 @@ if the url's path starts with the rule's path. The longest fitting rule wins; am
 the longer host, and a block over an allow.
 
 The rules are walked as one trie: host labels from the last to the first, then path segments, and at each path node
-the rules that end inside the next segment. A trie is broadcast and holds at most ``MAX_RULES`` rules; longer lists are
-split into several tries, each applied in turn, whose best fit wins, so a task never holds more than one bound's worth
-of a trie at a time per block.
+the rules that end inside the next segment. A trie is broadcast and holds at most ``MAX_RULES`` rules. A longer list is
+split into several tries; between two of them the urls with their best fit so far are written to the shared folder and
+the trie is destroyed, so a task holds one trie at a time. With one trie the plan is map-only.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; no rule fits an empty path or an
 unknown host, and then the default verdict holds. Ports and user names are part of the host. Repeated rows stay
-repeated; other columns are not carried.
+repeated, an empty table gives no rows; further columns are carried, but those named host, path, rule or verdict in any
+case are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import small_batches
+from auditlake.llm.common import small_batches, stored
 
 #: Rules in one broadcast trie.
 MAX_RULES = 200_000
@@ -94,39 +95,26 @@ def _rest(url: Column) -> Column:
 def _fit(trie: Broadcast):  # noqa: ANN202
     """A column function: the best fit in one broadcast trie."""
 
-    @F.pandas_udf("rule string, total int, wide int, verdict string")
+    @F.pandas_udf("total int, wide int, block boolean, rule string, verdict string")
     def fit(host: pd.Series, path: pd.Series) -> pd.DataFrame:
         found = [trie.value.best(h, p) for h, p in zip(host, path)]
-        return pd.DataFrame(
-            {
-                "rule": [f and f[1] for f in found],
-                "total": [f[0][0] if f else -1 for f in found],
-                "wide": [f[0][1] if f else -1 for f in found],
-                "verdict": [f and f[2] for f in found],
-            }
-        )
+        rows = [(*f[0], *f[1:]) if f else (-1, -1, False, None, None) for f in found]
+        return pd.DataFrame(rows, columns=["total", "wide", "block", "rule", "verdict"])
 
     return fit
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url: str = "url", max_rules: int = MAX_RULES) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``; map-only."""
+    """``pages`` with ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``."""
     spark = pages.sparkSession
     small_batches(spark)
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    out = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    fits = []
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    out = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     for start in range(0, max(1, len(rules)), max_rules):
         trie = spark.sparkContext.broadcast(Trie(rules[start : start + max_rules]))
-
-        name = f"__fit{start}"
-        out = out.withColumn(name, _fit(trie)("host", "path"))
-        fits.append(name)
-    order = [F.struct(F.col(f"{n}.total"), F.col(f"{n}.wide"), (F.col(f"{n}.verdict") == "block").alias("b"), F.col(f"{n}.rule"), F.col(f"{n}.verdict")) for n in fits]
-    best = order[0] if len(order) == 1 else F.greatest(*order)
-    return (
-        out.withColumn("__best", best)
-        .withColumn("rule", F.col("__best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("__best.verdict"), F.lit(default)))
-        .drop("__best", *fits)
-    )
+        fit = _fit(trie)("host", "path")
+        out = out.withColumn("fit", F.greatest("fit", fit) if start else fit)
+        if start + max_rules < len(rules):
+            out = stored(out, "urls")
+            trie.destroy()
+    return out.select("row.*", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.lit(default)).alias("verdict"))
