@@ -7,7 +7,9 @@ weighted by the inner product of the features' vectors, in linear time: half of
 the squares.
 
 It is fitted on the driver on a bounded sample: of the labelled rows that may be learned from, ``PER_CLASS`` of each
-label with the smallest hashes of their ids (all, if there are fewer); of documents that share an id, the first by text. Every document is scored over its whole text.
+label with the smallest hashes of their ids (all, if there are fewer); of documents that share an id, the first by text.
+A row of the sample holds at most 2^17 words of 4 bytes, so it has 2 GB at the very most, and 20 MB with the usual words.
+Every document is scored over its whole text.
 
 Defined results: null text is an empty text; labels that are null or that name no document teach nothing, of rows that
 repeat a label's id the largest label holds; without labels of both kinds every score is 0.5; a row without doc_id is
@@ -99,7 +101,7 @@ class Rows:
     @classmethod
     def of(cls, found: list[tuple[list[int], float]]) -> Rows:
         lengths = np.array([len(f) for f, _ in found], np.int64)
-        index = np.fromiter((i for f, _ in found for i in f), np.int64, int(lengths.sum()))
+        index = np.concatenate([np.zeros(0, np.int64), *(np.asarray(f, np.int64) for f, _ in found)])
         value = np.where(index < 1 << WORD_BITS, np.repeat([w for _, w in found], lengths), 1 / np.sqrt(_STATS))
         return cls(index, value.astype(np.float32), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64))
 
@@ -121,7 +123,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.sums(rows)[0].astype(np.float64), -30, 30)))
 
 
-def fit(found: list[tuple[list[int], float]], labels: np.ndarray, seed: int = 7) -> Machine | None:
+def fit(found: list[tuple[np.ndarray, float]], labels: np.ndarray, seed: int = 7) -> Machine | None:
     """A machine for the labels by adaptive gradients over small batches; none if only one label occurs."""
     if len(set(labels.tolist())) < 2:
         return None
@@ -176,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mac
     sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = sample.select("doc_id", "quality", found("text").alias("f")).select("doc_id", "quality", "f.*")
     rows = rows.toPandas().sort_values("doc_id")
-    return fit([(list(i), v) for i, v in zip(rows["index"], rows["value"])], rows["quality"].to_numpy(np.float32))
+    return fit(list(zip(rows["index"], rows["value"])), rows["quality"].to_numpy(np.float32))
 
 
 def score(docs: DataFrame, model: Machine | None, text: str = "text") -> Column:

@@ -308,7 +308,7 @@ def dictionary(docs: DataFrame, vocabulary: str | None = None, size: int = DICTI
     """
     small_batches(docs.sparkSession)
     counted = docs.select(F.col(text).alias("text")).mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    own = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    own = counted.orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"].tolist()
     more = vocabulary_words(vocabulary)[:size] if vocabulary and os.path.exists(vocabulary) else []
     both = [w for pair in zip(own, more) for w in pair] + own[len(more) :] + more[len(own) :]
     return Dictionary(both)
