@@ -12,8 +12,8 @@ holds a hot group. Inside a group the fingerprints are sorted by Gray rank, so n
 form the nodes of a tree, each of which keeps the bits all its members share that its parent doesn't. A search goes
 down with the differences summed so far and leaves a whole run once they exceed three. Links become one edge for each
 fingerprint and group, towards the group's smallest member of its part, and the edges become components in rounds of
-large and small stars, whose rows are cut through the shared folder. Rows of one fingerprint, and edges of one hub, are
-dealt to several tasks where they are many.
+large and small stars, whose rows are cut through the shared folder. Rows of one fingerprint are dealt to several tasks
+where they are many; the edges of a hub meet its one row of least neighbours in a join that adaptive execution splits.
 
 Defined results: null text is an empty text; rows without ``doc_id`` take part in links, get the component of their
 fingerprint, and never name one unless all members lack an id; repeated rows stay repeated. Other columns aren't read.
@@ -234,11 +234,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        large = join_unique(both, least.select("u", "m"), ["u"], "u", least.select("u", "n"))
-        large = cut(large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        other = join_unique(large, least.select("u", "m"), ["u"], "u", least.select("u", "n")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        other = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(other.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
         if state == before:
