@@ -301,16 +301,3 @@ def test_sql(spark, name):
     columns = [c[0] for c in con.description]
     got = queries.QUERIES[name](spark, SF).select(*columns).collect()
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs, kept = queries.table(spark, SF, "documents"), {}
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF).cache()
-        kept[name], before, docs = out.count(), docs, out
-        if name != "source_mixing":
-            assert out.columns == before.columns
-    assert kept["quality_classifier"] >= kept["near_duplicates"] >= kept["decontamination"] == kept["secret_scans"] > 0
-    assert corpus_pipeline.run(spark, SF).count() == kept["source_mixing"]
