@@ -67,7 +67,9 @@ def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], by: str, coun
     def dealt(df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(hot), df[by] == hot["__by"], "left").withColumn("__many", F.coalesce("__many", F.lit(1))).drop("__by")
 
-    left = dealt(rows).withColumn("__deal", F.floor(F.rand(7) * F.col("__many")).cast("int")).drop("__many")
+    # by the row's own content, so that a task that runs again deals alike
+    content = [F.col(c) for c, kind in rows.dtypes if not kind.startswith("map") and "map<" not in kind]
+    left = dealt(rows).withColumn("__deal", F.pmod(F.xxhash64(*content), F.col("__many")).cast("int")).drop("__many")
     right = dealt(unique).withColumn("__deal", F.explode(F.sequence(F.lit(0), F.col("__many") - 1))).drop("__many")
     return left.join(right, [*both, "__deal"]).drop("__deal")
 
