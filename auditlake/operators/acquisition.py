@@ -159,3 +159,17 @@ def ambiguous_aliases(aliases: DataFrame) -> DataFrame:
 def named_platforms(scopes: DataFrame, aliases: DataFrame) -> DataFrame:
     """scope, platform: platforms that a scope text names."""
     return scopes.join(F.broadcast(aliases), text.named_in(F.col("scope"), F.col("alias"))).select("scope", "platform").distinct()
+
+
+def dashboard_summary(rows: DataFrame) -> DataFrame:
+    """One row about a dashboard: platforms, how many of each depth, and how many need work."""
+    depth = lambda d: F.count_if(F.col("depth") == d).alias(d)
+    return rows.agg(F.count("*").alias("platforms"), depth("full"), depth("hybrid"), depth("constrained"), F.count_if(F.col("priority") > 0).alias("needing_work"))
+
+
+def source_entries(receipts: DataFrame) -> DataFrame:
+    """Receipts as the source checks of a ledger, with the receipt inside."""
+    inner = ("task_id", "retrieval_method", "attempts", "http_status", "content_hash", "content_ref", "error_type", "route_verified")
+    receipt = F.struct(*[F.col(c) for c in inner]).alias("acquisition_receipt")
+    url = F.coalesce("final_url", "requested_url").alias("url")
+    return receipts.select("platform", "seller_market", "program", F.struct("source_type", url, "result", "checked_at", F.coalesce("notes", F.lit("")).alias("notes"), "snapshot", receipt).alias("source"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import urllib.request
+from collections.abc import Callable
+from pathlib import Path
+from urllib.parse import urlsplit
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import ids, score
+from auditlake.plans import files
 
 
 def signed(events: DataFrame) -> DataFrame:
@@ -45,3 +52,28 @@ def deliver(judged: DataFrame, post, batch: int = 500) -> int:  # noqa: ANN001
     if held:
         post(held)
     return sent + len(held)
+
+
+def load_state(spark: SparkSession, path: str | None) -> DataFrame:
+    """The signatures in a file of the driver; none without a file."""
+    known = json.loads(Path(path).read_text(encoding="utf-8"))["signatures"] if path and Path(path).exists() else []
+    return spark.createDataFrame([(s,) for s in known], "signature string")
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """Writes the signatures whole, sorted."""
+    files.write_whole(path, files.dump({"signatures": [r["signature"] for r in state.orderBy("signature").toLocalIterator()]}))
+
+
+def webhook(url: str, timeout: float = 20, opener: Callable | None = None) -> Callable[[dict], None]:
+    """A function that posts a batch as JSON; only to https, and only an answer of 2xx counts as delivered."""
+    if urlsplit(url).scheme != "https" or not urlsplit(url).netloc:
+        raise ValueError("a webhook must be an https URL")
+
+    def post(batch: dict) -> None:
+        ask = urllib.request.Request(url, json.dumps(batch, ensure_ascii=False).encode(), {"Content-Type": "application/json"}, method="POST")
+        with (opener or urllib.request.urlopen)(ask, timeout=timeout) as reply:
+            if not 200 <= reply.status < 300:
+                raise ValueError(f"webhook answered {reply.status}")
+
+    return post

@@ -2,6 +2,10 @@
 
 Events: event_id, title, summary, impact, rationale, products, jurisdiction, platform, hs_codes. Catalog: sku, name,
 markets, platforms, hs_codes, keywords; an empty scope means any.
+
+Events and items never meet all by all. An item's scopes are a few (market, platform) keys, and of an event's keys just
+one fits an item, so the number of items in scope is a sum of the keys' counts. Codes meet by equal prefixes; names and
+keywords meet bodies by three of their letters, each distinct one once, and then the items that have them by scope.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import text
 
 ANY = "*"
+GRAM = 3
 
 
 def _reach(scope: str) -> Column:
@@ -19,31 +24,69 @@ def _reach(scope: str) -> Column:
     return F.when(F.size(scope) == 0, F.array(F.lit(ANY))).otherwise(F.array_distinct(F.transform(scope, text.catalog_scope)))
 
 
-def in_scope(events: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Pairs of events and items whose market and platform agree; they meet by equal scope values, not all by all."""
-    items = catalog.withColumn("__m", F.explode(_reach("markets"))).withColumn("__p", F.explode(_reach("platforms")))
+def _keys(catalog: DataFrame) -> DataFrame:
+    """sku with each market and platform it reaches."""
+    return catalog.select("sku", F.explode(_reach("markets")).alias("__m"), "platforms").select("sku", "__m", F.explode(_reach("platforms")).alias("__p")).distinct()
+
+
+def _wanted(events: DataFrame) -> DataFrame:
+    """event_id with each market and platform of items in its scope."""
     own = lambda c: F.array_distinct(F.array(F.lit(ANY), text.catalog_scope(F.col(c))))
-    wanted = events.select("event_id", F.explode(own("jurisdiction")).alias("__m"), "platform").select("event_id", "__m", F.explode(own("platform")).alias("__p"))
-    return wanted.join(items.select("sku", "__m", "__p"), ["__m", "__p"]).select("event_id", "sku").distinct()
+    return events.select("event_id", F.explode(own("jurisdiction")).alias("__m"), "platform").select("event_id", "__m", F.explode(own("platform")).alias("__p"))
+
+
+def scope_counts(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """event_id and in_scope, the number of items whose market and platform agree with the event's."""
+    counts = _keys(catalog).groupBy("__m", "__p").agg(F.count("*").alias("n"))
+    found = _wanted(events).join(counts, ["__m", "__p"]).groupBy("event_id").agg(F.sum("n").alias("in_scope"))
+    return events.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("in_scope", F.lit(0)).alias("in_scope"))
+
+
+def _said(events: DataFrame) -> Column:
+    parts = [text.text_of(F.col(c)) for c in ("title", "summary", "impact", "rationale")]
+    return F.concat_ws(" ", *parts, F.array_join(F.coalesce("products", F.array().cast("array<string>")), " "))
+
+
+def _heads(code: str) -> Column:
+    """A code and all that it begins with."""
+    return F.transform(F.sequence(F.lit(1), F.length(code)), lambda n: F.substring(F.col(code), F.lit(1), n))
+
+
+def _grams(c: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - GRAM + 1, F.lit(1))), lambda n: F.substring(c, n, F.lit(GRAM))))
 
 
 def match(events: DataFrame, catalog: DataFrame) -> DataFrame:
-    """event_id, sku, hs (matched codes), terms (matched names and keywords) of in-scope pairs."""
-    body = text.spaced(F.concat_ws(" ", *[text.text_of(F.col(c)) for c in ("title", "summary", "impact", "rationale")], F.array_join(F.coalesce("products", F.array().cast("array<string>")), " ")))
-    said = F.concat_ws(" ", *[text.text_of(F.col(c)) for c in ("title", "summary", "impact", "rationale")], F.array_join(F.coalesce("products", F.array().cast("array<string>")), " "))
-    e = events.select("event_id", body.alias("body"), text.hs_codes(F.col("hs_codes"), said).alias("codes"))
-    c = catalog.select("sku", F.col("hs_codes").alias("own"), F.array_distinct(F.concat(F.array("name"), "keywords")).alias("words"))
-    rows = in_scope(events, catalog).join(e, "event_id").join(c, "sku")
-    hs = F.array_sort(F.filter("own", lambda o: F.exists("codes", lambda x: text.hs_overlap(o, x))))
-    terms = F.array_sort(F.filter("words", lambda w: (F.length(text.spaced(w)) >= 3) & F.contains(F.col("body"), text.spaced(w))))
-    return rows.select("event_id", "sku", F.array_distinct(hs).alias("hs"), terms.alias("terms"))
+    """event_id, sku, hs (matched codes), terms (matched names and keywords) of in-scope pairs that have one of them."""
+    wanted, keys = _wanted(events), _keys(catalog)
+
+    codes = events.select("event_id", F.explode(text.hs_codes(F.col("hs_codes"), _said(events))).alias("code")).distinct()
+    own = catalog.select("sku", F.explode("hs_codes").alias("own")).filter("own <> ''").distinct()
+    named = codes.select("code").distinct(), own.select("own").distinct()
+    longer = named[0].select("code", F.explode(_heads("code")).alias("own")).join(named[1], "own")
+    shorter = named[1].select("own", F.explode(_heads("own")).alias("code")).join(named[0], "code")
+    overlap = longer.unionByName(shorter).distinct()
+    by_code = codes.join(overlap, "code").select("event_id", "own").distinct().join(wanted, "event_id")
+    by_code = by_code.join(own.join(keys, "sku"), ["own", "__m", "__p"]).select("event_id", "sku", F.col("own").alias("hs"), F.lit(None).cast("string").alias("term"))
+
+    words = catalog.select("sku", F.explode(F.array_distinct(F.concat(F.array("name"), "keywords"))).alias("word")).withColumn("low", text.spaced(F.col("word")))
+    words = words.filter(F.length("low") >= GRAM)
+    asked = words.select("low").distinct().withColumn("gram", F.substring("low", 1, GRAM))
+    bodies = events.select("event_id", text.spaced(_said(events)).alias("body"))
+    heard = bodies.select("event_id", "body", F.explode(_grams(F.col("body"))).alias("gram")).join(asked, "gram").filter(F.contains("body", "low"))
+    by_term = heard.select("event_id", "low").join(wanted, "event_id").join(words.join(keys, "sku"), ["low", "__m", "__p"])
+    by_term = by_term.select("event_id", "sku", F.lit(None).cast("string").alias("hs"), F.col("word").alias("term"))
+
+    found = by_code.unionByName(by_term).groupBy("event_id", "sku")
+    return found.agg(F.array_sort(F.collect_set("hs")).alias("hs"), F.array_sort(F.collect_set("term")).alias("terms"))
 
 
 def statuses(events: DataFrame, catalog: DataFrame) -> DataFrame:
     """event_id, status (matched, needs_review, no_match) and the matched items."""
-    hit = (F.size("hs") > 0) | (F.size("terms") > 0)
     basis = F.filter(F.array(F.when(F.size("hs") > 0, "hs_prefix"), F.when(F.size("terms") > 0, "product_keyword")), lambda b: b.isNotNull())
-    found = match(events, catalog).groupBy("event_id").agg(F.array_sort(F.collect_list(F.when(hit, F.struct("sku", basis.alias("basis"), F.col("hs").alias("matched_hs_codes"), F.col("terms").alias("matched_terms"))))).alias("items"))
-    rows = events.select("event_id").join(found, "event_id", "left")
-    status = F.when(F.size("items") > 0, "matched").when(F.col("items").isNotNull(), "needs_review").otherwise("no_match")
-    return rows.select("event_id", status.alias("status"), F.coalesce("items", F.expr("array()").cast("array<struct<sku:string,basis:array<string>,matched_hs_codes:array<string>,matched_terms:array<string>>>")).alias("items"))
+    item = F.struct("sku", basis.alias("basis"), F.col("hs").alias("matched_hs_codes"), F.col("terms").alias("matched_terms"))
+    found = match(events, catalog).groupBy("event_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = scope_counts(events, catalog).join(found, "event_id", "left")
+    status = F.when(F.size("items") > 0, "matched").when(F.col("in_scope") > 0, "needs_review").otherwise("no_match")
+    none = F.expr("array()").cast("array<struct<sku:string,basis:array<string>,matched_hs_codes:array<string>,matched_terms:array<string>>>")
+    return rows.select("event_id", status.alias("status"), F.coalesce("items", none).alias("items"))

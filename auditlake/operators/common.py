@@ -4,23 +4,63 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one if driver and executors are one process; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="auditlake-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="auditlake-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def tasks(spark: SparkSession) -> int:
+    """As many parts as keep all cores busy with work that its bytes don't show."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def spread(pairs: DataFrame, *keys: str) -> DataFrame:
     """Pairs over all tasks, before a costly function: a few bytes of pairs can be minutes of work."""
-    spark = pairs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return pairs.repartition(n, *keys)
+    return pairs.repartition(tasks(pairs.sparkSession), *keys)
+
+
+def meet(a: DataFrame, b: DataFrame, key: str, least: int = 128, most: int = 4096) -> DataFrame:
+    """Structs ``a`` and ``b`` of all pairs of rows of equal ``key``.
+
+    The rows of ``b`` are dealt to chunks, those of ``a`` copied to each chunk of their key, so that a key with many rows
+    is many tasks; a chunk has ``least`` to ``most`` rows. Nulls meet nothing.
+    """
+    n = tasks(a.sparkSession)
+    many = F.greatest(F.ceil(F.col("__n") / most), F.least(F.ceil(F.col("__n") / least), F.lit(16))).cast("int")
+    sizes = b.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).select(F.col(key).alias("__k"), many.alias("__many"))
+    row = lambda df, name: F.struct(*[F.col(c) for c in df.columns]).alias(name)
+    left = a.join(sizes, a[key] == sizes["__k"]).select("__k", F.explode(F.sequence(F.lit(0), F.col("__many") - 1)).alias("__c"), row(a, "a"))
+    chunk = F.pmod(F.xxhash64(*[F.col(c) for c in b.columns]), F.col("__many")).cast("int")
+    right = b.join(sizes, b[key] == sizes["__k"]).select("__k", chunk.alias("__c"), row(b, "b"))
+    return left.repartition(n, "__k", "__c").join(right.repartition(n, "__k", "__c"), ["__k", "__c"]).select("a", "b")
+
+
+def previous_in(rows: DataFrame, key: str, number: str, span: int = 100_000) -> DataFrame:
+    """``key``, ``number`` and ``previous``, the next smaller number of the key; a key's numbers are ordered span by span."""
+    rows = rows.select(key, number, F.floor(F.col(number) / span).alias("__s"))
+    here = rows.withColumn("__p", F.lag(number).over(Window.partitionBy(key, "__s").orderBy(number)))
+    along = Window.partitionBy(key).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(key, "__s").agg(F.max(number).alias("__e")).withColumn("__before", F.max("__e").over(along)).drop("__e")
+    return here.join(ends, [key, "__s"]).select(key, number, F.coalesce("__p", "__before").alias("previous"))
 
 
 def best_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -34,7 +74,12 @@ def placed(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
 
     A place is a row's number in its sorted part behind the sizes of the parts before; only those sizes meet in one task.
     """
-    rows = cut(df.orderBy(*order).withColumn("__i", F.monotonically_increasing_id()))
+    return numbered(df.orderBy(*order), name)
+
+
+def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Rows with their place (from 1) in the order that they have."""
+    rows = cut(ordered.withColumn("__i", F.monotonically_increasing_id()))
     part = F.shiftright("__i", 33)
     sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

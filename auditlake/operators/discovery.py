@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import ids, score, text, timing, udfs
-from auditlake.operators.common import placed, spread
+from auditlake.operators.common import meet, placed, spread
 from auditlake.operators.graph import components, constrained
 
 
@@ -33,7 +33,8 @@ def _prepared(leads: DataFrame) -> DataFrame:
 def lead_links(leads: DataFrame, threshold: float = K.CLUSTER_THRESHOLD) -> DataFrame:
     """a < b and their similarity, from the threshold up.
 
-    Equal URLs and shared identifiers meet by key; the rest only where the bound by lengths reaches the threshold.
+    Equal URLs and shared identifiers meet by key; the rest by jurisdiction, leads without one with all, large groups in
+    chunks, and only where bounds by lengths, by letters and by common subsequence reach the threshold.
     """
     rows = _prepared(leads)
     clash = lambda n: F.coalesce(F.col(f"a.{n}") != F.col(f"b.{n}"), F.lit(False))
@@ -50,13 +51,18 @@ def lead_links(leads: DataFrame, threshold: float = K.CLUSTER_THRESHOLD) -> Data
 
     goods = F.when((F.size("a.goods") > 0) & (F.size("b.goods") > 0), score.jaccard(F.col("a.goods"), F.col("b.goods"))).otherwise(0.0)
     x, y, z = K.LEAD_WEIGHTS
-    hopeful = ordered & (x * bound("claim") + y * bound("title") + z * goods >= threshold - 1e-9)
-    # known jurisdictions must agree, so those meet by key; only rows without one meet all
-    known = a.join(b, (F.col("a.jurisdiction") == F.col("b.jurisdiction")) & hopeful)
-    loose = a.join(b, (F.col("a.jurisdiction").isNull() | F.col("b.jurisdiction").isNull()) & hopeful)
+    rows = rows.withColumn("any", F.pmod("pos", F.lit(1)))  # one key for all; a literal would make the join a product
+    known, loose = rows.filter("jurisdiction is not null"), rows.filter("jurisdiction is null")
+    pairs = meet(known, known, "jurisdiction").filter("a.pos < b.pos")
+    first = F.col("a.pos") < F.col("b.pos")
+    other = meet(loose, rows, "any").filter((F.col("b.jurisdiction").isNotNull() & (F.col("a.pos") != F.col("b.pos"))) | first)
+    pairs = pairs.union(other.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")))
+    pairs = pairs.filter(ordered & (x * bound("claim") + y * bound("title") + z * goods >= threshold - 1e-9))
     texts = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("pos", "claim", "title")]
-    near = spread(known.select(*texts, goods.alias("g")).union(loose.select(*texts, goods.alias("g"))), "a_pos", "b_pos")
-    near = near.withColumn("c", F.coalesce(udfs.seq_ratio("a_claim", "b_claim"), F.lit(0.0)))
+    least = (F.lit(threshold) - y * bound("title") - z * goods) / x
+    near = pairs.withColumn("most", udfs.seq_bound("a.claim", "b.claim", least))
+    near = near.filter(x * F.coalesce("most", F.lit(0.0)) + y * bound("title") + z * goods >= threshold - 1e-9)
+    near = spread(near.select(*texts, goods.alias("g")), "a_pos", "b_pos").withColumn("c", F.coalesce(udfs.seq_ratio("a_claim", "b_claim"), F.lit(0.0)))
     p, q = F.length("a_title"), F.length("b_title")
     still = x * F.col("c") + y * F.when((p > 0) & (q > 0), 2 * F.least(p, q) / (p + q)).otherwise(0.0) + z * F.col("g") >= threshold - 1e-9
     near = near.filter(still).withColumn("t", udfs.seq_ratio("a_title", "b_title"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
-from auditlake.functions import score, text
+from auditlake.functions import ids, score, text, timing, udfs
+from auditlake.operators import validation
 
 DATES = ("published_date", "effective_date", "deadline")
 
@@ -102,3 +103,79 @@ def scaffold(candidates: DataFrame, final: DataFrame) -> DataFrame:
     known = candidates.join(have, "event_id", "left").select("event_id", F.col("__f").isNotNull().alias("should_include"), F.lit("candidate").alias("origin"), context)
     rest = final.join(candidates.select("event_id"), "event_id", "left_anti").select("event_id", F.lit(True).alias("should_include"), F.lit("final_only").alias("origin"), context)
     return known.unionByName(rest)
+
+
+REVIEW_STATUSES = ("draft", "independently_reviewed")
+
+
+def label_rules(files: DataFrame) -> DataFrame:
+    """What is wrong with label sets (report, raw): report, location, message."""
+    rows = files.select("report", F.try_parse_json("raw").alias("v"))
+    v, get = F.col("v"), validation.get
+    blank = lambda c: ~F.coalesce(text.nonblank(c), F.lit(False))
+    outside = lambda c, allowed: ~F.coalesce(c.isin(*allowed), F.lit(False))
+    reviewed = get(v, "review_status").eqNullSafe(F.lit("independently_reviewed"))
+    records = F.try_variant_get(v, "$.records", "array<variant>")
+    cases = validation.kind_of(v, "deduplication_cases")
+    root = [
+        (F.lit("dataset_version"), "must be 1", ~get(v, "dataset_version", "int").eqNullSafe(F.lit(1))),
+        (F.lit("dataset_name"), "must be nonblank", blank(get(v, "dataset_name"))),
+        (F.lit("review_status"), "is not a known status", outside(get(v, "review_status"), REVIEW_STATUSES)),
+        (F.lit("reviewed_by"), "is required after a review", reviewed & blank(get(v, "reviewed_by"))),
+        (F.lit("reviewed_at"), "must be an ISO datetime with an offset", reviewed & ~timing.valid_instant(get(v, "reviewed_at"))),
+        (F.lit("records"), "must be a non-empty array", ~F.coalesce(F.size(records) > 0, F.lit(False))),
+        (F.lit("deduplication_cases"), "must be an array", cases.isNotNull() & ~cases.startswith("ARRAY<")),
+    ]
+    again = lambda rows, name: rows.withColumn("again", F.row_number().over(Window.partitionBy("report", get(F.col("item"), name)).orderBy("i")) > 1)
+    r, dot = F.col("item"), F.col("dot")
+    at = lambda n: F.concat(dot, F.lit(n))
+    wanted = F.coalesce(get(r, "should_include", "boolean"), F.lit(False))
+    urls = F.try_variant_get(r, "$.accepted_primary_source_urls", "array<string>")
+    each = [
+        (at("event_id"), "must be nonblank", blank(get(r, "event_id"))),
+        (at("event_id"), "is a duplicate", F.col("again") & get(r, "event_id").isNotNull()),
+        (at("should_include"), "must be boolean", ~validation.kind_of(r, "should_include").eqNullSafe(F.lit("BOOLEAN"))),
+        (at("accepted_primary_source_urls"), "must be http(s) URLs", wanted & ~F.coalesce((F.size(urls) > 0) & F.forall(urls, text.is_url), F.lit(False))),
+        (at("status"), "is not a known status", wanted & outside(get(r, "status"), K.STATUSES)),
+        (at("level"), "is not a known level", wanted & outside(get(r, "level"), K.LEVELS)),
+        *[(at(n), "must be an ISO date or null", wanted & get(r, n).isNotNull() & ~timing.valid_date(get(r, n))) for n in DATES],
+    ]
+    names = ("current_id", "previous_id", "expected_disposition")
+    of_case = [*[(at(n), "must be nonblank", blank(get(r, n))) for n in names], (at("current_id"), "is a duplicate", F.col("again") & get(r, "current_id").isNotNull())]
+    records, cases = (again(validation.elements(rows, v, path, F.lit("")), name) for path, name in (("records", "event_id"), ("deduplication_cases", "current_id")))
+    return validation.found(rows, root).unionByName(validation.found(records, each)).unionByName(validation.found(cases, of_case))
+
+
+def report_rules(files: DataFrame) -> DataFrame:
+    """What keeps reports from being evaluated: ids of their events and of their deduplication's matches."""
+    rows = files.select("report", F.try_parse_json("raw").alias("v"))
+    kinds = [F.schema_of_variant(F.try_variant_get("v", f"$.{p}", "variant")) for p in ("events", "deduplication.matches")]
+    root = [
+        (F.lit("events"), "must be an array", ~F.coalesce(kinds[0].startswith("ARRAY<"), F.lit(False))),
+        (F.lit("deduplication.matches"), "must be an array", kinds[1].isNotNull() & ~kinds[1].startswith("ARRAY<")),
+    ]
+    r, dot = F.col("item"), F.col("dot")
+    blank = lambda n: ~F.coalesce(text.nonblank(validation.get(r, n)), F.lit(False))
+    events = validation.elements(rows, F.col("v"), "events", F.lit(""))
+    events = events.withColumn("again", F.row_number().over(Window.partitionBy("report", validation.get(r, "id")).orderBy("i")) > 1)
+    of_event = [(F.concat(dot, F.lit("id")), "must be nonblank", blank("id")), (F.concat(dot, F.lit("id")), "is a duplicate", F.col("again") & validation.get(r, "id").isNotNull())]
+    matches = validation.elements(rows, F.col("v"), "deduplication.matches", F.lit(""))
+    of_match = [(F.concat(dot, F.lit("current_id")), "must be nonblank", blank("current_id"))]
+    return validation.found(rows, root).unionByName(validation.found(events, of_event)).unionByName(validation.found(matches, of_match))
+
+
+def content_hash(raw: Column) -> Column:
+    """The hash of a JSON text in canonical form: what names a set of labels or a report."""
+    return ids.hashed(udfs.canonical_json(raw))
+
+
+def history_hash(runs: DataFrame) -> DataFrame:
+    """One hash of several runs' (run_pos, hash), in their order."""
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_pos", "hash"))), lambda r: r["hash"]), "")
+    return runs.agg(ids.hashed(ordered).alias("history_hash"))
+
+
+def case_errors(outcomes: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per run the current_ids of wrong deduplication cases, in the order of the cases (``pos``)."""
+    wrong = outcomes.filter("not correct").join(cases.select("run", "current_id", "pos"), ["run", "current_id"])
+    return wrong.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "current_id"))), lambda x: x["current_id"]).alias("error_ids"))

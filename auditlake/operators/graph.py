@@ -30,11 +30,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def constrained(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node`` and ``cluster``: unions in order of (a, b), each refused if it would mix two known scopes.
 
-    ``nodes``: node, jurisdiction, platform (null if unknown). The order matters, so each plain component replays its own
-    edges; components bound what a task holds.
+    ``nodes``: node, jurisdiction, platform (null if unknown). A component with one known jurisdiction and one platform at
+    most refuses nothing, so it is a cluster. In others the order matters: such a component replays its own edges in one
+    task, as each union depends on those before it.
     """
     edges = cut(edges.select("a", "b"))
     whole = components(nodes.select("node"), edges)
+    known = nodes.join(whole, "node")
+    mixed = known.groupBy("component").agg(F.count_distinct("jurisdiction").alias("j"), F.count_distinct("platform").alias("p")).filter("j > 1 or p > 1")
+    mixed = cut(mixed.select("component"))
+    plain = whole.join(mixed, "component", "left_anti").select("node", F.col("component").alias("cluster"))
+    whole = whole.join(mixed, "component", "left_semi")
     members = nodes.join(whole, "node").select("component", "node", "jurisdiction", "platform", F.lit(None).cast("long").alias("b"))
     links = edges.join(whole, edges.a == whole.node).select("component", F.col("a").alias("node"), F.lit(None).cast("string").alias("jurisdiction"), F.lit(None).cast("string").alias("platform"), "b")
 
@@ -56,4 +62,4 @@ def constrained(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         heads = [root(n) for n in own["node"]]
         return pd.DataFrame({"node": own["node"].to_numpy(), "head": heads}).assign(cluster=lambda d: d.groupby("head")["node"].transform("min"))[["node", "cluster"]]
 
-    return members.unionByName(links).groupBy("component").applyInPandas(replay, "node long, cluster long")
+    return plain.unionByName(members.unionByName(links).groupBy("component").applyInPandas(replay, "node long, cluster long"))

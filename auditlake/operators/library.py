@@ -6,10 +6,13 @@ report_date) as text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions import text
+from auditlake.functions import ids, text
+from auditlake.operators import validation
+from auditlake.operators.common import best_of
+from auditlake.sources import reports as sources
 
 SEARCHED = ("title", "jurisdiction", "authority", "products", "summary", "impact", "action", "source_title")
 
@@ -37,8 +40,8 @@ def search(sightings: DataFrame, query: str, limit: int = 20, columns: tuple[str
     word = text.prefix_match(F.concat_ws(" ", *have), query.strip())
     part = text.like_any(have, query.strip())
     rank = F.min(F.when(word, 0).otherwise(1)).alias("rank")
-    ids = sightings.filter(word | part).groupBy("event_id").agg(rank).orderBy("rank", "event_id").limit(limit)
-    return history(sightings.join(F.broadcast(ids.select("event_id")), "event_id", "left_semi")).orderBy(F.desc("last_seen"), F.desc("event_id"))
+    hits = sightings.filter(word | part).groupBy("event_id").agg(rank).orderBy("rank", "event_id").limit(limit)
+    return history(sightings.join(F.broadcast(hits.select("event_id")), "event_id", "left_semi")).orderBy(F.desc("last_seen"), F.desc("event_id"))
 
 
 def show(sightings: DataFrame, event_id: str) -> DataFrame:
@@ -55,3 +58,51 @@ def drill_context(sightings: DataFrame, event_id: str) -> DataFrame:
     at = Window.partitionBy("event_id").orderBy(F.desc("cutoff"), F.desc("report_date"))
     rows = sightings.filter(F.col("event_id") == event_id).withColumn("n", F.count("*").over(Window.partitionBy("event_id")))
     return rows.withColumn("place", F.row_number().over(at)).filter("place = 1").drop("place")
+
+
+def _newest(spark: SparkSession, store: str) -> int:
+    """The number of the store's newest whole version; 0 without one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(store)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    names = [x.getPath().getName() for x in fs.listStatus(root)]
+    return max((int(n[2:]) for n in names if n.startswith("v=") and fs.exists(hadoop.Path(f"{store}/{n}/sightings/_SUCCESS"))), default=0)
+
+
+def tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame] | None:
+    """(reports, sightings) of a store's newest version; none of an empty store."""
+    n = _newest(spark, store)
+    return (spark.read.parquet(f"{store}/v={n}/reports"), spark.read.parquet(f"{store}/v={n}/sightings")) if n else None
+
+
+def ingest(spark: SparkSession, store: str, path: str, ingested_at: str, aliases: DataFrame | None = None) -> dict:
+    """Adds the valid reports of a file or folder to a store of tables; a broken single file is an error, others are skipped.
+
+    A version of both tables is written whole and counts once its last table is complete, so readers never see half an
+    ingest. Of several files of one report the last by path holds.
+    """
+    found = sources.raw(spark, path)
+    if found.isEmpty():
+        raise ValueError(f"no JSON files in {path}")
+    valid, skipped = sources.split_valid(found, aliases)
+    skipped = [r.asDict() for r in skipped.orderBy("report").toLocalIterator()]
+    if skipped and found.count() == 1:
+        raise ValueError(f"report failed validation: {validation.preview(validation.violations(found, aliases))}")
+    rows = sources.events(valid)
+    key = ids.report_key(F.col("report_date"), F.col("cutoff"), F.col("scope")).alias("report_key")
+    head = rows.select("report", key, "report_date", "cutoff").distinct()
+    counts = rows.groupBy("report").agg(F.count("*").alias("events"))
+    fresh = head.join(counts, "report").join(valid.select("report", ids.hashed(F.col("raw")).alias("content_hash")), "report")
+    fresh = best_of(fresh, ["report_key"], F.desc("report")).select("report_key", F.lit(ingested_at).alias("ingested_at"), F.col("report").alias("path"), "report_date", "cutoff", "events", "content_hash")
+    seen = rows.join(fresh.select(F.col("path").alias("report"), "report_key"), "report").withColumnsRenamed({"id": "event_id", "report": "path"}).withColumn("ingested_at", F.lit(ingested_at))
+    now = tables(spark, store)
+    if now is not None:
+        fresh, seen = upsert(now[0], fresh), now[1].join(fresh.select("report_key"), "report_key", "left_anti").unionByName(seen, allowMissingColumns=True)
+    target = f"{store}/v={_newest(spark, store) + 1}"
+    fresh.write.mode("overwrite").parquet(f"{target}/reports")
+    seen.write.mode("overwrite").parquet(f"{target}/sightings")
+    done, events = tables(spark, store)
+    mine = done.filter(F.col("ingested_at") == ingested_at)
+    return {"imported_count": mine.count(), "event_count": events.join(mine.select("report_key"), "report_key", "left_semi").count(), "skipped": skipped}

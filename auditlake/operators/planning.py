@@ -6,7 +6,6 @@ Drills plan a closer look at every event of a table at once.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterable, Sequence
 from datetime import datetime, timedelta
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
-from auditlake.functions import ids, text
+from auditlake.functions import ids, text, udfs
 
 
 class Kind(NamedTuple):
@@ -75,13 +74,13 @@ def distinct(values: Iterable[str]) -> list[str]:
     return list(kept.values())
 
 
-def hs_list(codes: Iterable[str]) -> list[str]:
-    """Codes without separators; others than 4 to 10 digits are refused."""
-    bare = [c.translate(str.maketrans("", "", ". -\t\n\r")) for c in codes]
-    for code, given in zip(bare, codes):
-        if not code.isdigit() or not 4 <= len(code) <= 10:
-            raise ValueError(f"HS code {given!r} must have 4 to 10 digits")
-    return list(dict.fromkeys(bare))
+def hs_list(spark: SparkSession, codes: Sequence[str]) -> list[str]:
+    """Codes without separators, first occurrences in order; others than 4 to 10 digits are refused."""
+    code = text.hs_code(F.col("given"))
+    rows = spark.createDataFrame([(n, c) for n, c in enumerate(codes)], "pos int, given string").select("pos", "given", code.alias("code"), text.valid_hs(code).alias("good")).orderBy("pos").collect()
+    if wrong := [r["given"] for r in rows if not r["good"]]:
+        raise ValueError(f"HS code {wrong[0]!r} must have 4 to 10 digits")
+    return list(dict.fromkeys(r["code"] for r in rows))
 
 
 def authorities(regions: Iterable[str]) -> list[str]:
@@ -97,9 +96,26 @@ def _instant(value: str, name: str) -> datetime:
     return at
 
 
-def track_id(kind: str, identity: dict) -> str:
-    content = json.dumps(identity, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-    return f"{kind.replace('_', '-')}-{hashlib.sha256(content.encode()).hexdigest()[:12]}"
+def track_id(kind: Column, identity: Column) -> Column:
+    """The kind and a hash of the identity, given as JSON, in canonical form."""
+    return F.concat_ws("-", F.translate(kind, "_", "-"), ids.hashed(udfs.canonical_json(identity), 12))
+
+
+def content_id(rows: DataFrame, *columns: str, order: str = "pos", head: Column | None = None) -> DataFrame:
+    """One row with ``id``: a hash over a small table's rows in their order, behind ``head``."""
+    body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order]))), lambda r: F.struct(*[r[c] for c in columns])), {"ignoreNullFields": "false"})
+    return rows.agg(ids.hashed(F.concat_ws("\n", head if head is not None else F.lit(""), body), 24).alias("id"))
+
+
+def plan_id(tracks: DataFrame, cutoff: str) -> DataFrame:
+    """The id of a plan: of its cutoff and its tracks in order."""
+    return content_id(tracks, "track_id", "window_start", "window_end", head=F.lit(cutoff))
+
+
+def manifest_ids(tasks: DataFrame, created_at: str, window_start: str, cutoff: str) -> DataFrame:
+    """The id of each platform's manifest: of its times and its tasks, sorted."""
+    ordered = F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "task_id", "source_type", "url"))), "\n")
+    return tasks.groupBy("platform").agg(ids.hashed(F.concat_ws("\n", F.lit(created_at), F.lit(window_start), F.lit(cutoff), ordered), 24).alias("manifest_id"), F.count("*").alias("tasks"))
 
 
 def plan(
@@ -117,7 +133,7 @@ def plan(
     if _instant(start, "window_start") > at or _instant(end, "deadline_end") <= at:
         raise ValueError("a plan's window begins by its cutoff and its deadlines end after it")
     regions, products, keywords = distinct(regions) or list(K.DEFAULT_REGIONS), distinct(products), distinct(keywords)
-    codes = hs_list(distinct(hs_codes))
+    codes = hs_list(spark, distinct(hs_codes)) if hs_codes else []
     first: dict[str, tuple[str, str, str]] = {}
     for x in platforms:
         scope = (x, "unknown", "unknown") if isinstance(x, str) else x
@@ -145,10 +161,10 @@ def plan(
             urls = list(K.MARITIME_URLS) if kind == "logistics_chokepoints" else []
             until = end if kind == "effective_deadlines" else cutoff
             rows.append((
-                len(rows), track_id(kind, {name: here[name] for name in of.identity}), kind, of.label.format(**here), of.weight, of.freshness, of.evidence, places, who,
+                len(rows), json.dumps({name: here[name] for name in of.identity}), kind, of.label.format(**here), of.weight, of.freshness, of.evidence, places, who,
                 products, codes, *about, list(of.sources), urls, queries, platform_start if scope else start, until,
             ))
-    out = spark.createDataFrame(rows, TRACK)
+    out = spark.createDataFrame(rows, TRACK).withColumn("track_id", track_id(F.col("kind"), F.col("track_id")))
     none = F.array().cast("array<string>")
     if official is not None:
         urls = for_regions(official, regions).agg(F.array_distinct(F.collect_list("url")).alias("__urls")).withColumn("kind", F.lit("official_updates"))

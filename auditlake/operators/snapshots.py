@@ -64,10 +64,11 @@ def admit(rows: DataFrame, policy: str = "sqlite", key: str = "page_key") -> Dat
     """Arrivals (arrival order ``seq``) with ``accepted``: what a store of this kind takes of late captures.
 
     filesystem takes all; sqlite refuses earlier ones than the latest; git also equal times with other contents; s3 equal
-    times too, but for an exact repeat.
+    times too, but for an exact repeat. Refused captures are no later than the latest one taken, so the latest time is that
+    of all arrivals, and the first to arrive with it is the one that was taken.
     """
     before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__t", F.max("captured_at").over(before)).withColumn("__h", F.max(F.struct("captured_at", "content_hash")).over(before)["content_hash"])
-    now, top, same = F.col("captured_at"), F.col("__t"), F.col("__h") == F.col("content_hash")
+    rows = rows.withColumn("__top", F.max(F.struct("captured_at", -F.col("seq"), "content_hash")).over(before))
+    now, top, same = F.col("captured_at"), F.col("__top.captured_at"), F.col("__top.content_hash") == F.col("content_hash")
     ok = {"filesystem": F.lit(True), "sqlite": now >= top, "git": (now > top) | ((now == top) & same), "s3": (now > top) | ((now == top) & same)}[policy]
-    return rows.withColumn("accepted", top.isNull() | ok).drop("__t", "__h")
+    return rows.withColumn("accepted", top.isNull() | ok).drop("__top")

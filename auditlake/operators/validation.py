@@ -84,7 +84,7 @@ def _bad(v: Column, name: str, test) -> Column:  # noqa: ANN001
     return (kind_of(v, name) == "STRING") & ~test(get(v, name))
 
 
-def _items(rows: DataFrame, v: Column, path: str, label: Column) -> DataFrame:
+def elements(rows: DataFrame, v: Column, path: str, label: Column) -> DataFrame:
     """Elements of an array field as variants, with their location and place."""
     array = F.try_variant_get(v, f"$.{path}", "array<variant>")
     return rows.select("*", F.posexplode(array).alias("i", "item")).withColumn("at", F.concat(label, F.lit(path), F.lit("["), F.col("i").cast("string"), F.lit("]"))).withColumn("dot", F.concat("at", F.lit(".")))
@@ -93,7 +93,7 @@ def _items(rows: DataFrame, v: Column, path: str, label: Column) -> DataFrame:
 def events_of(reports: DataFrame) -> DataFrame:
     """report, i, item (variant), at and dot of each event."""
     rows = reports.select("report", F.try_parse_json("raw").alias("v"))
-    return _items(rows, F.col("v"), "events", F.lit(""))
+    return elements(rows, F.col("v"), "events", F.lit(""))
 
 
 def root_rules(reports: DataFrame) -> DataFrame:
@@ -167,14 +167,14 @@ def policy_rules(reports: DataFrame, platforms: DataFrame | None = None) -> Data
     if platforms is not None:
         named = rows.withColumn("name", text.normalized(get(p, "platform"))).join(F.broadcast(platforms.select("name").distinct()), "name", "left_anti")
         all_found = all_found.unionByName(named.select("report", at("platform").alias("location"), F.lit("is not registered").alias("message")))
-    actions = _items(events_of(reports).drop("i").withColumnsRenamed({"item": "e", "at": "eat", "dot": "edot"}), F.col("e"), "action_items", F.col("edot"))
+    actions = elements(events_of(reports).drop("i").withColumnsRenamed({"item": "e", "at": "eat", "dot": "edot"}), F.col("e"), "action_items", F.col("edot"))
     a = F.col("item")
     return all_found.unionByName(found(actions, [*shape(a, F.col("dot"), ACTION), *[(F.concat("dot", F.lit(n)), "must not be blank", _blank(a, n)) for n in ACTION]]))
 
 
 def ledger_rules(reports: DataFrame) -> DataFrame:
     """Ledger rows, their source checks with receipts and snapshots, and the events they name."""
-    rows = _items(reports.select("report", F.try_parse_json("raw").alias("v")), F.col("v"), "coverage_ledger", F.lit(""))
+    rows = elements(reports.select("report", F.try_parse_json("raw").alias("v")), F.col("v"), "coverage_ledger", F.lit(""))
     g, dot = F.col("item"), F.col("dot")
     at = lambda n: F.concat(dot, F.lit(n))
     start, done = timing.instant(get(g, "lookback_start")), timing.instant(get(g, "checked_at"))
@@ -201,7 +201,7 @@ def ledger_rules(reports: DataFrame) -> DataFrame:
 
 
 def _check_rules(ledger: DataFrame) -> DataFrame:
-    rows = _items(ledger, F.col("g"), "sources_checked", F.col("gdot"))
+    rows = elements(ledger, F.col("g"), "sources_checked", F.col("gdot"))
     c, dot = F.col("item"), F.col("dot")
     at = lambda n: F.concat(dot, F.lit(n))
     opened = get(c, "source_type").isin("official_updates", "current_policy") & get(c, "result").isin(*K.POSITIVE_RESULTS)
@@ -270,7 +270,7 @@ def scope_rules(reports: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = reports.select("report", F.try_parse_json("raw").alias("v"))
     scopes = rows.select("report", F.explode(F.try_variant_get("v", "$.scope", "array<string>")).alias("scope"))
     wanted = scopes.join(F.broadcast(aliases), text.named_in(F.col("scope"), F.col("alias"))).select("report", "platform").distinct()
-    named = _items(rows, F.col("v"), "coverage_ledger", F.lit("")).select("report", text.normalized(get(F.col("item"), "platform")).alias("__a"))
+    named = elements(rows, F.col("v"), "coverage_ledger", F.lit("")).select("report", text.normalized(get(F.col("item"), "platform")).alias("__a"))
     have = named.join(F.broadcast(aliases.select(text.normalized(F.col("alias")).alias("__a"), "platform")), "__a").select("report", "platform")
     lacking = wanted.join(have, ["report", "platform"], "left_anti")
     return lacking.select("report", F.lit("coverage_ledger").alias("location"), F.concat(F.lit("has no row for "), "platform").alias("message"))
@@ -364,7 +364,7 @@ def platform_rules(files: DataFrame) -> DataFrame:
         *[(at(f"official_routes.{k}"), "needs a route or a declared gap", ~has(k) & ~F.coalesce(text.nonblank(gap(k)), F.lit(False))) for k in kinds],
         *[(at(f"official_routes.{k}"), "cannot be both routed and a gap", has(k) & gap(k).isNotNull()) for k in kinds],
     ]
-    items = _items(rows, v, "official_routes", F.lit(""))
+    items = elements(rows, v, "official_routes", F.lit(""))
     r, dot = F.col("item"), F.col("dot")
     place = Window.partitionBy("report", get(r, "route_id")).orderBy("i")
     items = items.withColumn("again", F.row_number().over(place) > 1)
@@ -395,7 +395,7 @@ def official_rules(files: DataFrame) -> DataFrame:
     """What is wrong with files of official sources; an id may occur once."""
     rows = files.select("report", F.try_parse_json("raw").alias("v"))
     broken = found(rows, [(F.lit("sources"), "must be an array", ~F.coalesce(kind_of(F.col("v"), "sources").startswith("ARRAY"), F.lit(False)))])
-    sources = _items(rows, F.col("v"), "sources", F.lit(""))
+    sources = elements(rows, F.col("v"), "sources", F.lit(""))
     s, dot = F.col("item"), F.col("dot")
     sources = sources.withColumn("again", F.row_number().over(Window.partitionBy(get(s, "id")).orderBy("report", "i")) > 1)
     blank = lambda v, at, names: [(F.concat(at, F.lit(n)), "must be nonblank", ~F.coalesce(text.nonblank(get(v, n)), F.lit(False))) for n in names]
@@ -408,7 +408,7 @@ def official_rules(files: DataFrame) -> DataFrame:
         (F.concat(dot, F.lit("aliases")), "must be nonblank strings", _strings(s, "aliases")),
         (F.concat(dot, F.lit("routes")), "must not be empty", F.coalesce(F.size(F.try_variant_get(s, "$.routes", "array<variant>")), F.lit(0)) < 1),
     ]
-    routes = _items(sources.select("report", "item", F.col("dot").alias("over")).withColumnRenamed("item", "source"), F.col("source"), "routes", F.col("over"))
+    routes = elements(sources.select("report", "item", F.col("dot").alias("over")).withColumnRenamed("item", "source"), F.col("source"), "routes", F.col("over"))
     r, dot = F.col("item"), F.col("dot")
     of_route = [
         *blank(r, dot, ("label",)),

@@ -75,3 +75,42 @@ def ready(merged: DataFrame) -> DataFrame:
 def level_conflicts(labels: DataFrame, cluster: str = "event_id") -> DataFrame:
     """Clusters whose labels differ between runs."""
     return labels.groupBy(cluster).agg(F.countDistinct("level").alias("levels"), F.array_sort(F.collect_set("level")).alias("seen")).filter("levels > 1")
+
+
+def merged_runs(left: Column, right: Column) -> Column:
+    """The runs of both lists, first occurrences in order."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(left, none), F.coalesce(right, none)))
+
+
+def merged_entries(fresh: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """All fresh audit entries, and of each other key the first existing one by ``pos``."""
+    rest = existing.join(fresh.select(key).distinct(), key, "left_anti")
+    return fresh.unionByName(best_of(rest, [key], F.col("pos")).select(*fresh.columns))
+
+
+def last_observations(observations: DataFrame) -> DataFrame:
+    """Of each event the observation of its last run (``run_pos``, then ``pos``)."""
+    return best_of(observations, ["event_id"], F.desc("run_pos"), F.desc("pos"))
+
+
+def review_queue(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of canonical events that wait for a review, each unordered pair once: the first by ``pos``.
+
+    ``pairs``: pos, a, b, decision, confidence; ``roots``: event and its canonical event.
+    """
+    of = lambda side: roots.select(F.col("event").alias(side), F.col("canonical").alias(f"{side}_root"))
+    met = pairs.filter("decision = 'review_required'").join(of("a"), "a").join(of("b"), "b").filter("a_root <> b_root")
+    met = met.select("pos", "confidence", F.least("a_root", "b_root").alias("left"), F.greatest("a_root", "b_root").alias("right"))
+    return best_of(met, ["left", "right"], F.col("pos"))
+
+
+def sample_stats(merged: DataFrame) -> DataFrame:
+    """One row about a merged worksheet: records, complete and pending ones, levels, and how often each merge status occurs."""
+    complete = score_state() == "complete"
+    levels = F.map_from_arrays(F.array(*[F.lit(x) for x in K.LEVELS]), F.array(*[F.count_if(F.col("reviewed_level") == x) for x in K.LEVELS]))
+    return merged.agg(
+        F.count("*").alias("record_count"), F.count_if(complete).alias("completed_score_breakdown_count"), F.count_if(~complete).alias("pending_score_breakdown_count"),
+        levels.alias("reviewed_level_distribution"), F.count_if(F.col("merge_status") == "retained_existing_only").alias("retained_existing_only_count"),
+        F.count_if(F.col("merge_status") == "new_unscored").alias("new_unscored_count"), F.count_if(F.col("merge_status").startswith("preserved")).alias("preserved_count"),
+    )

@@ -88,6 +88,13 @@ def load_profile(path: str | Path) -> Profile:
     for key in ("candidate_report", "previous_report", "catalog"):
         if data.get(key):
             data[key] = str((path.parent / data[key]).resolve())
+    for key in ("quality", "deduplication", "alerts"):
+        default = Profile.__dataclass_fields__[key].default_factory()
+        if unknown := set(data.get(key, {})) - set(default) - {"state_file", "webhook"}:
+            raise ValueError(f"unknown {key} settings: {', '.join(sorted(unknown))}")
+        data[key] = default | data.get(key, {})
+    if data["alerts"].get("state_file"):
+        data["alerts"]["state_file"] = str((path.parent / data["alerts"]["state_file"]).resolve())
     out = Profile(**data)
     low, high = out.deduplication["review_threshold"], out.deduplication["threshold"]
     if not 0 <= low <= high <= 1:

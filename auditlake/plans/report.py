@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import score, text
-from auditlake.operators.common import placed
+from auditlake.operators import acquisition
+from auditlake.operators.common import placed, zero_filled
 
 SECTIONS = {
     "en": ("Regulatory event report", "Key actions", "Events", "Watch list", "Deduplication", "Coverage", "Gaps"),
@@ -23,6 +25,20 @@ def ordered(events: DataFrame) -> DataFrame:
     return placed(events, F.desc(score.level_rank(F.col("level"))), F.desc("score"), F.coalesce("effective_date", F.lit("9999-99-99")), F.col("pos"))
 
 
+def sections(events: DataFrame) -> DataFrame:
+    """Events with where a report tells them: ``watch`` (unconfirmed) or main list, and ``key_action`` of high and medium ones."""
+    watch = F.col("status") == "unconfirmed"
+    return events.withColumn("watch", watch).withColumn("key_action", ~watch & F.col("level").isin("high", "medium"))
+
+
+DISPOSITIONS = ("duplicate_removed", "material_update", "operational_refresh", "review_required")
+
+
+def disposition_counts(matches: DataFrame) -> DataFrame:
+    """How many matches came to each of the four dispositions."""
+    return zero_filled(matches.groupBy("disposition").agg(F.count("*").alias("n")), "disposition", DISPOSITIONS)
+
+
 def event_block(place: str = "place") -> Column:
     """An event as Markdown."""
     line = lambda label, c: F.concat(F.lit(f"- **{label}**: "), text.table_cell(F.col(c)), F.lit("\n"))
@@ -33,16 +49,16 @@ def event_block(place: str = "place") -> Column:
 def markdown(events: DataFrame, matches: DataFrame | None = None, ledger: DataFrame | None = None, gaps: tuple[str, ...] = (), language: str = "en", date: str = "") -> str:
     """A report's text. Blocks are made by the executors; the driver joins them in order."""
     title, actions, main, watch, dedup, coverage, missing = SECTIONS["zh" if language.lower().startswith("zh") else "en"]
-    rows = ordered(events).select("place", "status", "level", "title", "action", event_block().alias("block")).orderBy("place")
+    rows = sections(ordered(events)).select("place", "watch", "key_action", "title", "action", event_block().alias("block")).orderBy("place")
     out = {main: [], watch: [], actions: []}
     for r in rows.toLocalIterator():
-        out[watch if r["status"] == "unconfirmed" else main].append(r["block"])
-        if r["level"] in ("high", "medium") and r["status"] != "unconfirmed":
+        out[watch if r["watch"] else main].append(r["block"])
+        if r["key_action"]:
             out[actions].append(f"- {r['title']}: {r['action']}")
     parts = [f"# {title} {date}".rstrip(), f"## {actions}", "\n".join(out[actions]) or "-", f"## {main}", "\n".join(out[main]) or "-", f"## {watch}", "\n".join(out[watch]) or "-"]
     if matches is not None:
-        n = {r["disposition"]: r["n"] for r in matches.groupBy("disposition").agg(F.count("*").alias("n")).collect()}
-        parts += [f"## {dedup}", "\n".join(f"- {k}: {n.get(k, 0)}" for k in ("duplicate_removed", "material_update", "operational_refresh", "review_required"))]
+        n = {r["disposition"]: r["n"] for r in disposition_counts(matches).collect()}
+        parts += [f"## {dedup}", "\n".join(f"- {k}: {n[k]}" for k in DISPOSITIONS)]
     if ledger is not None:
         lines = ["| Platform | Market | Program | Access | Checked |", "| --- | --- | --- | --- | --- |"]
         cells = ("platform", "seller_market", "program", "access_result", "checked_at")
@@ -61,6 +77,11 @@ def dashboard_markdown(dashboard: DataFrame) -> str:
     return "\n".join([*lines, *(f"| {r['platform']} | {r['depth']} | {r['priority']} | {'; '.join(r['actions'])} |" for r in dashboard_rows(dashboard))]) + "\n"
 
 
+def dashboard_json(dashboard: DataFrame) -> str:
+    totals = acquisition.dashboard_summary(dashboard).first().asDict()
+    return json.dumps({"summary": totals, "platforms": dashboard_rows(dashboard)}, ensure_ascii=False, indent=2, default=str) + "\n"
+
+
 def dashboard_html(dashboard: DataFrame) -> str:
     cells = lambda r: "".join(f"<td>{html.escape(str(x))}</td>" for x in (r["platform"], r["depth"], r["priority"], "; ".join(r["actions"])))
     body = "".join(f"<tr>{cells(r)}</tr>" for r in dashboard_rows(dashboard))

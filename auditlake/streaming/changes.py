@@ -21,15 +21,18 @@ def refuses(policy: str, at: float, digest: str, last_at: float, last_digest: st
     return at < last_at or at == last_at and digest != last_digest
 
 
-def change_stream(captures: DataFrame, policy: str = "sqlite") -> DataFrame:
+def change_stream(captures: DataFrame, policy: str = "sqlite", arrival: str | None = None) -> DataFrame:
     """Captures (page_key, snapshot_id, captured_at, content_hash) with link and status; refused ones say ``rejected``.
 
-    State holds one record a page. Rows of one batch go in order of time and id; an exact repeat gives no row.
+    State holds one record a page. Rows of one batch go in order of ``arrival``, a column of the stream; without one a
+    batch counts as one arrival and goes in order of time, so that only captures from before the batch's start can be
+    late. An exact repeat gives no row. A page's rows of one batch meet in one task: bound batches at the source.
     """
+    order = [arrival] if arrival else ["captured_at", "snapshot_id"]
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["captured_at", "snapshot_id"])
+        rows = pd.concat(list(batches)).sort_values(order)
         out = []
         for when, snapshot, digest in zip(rows["captured_at"], rows["snapshot_id"], rows["content_hash"]):
             at = when.timestamp()

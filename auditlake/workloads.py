@@ -87,6 +87,40 @@ def late_capture_policy(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.admit(captures(spark, d).withColumn("seq", F.col("event_id")), "sqlite").select("page_key", "event_id", "accepted")
 
 
+LATE = """late AS (SELECT user_id::VARCHAR AS page_key, event_id, date_trunc('day', ts - INTERVAL 1 HOUR * (event_id * 37 % 100)) AS captured_at,
+  lpad(event_id::VARCHAR, 12, '0') AS snapshot_id, event_id % 2 AS content_hash FROM events)"""
+
+
+def late_captures(spark: SparkSession, d: str) -> DataFrame:
+    """Captures of users' pages, to the day, that arrive up to four days late, with two contents."""
+    e = table(spark, d, "events")
+    back = F.make_dt_interval(hours=(F.col("event_id") * 37 % 100).cast("int"))
+    return e.select(
+        F.col("user_id").cast("string").alias("page_key"), "event_id", F.date_trunc("day", F.col("ts") - back).alias("captured_at"),
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("snapshot_id"), (F.col("event_id") % 2).cast("string").alias("content_hash"), F.col("event_id").alias("seq"),
+    )
+
+
+#: Arrivals with the latest time before, and the content that came first with it.
+TOPS = f"""WITH {LATE}, b AS (SELECT *, max(captured_at) OVER o AS top FROM late WINDOW o AS (PARTITION BY page_key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT page_key, captured_at AS top, arg_min(content_hash, event_id) AS held FROM late GROUP BY ALL)"""
+
+
+@query(TOPS + " SELECT page_key, event_id, top IS NULL OR captured_at > top OR (captured_at = top AND content_hash = held) AS accepted FROM b LEFT JOIN h USING (page_key, top)")
+def late_capture_git(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.admit(late_captures(spark, d), "git").select("page_key", "event_id", "accepted")
+
+
+@query(TOPS + " SELECT page_key, event_id, top IS NULL OR captured_at > top OR (captured_at = top AND content_hash = held) AS accepted FROM b LEFT JOIN h USING (page_key, top)")
+def late_capture_s3(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.admit(late_captures(spark, d), "s3").select("page_key", "event_id", "accepted")
+
+
+@query(f"WITH {LATE} SELECT page_key, event_id, true AS accepted FROM late")
+def late_capture_filesystem(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.admit(late_captures(spark, d), "filesystem").select("page_key", "event_id", "accepted")
+
+
 @query(f"""WITH {CAPTURES} SELECT event_id FROM captures c WHERE NOT EXISTS (SELECT 1 FROM captures d WHERE d.content_hash = c.content_hash AND d.page_key < c.page_key)""")
 def orphaned_objects(spark: SparkSession, d: str) -> DataFrame:
     """Captures whose content no earlier page has."""
@@ -254,13 +288,15 @@ def corroboration_by_domain(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT doc_id, source, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS w FROM documents),
 p AS (SELECT doc_id, w, lag(doc_id) OVER o AS other, lag(w) OVER o AS v FROM t WINDOW o AS (PARTITION BY source ORDER BY doc_id))
-SELECT doc_id, other, len(list_intersect(w, v)) AS both, len(list_distinct(list_concat(w, v))) AS either FROM p WHERE other IS NOT NULL""")
+SELECT doc_id, other, len(list_intersect(w, v)) AS both, len(list_distinct(list_concat(w, v))) AS either, CASE WHEN len(w) + len(v) > 0 THEN round(len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))), 9) END AS similarity FROM p WHERE other IS NOT NULL""")
 def jaccard_products(spark: SparkSession, d: str) -> DataFrame:
-    """Word sets of neighbouring documents of a source."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    t = table(spark, d, "documents").select("doc_id", "source", F.array_distinct(text.tokens(F.col("text"))).alias("w"))
-    p = t.withColumn("other", F.lag("doc_id").over(order)).withColumn("v", F.lag("w").over(order)).filter("other is not null")
-    return p.select("doc_id", "other", F.size(F.array_intersect("w", "v")).cast("long").alias("both"), F.size(F.array_union("w", "v")).cast("long").alias("either"))
+    """Word sets of neighbouring documents of a source: ids are paired first, then their sets joined."""
+    docs = table(spark, d, "documents")
+    own = docs.select("doc_id", text.normalized_set(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
+    p = common.previous_in(docs, "source", "doc_id").filter("previous is not null").withColumnRenamed("previous", "other")
+    p = p.join(own, "doc_id").join(own.withColumnsRenamed({"doc_id": "other", "w": "v"}), "other")
+    alike = F.round(score.jaccard(F.col("w"), F.col("v")), 9).alias("similarity")
+    return p.select("doc_id", "other", F.size(F.array_intersect("w", "v")).cast("long").alias("both"), F.size(F.array_union("w", "v")).cast("long").alias("either"), alike)
 
 
 # -- receipts, coverage and health -----------------------------------------------------------------------------------
@@ -399,8 +435,8 @@ def upsert_latest_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scoped_events(spark: SparkSession, d: str) -> DataFrame:
-    """Urgent orders as events with their customer's nation as jurisdiction."""
-    o = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    """Orders as events with their customer's nation as jurisdiction."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = o.join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     none = F.lit("")
     return rows.select(
@@ -410,8 +446,8 @@ def scoped_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Small parts as catalog items: a market for most, none (any) for some."""
-    p = table(spark, d, "part").filter("p_size = 1")
+    """Parts as catalog items: a market for most, none (any) for some."""
+    p = table(spark, d, "part")
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
     none = F.array().cast("array<string>")
     rows = p.withColumn("k", F.col("p_partkey") % 25).join(F.broadcast(n), "k")
@@ -422,16 +458,18 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 MATCHES = """e AS (SELECT o_orderkey AS event_id, lower(n_name) AS j, (o_orderkey % 9000 + 1000)::VARCHAR AS code, lower('HS code ' || (o_orderkey % 9000 + 1000) || ' ' || c_mktsegment) AS body
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'),
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 i AS (SELECT p_partkey::VARCHAR AS sku, lower(p_name) AS name, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE lower(n_name) END AS market, (p_partkey * 7 % 90 + 10)::VARCHAR AS hs, CASE WHEN p_partkey % 3 = 0 THEN 'building' ELSE 'zz' END AS word
-  FROM part JOIN nation ON p_partkey % 25 = n_nationkey WHERE p_size = 1),
+  FROM part JOIN nation ON p_partkey % 25 = n_nationkey),
 m AS (SELECT event_id, sku, starts_with(code, hs) AS by_hs, (length(word) >= 3 AND contains(body, word)) OR (length(name) >= 3 AND contains(body, name)) AS by_term FROM e JOIN i ON market IS NULL OR market = j)"""
 
 
 @query(f"WITH {MATCHES} SELECT event_id, count(*) AS in_scope, count(*) FILTER (by_hs) AS by_hs, count(*) FILTER (by_term) AS by_term FROM m GROUP BY event_id")
 def scope_join_catalog(spark: SparkSession, d: str) -> DataFrame:
-    rows = applicability.match(scoped_events(spark, d), catalog(spark, d))
-    return rows.groupBy("event_id").agg(F.count("*").alias("in_scope"), F.count_if(F.size("hs") > 0).alias("by_hs"), F.count_if(F.size("terms") > 0).alias("by_term"))
+    events, items = scoped_events(spark, d), catalog(spark, d)
+    met = applicability.match(events, items).groupBy("event_id").agg(F.count_if(F.size("hs") > 0).alias("by_hs"), F.count_if(F.size("terms") > 0).alias("by_term"))
+    rows = applicability.scope_counts(events, items).filter("in_scope > 0").join(met, "event_id", "left")
+    return rows.select("event_id", "in_scope", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("by_hs", "by_term")])
 
 
 @query(f"WITH {MATCHES} SELECT e.event_id, CASE WHEN count(*) FILTER (by_hs OR by_term) > 0 THEN 'matched' WHEN count(sku) > 0 THEN 'needs_review' ELSE 'no_match' END AS status, count(*) FILTER (by_hs OR by_term) AS n FROM e LEFT JOIN m USING (event_id) GROUP BY e.event_id")
@@ -699,39 +737,76 @@ def verified_ids_link(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of a source beside the one before, as current and previous events."""
+    """Documents of a source beside the one before, as current (c) and previous (p) events.
+
+    Ids are paired first, and the texts join them by id, so that a source with many documents is no hot key.
+    """
     docs = table(spark, d, "documents")
-    event = F.struct(F.col("lang").alias("jurisdiction"), F.col("source").alias("authority"), F.col("text").alias("summary"), F.when(F.col("n_chars") > 2000, "effective").otherwise("new").alias("status"), F.lit(None).cast("string").alias("effective_date"), F.lit(None).cast("string").alias("deadline"))
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select("doc_id", "source", event.alias("c")).withColumn("p", F.lag("c").over(order)).filter("p is not null")
+    day = F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 5 + 10).cast("string"), 2, "0"))
+    event = F.struct(
+        F.col("lang").alias("jurisdiction"), F.col("source").alias("authority"), F.col("text").alias("summary"), F.when(F.col("n_chars") > 2000, "effective").otherwise("new").alias("status"),
+        F.when(F.col("doc_id") % 3 == 0, day).alias("effective_date"), day.alias("deadline"), F.concat(F.lit("https://x.org/"), (F.col("n_chars") % 2).cast("string")).alias("source_url"),
+        F.array(F.concat(F.lit("P "), (F.col("n_chars") % 3).cast("string"))).alias("products"), F.struct(F.lit("m").alias("platform"), (F.col("n_chars") % 4).cast("string").alias("program")).alias("policy"),
+    )
+    pairs = common.previous_in(docs, "source", "doc_id").filter("previous is not null")
+    own = docs.select("doc_id", event.alias("c"))
+    met = pairs.join(own, "doc_id").join(own.withColumnsRenamed({"doc_id": "previous", "c": "p"}), "previous")
+    return met.select("doc_id", "previous", "source", "c", "p")
 
 
 FACT_SQL = "list_sort(regexp_extract_all(lower(X), '\\d{4}[-/.年]\\d{1,2}(?:[-/.月]\\d{1,2}日?)?|\\b\\d{6,10}\\b|\\d+(?:[.,]\\d+)?\\s*(?:%|％|percent|percentage points?|个百分点|欧元|美元|元|days?|天|日|个月|months?|years?|年)'))"
 OBLIGED = "list_filter(['allowed','cancelled','exempt','exemption','may not','must','prohibit','prohibited','required','requirement','resumed','suspended'], lambda t: contains(lower(X), t))"
 
 
-@query(f"""WITH n AS (SELECT doc_id, lang, text, n_chars, lag(lang) OVER w AS pl, lag(text) OVER w AS pt, lag(n_chars) OVER w AS pn, lag(doc_id) OVER w AS pd FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-r AS (SELECT doc_id, lang <> pl AS j, {FACT_SQL.replace("X", "text")} <> {FACT_SQL.replace("X", "pt")} OR {OBLIGED.replace("X", "text")} <> {OBLIGED.replace("X", "pt")} AS f, n_chars > 2000 AND pn <= 2000 AS s FROM n WHERE pd IS NOT NULL)
-SELECT doc_id, CASE WHEN j OR f THEN 'material_update' WHEN s THEN 'operational_refresh' ELSE 'duplicate_removed' END AS disposition,
-  CASE WHEN j OR f THEN concat_ws(',', CASE WHEN j THEN 'jurisdiction' END, CASE WHEN f THEN 'summary_facts_or_obligation' END) WHEN s THEN 'status:new->effective' ELSE '' END AS reasons FROM r""")
+DAY = "'2026-01-' || (doc_id % 5 + 10)"
+
+
+@query(f"""WITH e AS (SELECT doc_id, source, lang, text, n_chars, n_chars > 2000 AS eff, CASE WHEN doc_id % 3 = 0 THEN {DAY} ELSE '' END AS effective, {DAY} AS deadline FROM documents),
+n AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS pd FROM e),
+r AS (SELECT c.doc_id, c.lang <> p.lang AS j, c.effective <> p.effective AS ef, c.deadline <> p.deadline AS dl, c.n_chars % 2 <> p.n_chars % 2 AS u, c.n_chars % 3 <> p.n_chars % 3 AS g, c.n_chars % 4 <> p.n_chars % 4 AS o,
+  {FACT_SQL.replace("X", "c.text")} <> {FACT_SQL.replace("X", "p.text")} OR {OBLIGED.replace("X", "c.text")} <> {OBLIGED.replace("X", "p.text")} AS f, c.eff AND NOT p.eff AS s, c.effective = '2026-01-12' AS er, c.deadline = '2026-01-12' AS dr
+  FROM n JOIN e c USING (doc_id) JOIN e p ON p.doc_id = n.pd),
+m AS (SELECT *, concat_ws(',', CASE WHEN j THEN 'jurisdiction' END, CASE WHEN ef THEN 'effective_date' END, CASE WHEN dl THEN 'deadline' END, CASE WHEN u THEN 'source_url' END, CASE WHEN g THEN 'products_or_channels' END,
+  CASE WHEN o THEN 'platform_policy.program' END, CASE WHEN f THEN 'summary_facts_or_obligation' END) AS material,
+  concat_ws(',', CASE WHEN s THEN 'status:new->effective' END, CASE WHEN er THEN 'effective_date_reached' END, CASE WHEN dr THEN 'deadline_reached' END) AS reached FROM r)
+SELECT doc_id, CASE WHEN material <> '' THEN 'material_update' WHEN reached <> '' THEN 'operational_refresh' ELSE 'duplicate_removed' END AS disposition, CASE WHEN material <> '' THEN material ELSE reached END AS reasons FROM m""")
 def classify_change(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    out = linkage.classify(neighbours(spark, d), "c", "p", none, none, ["jurisdiction", "authority", "summary"])
+    """Material and operational reasons with all fields, on a report of the day that some dates name."""
+    columns = ["jurisdiction", "authority", "effective_date", "deadline", "source_url", "products", "policy", "summary"]
+    pairs = neighbours(spark, d)
+    for side in "cp":
+        pairs = pairs.withColumn(side, F.col(side).withField("policy", F.struct(*[F.col(f"{side}.policy.program").alias(n) if n == "program" else F.lit("x").alias(n) for n in K.POLICY_FIELDS])))
+    out = linkage.classify(pairs, "c", "p", F.lit("2026-01-12"), F.lit("2026-01-11"), columns)
     return out.select("doc_id", "disposition", F.array_join("change_reasons", ",").alias("reasons"))
 
 
+@query(f"""WITH e AS (SELECT doc_id, source, n_chars > 2000 AS eff, CASE WHEN doc_id % 3 = 0 THEN {DAY} ELSE '' END AS effective, {DAY} AS deadline FROM documents),
+n AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS pd FROM e)
+SELECT c.doc_id, concat_ws(',', CASE WHEN c.eff AND NOT p.eff THEN 'status:new->effective' END, CASE WHEN c.effective = '2026-01-12' THEN 'effective_date_reached' END, CASE WHEN c.deadline = '2026-01-12' THEN 'deadline_reached' END) AS reasons,
+  concat_ws(',', CASE WHEN c.eff AND NOT p.eff THEN 'status:new->effective' END) AS same_day FROM n JOIN e c USING (doc_id) JOIN e p ON p.doc_id = n.pd""")
+def dates_reached(spark: SparkSession, d: str) -> DataFrame:
+    """Dates count as reached on a new day alone."""
+    joined = lambda now, old: F.array_join(linkage.operational_reasons("c", "p", F.lit(now), F.lit(old)), ",")
+    return neighbours(spark, d).select("doc_id", joined("2026-01-12", "2026-01-11").alias("reasons"), joined("2026-01-12", "2026-01-12").alias("same_day"))
+
+
 # -- linkage and clusters: string similarity has no SQL ------------------------------------------------------------
 
 
 def titled(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as events: the first hundred characters as title."""
+    """Documents as events: the first sentence as title, the whole text as summary, language and source as scope and authority."""
     docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("pos"), F.lit("").alias("id"), F.substring("text", 1, 100).alias("title"), F.lit("").alias("summary"), F.lit("").alias("source_title"), F.col("source").alias("authority"), F.concat_ws("-", F.col("lang"), (F.expr("doc_id div 2") % 40).cast("string")).alias("jurisdiction"), F.array().cast("array<string>").alias("products"), F.lit("").alias("source_url"), F.lit("new").alias("status"), F.lit(None).cast("string").alias("effective_date"), F.lit(None).cast("string").alias("deadline"))
+    none = F.lit("")
+    return docs.select(
+        F.col("doc_id").alias("pos"), none.alias("id"), F.trim(F.regexp_extract("text", r"^[^.!?\n]*", 0)).alias("title"), F.col("text").alias("summary"), none.alias("source_title"),
+        F.col("source").alias("authority"), F.col("lang").alias("jurisdiction"), F.array().cast("array<string>").alias("products"), none.alias("source_url"), F.lit("new").alias("status"),
+        F.lit(None).cast("string").alias("effective_date"), F.lit(None).cast("string").alias("deadline"),
+    )
 
 
 @query()
 def dedup_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Even documents matched one to one with odd ones of their language and block of numbers."""
+    """Even documents matched one to one with odd ones of their language."""
     rows = titled(spark, d)
     pairs = linkage.score_pairs(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"))
     return linkage.match_one_to_one(pairs).select("ci", "pi", F.round("score", 3).alias("similarity"))
@@ -783,20 +858,55 @@ def feed_parse(spark: SparkSession, d: str) -> DataFrame:
     return entries(feeds).select("page_id", "title", "url", "published_at")
 
 
+def streamed(spark: SparkSession, rows: DataFrame, name: str, plan) -> DataFrame:  # noqa: ANN001
+    """What a query over a file stream of these rows has written when the stream is at its end."""
+    import uuid
+
+    folder = f"{common.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    stream = plan(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 @query(SQL["change_chain"])
 def stream_change_chain(spark: SparkSession, d: str) -> DataFrame:
     """The chain from a file stream with state for each page, run to its end."""
-    import uuid
+    from auditlake.streaming.changes import change_stream
+
+    rows = captures(spark, d).withColumn("content_hash", F.col("content_hash").cast("string")).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    out = streamed(spark, rows, "chain", lambda s: change_stream(s.select("page_key", "snapshot_id", "captured_at", "content_hash")))
+    return out.select("page_key", "snapshot_id", "previous_snapshot_id", "change_status")
+
 
+@query(f"""WITH {LATE}, b AS (SELECT *, max(captured_at) OVER o AS top FROM late WINDOW o AS (PARTITION BY page_key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, top IS NULL OR captured_at >= top AS taken FROM b),
+p AS (SELECT *, max(CASE WHEN taken THEN event_id END) OVER (PARTITION BY page_key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a)
+SELECT p.page_key, p.snapshot_id, q.snapshot_id AS previous_snapshot_id, CASE WHEN NOT taken THEN 'rejected' WHEN prev IS NULL THEN 'first_seen' WHEN q.content_hash = p.content_hash THEN 'unchanged' ELSE 'changed' END AS change_status
+FROM p LEFT JOIN late q ON q.event_id = p.prev""")
+def stream_late_captures(spark: SparkSession, d: str) -> DataFrame:
+    """A stream whose captures arrive late, in order of arrival: a store of the sqlite kind refuses those before its latest."""
     from auditlake.streaming.changes import change_stream
 
-    common.cut(spark.range(1))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    source = table(spark, d, "events")
-    source.write.parquet(f"{folder}/in")
-    rows = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
-    key = F.concat_ws("/", F.col("user_id").cast("string"), "event_type")
-    got = change_stream(rows.select(key.alias("page_key"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("snapshot_id"), F.col("ts").cast("timestamp").alias("captured_at"), F.floor(F.col("value") / 100).cast("string").alias("content_hash")))
-    run = got.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("page_key", "snapshot_id", "previous_snapshot_id", "change_status")
+    rows = late_captures(spark, d).withColumn("captured_at", F.col("captured_at").cast("timestamp")).drop("event_id")
+    out = streamed(spark, rows, "late", lambda s: change_stream(s, "sqlite", "seq"))
+    return out.select("page_key", "snapshot_id", "previous_snapshot_id", "change_status")
+
+
+@query("""SELECT user_id::VARCHAR || '/' || event_type AS signature, count(*) > 0 AS told FROM events GROUP BY ALL""")
+def stream_alert_once(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of a stream, each signature once within the delay; all events lie within it here."""
+    from auditlake.streaming.changes import alert_once
+
+    rows = table(spark, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("signature"), F.col("ts").cast("timestamp").alias("ts"))
+    return streamed(spark, rows, "alerts", lambda s: alert_once(s, "3650 days")).groupBy("signature").agg((F.count("*") == 1).alias("told"))
+
+
+@query("""SELECT user_id AS task_id, event_id % 5 AS content_hash, 1::BIGINT AS n FROM events GROUP BY ALL""")
+def stream_idempotent_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts that are replayed on a stream count once."""
+    from auditlake.streaming.changes import idempotent
+
+    rows = table(spark, d, "events").select(F.col("user_id").alias("task_id"), (F.col("event_id") % 5).alias("content_hash"), F.col("ts").cast("timestamp").alias("ts"))
+    return streamed(spark, rows, "receipts", lambda s: idempotent(s, "3650 days")).groupBy("task_id", "content_hash").agg(F.count("*").alias("n"))
