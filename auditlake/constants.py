@@ -24,6 +24,7 @@ POLICY_FIELDS = ("platform", "seller_market", "program", "policy_area", "change_
 MATCH_WEIGHTS = {"title": 0.30, "authority": 0.12, "jurisdiction": 0.10, "products_or_channels": 0.12, "source_url": 0.14, "regulatory_identifiers": 0.12, "platform_scope": 0.10}
 IDENTIFIER_CEILING = 0.79
 MATCH_THRESHOLD, REVIEW_THRESHOLD = 0.82, 0.65
+MATCHING = "one_to_one_weighted_v2"
 
 UNKNOWN_SCOPES = ("", "unknown", "global", "not stated", "n/a", "none")
 SCOPE_ALIASES = {

@@ -49,9 +49,9 @@ def coverage(tasks: DataFrame, receipts: DataFrame, cutoff: str, gaps: DataFrame
     rows = tasks.join(seen, "task_id", "left")
     public = F.col("source_type").isin("official_updates", "current_policy")
     gap = (
-        F.when(F.col("seen").isNull(), F.concat(F.lit("No acquisition receipt for "), "source_type", F.lit(": "), "url")),
-        F.when(F.col("seen") & F.col("route_verification_required") & ~F.col("route_verified"), F.concat(F.lit("Official country route still requires verification: "), "url")),
-        F.when(F.col("seen") & public & F.col("result").isin(*K.POSITIVE_RESULTS) & ~F.col("has_snapshot"), F.concat(F.lit("Public source opened without required snapshot: "), "final_url")),
+        F.when(F.col("seen").isNull(), F.concat(F.lit("nothing received from "), "source_type", F.lit(" "), "url")),
+        F.when(F.col("seen") & F.col("route_verification_required") & ~F.col("route_verified"), F.concat(F.lit("route of this market is not verified: "), "url")),
+        F.when(F.col("seen") & public & F.col("result").isin(*K.POSITIVE_RESULTS) & ~F.col("has_snapshot"), F.concat(F.lit("opened without a snapshot: "), "final_url")),
     )
     rows = rows.withColumn("gaps", F.filter(F.array(*gap), lambda g: g.isNotNull()))
     checked = lambda kind: F.coalesce(F.bool_or(F.col("seen") & (F.col("source_type") == kind)), F.lit(False))
@@ -62,7 +62,7 @@ def coverage(tasks: DataFrame, receipts: DataFrame, cutoff: str, gaps: DataFrame
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("source_type", "url", "gaps"))), lambda x: x["gaps"])).alias("gaps"),
     )
     if gaps is not None:
-        said = gaps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.concat(F.lit("Declared "), "source_type", F.lit(" source gap: "), "reason"))).alias("declared"))
+        said = gaps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.concat(F.lit("declared gap of "), "source_type", F.lit(": "), "reason"))).alias("declared"))
         out = out.join(said, keys, "full_outer").withColumn("gaps", F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("declared", "gaps")])).drop("declared")
         out = out.fillna(False, ["public_update_checked", "current_policy_checked", "dashboard_checked"]).fillna({"access_result": "not_checked", "checked_at": cutoff})
     return out.orderBy(*keys)
@@ -135,14 +135,14 @@ def dashboard(routes: DataFrame, health_rows: DataFrame) -> DataFrame:
     priority = score.dashboard_priority(F.col("depth"), F.size("missing"), F.col("conditional"), F.col("verified_public") == 0, F.coalesce("bad", F.lit(0)))
     actions = F.filter(
         F.array(
-            F.when(F.size("missing") > 0, F.concat(F.lit("Add verified routes for "), F.array_join("missing", ", "))),
-            F.when(F.col("conditional") > 0, F.concat(F.lit("Reverify "), F.col("conditional").cast("string"), F.lit(" conditional route(s)"))),
-            F.when(F.col("verified_public") == 0, "Establish at least one verified public route"),
-            F.when(F.col("bad") > 0, "Resolve the latest source-health failure before claiming coverage"),
+            F.when(F.size("missing") > 0, F.concat(F.lit("verified routes are missing: "), F.array_join("missing", ", "))),
+            F.when(F.col("conditional") > 0, F.concat(F.lit("conditional routes to check again: "), F.col("conditional").cast("string"))),
+            F.when(F.col("verified_public") == 0, "no public route is verified"),
+            F.when(F.col("bad") > 0, "a source failed when last read"),
         ),
         lambda a: a.isNotNull(),
     )
-    actions = F.when(F.size(actions) > 0, actions).otherwise(F.array(F.lit("Maintain route verification and substantive review cadence")))
+    actions = F.when(F.size(actions) > 0, actions).otherwise(F.array(F.lit("nothing but the usual reading")))
     return rows.withColumn("priority", priority).withColumn("actions", actions).orderBy(F.desc("priority"), F.lower("platform"))
 
 

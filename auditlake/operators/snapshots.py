@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import ids, text, udfs
 
-FIRST = "First captured snapshot; no historical baseline is available."
-SAME = "No normalized page-text change from the previous snapshot."
+FIRST = "first capture, nothing to compare with"
+SAME = "same text as in the capture before"
 
 
 def hashed(captures: DataFrame) -> DataFrame:

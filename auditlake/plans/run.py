@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake import constants as K
 from auditlake.operators import alerting, applicability, language, linkage, planning, validation
 from auditlake.plans import files, report
 from auditlake.sources import reports
@@ -34,7 +35,7 @@ def errors_of(spark: SparkSession, data: dict) -> list[str]:
     return [f"{r['location']}: {r['message']}" for r in found.toLocalIterator()]
 
 
-# Why an event has the status that matching gives it.
+#: Why an event has the status that matching gives it.
 REASONS = {
     "matched": "an item in scope has a code or a term of the event",
     "needs_review": "items are in scope, but none has a code or a term of the event",
@@ -65,7 +66,7 @@ def deduplicated(spark: SparkSession, data: dict, previous: dict, threshold: flo
         if r["deduplication_review"]:
             event["deduplication"] = {"disposition": r["deduplication_review"], "previous_id": r["matched_previous_id"], "reasons": r["deduplication_reasons"]}
         events.append(event)
-    block = {"previous_report": name, "threshold": threshold, "review_threshold": review, "matching_strategy": "one_to_one_weighted_v2", "matches": [r.asDict(recursive=True) for r in matches.toLocalIterator()]}
+    block = {"previous_report": name, "threshold": threshold, "review_threshold": review, "matching_strategy": K.MATCHING, "matches": [r.asDict(recursive=True) for r in matches.toLocalIterator()]}
     return data | {"events": events, "deduplication": block}, matches
 
 

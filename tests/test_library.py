@@ -57,7 +57,7 @@ def test_python_functions(spark):
     assert got[0].a == "strasse ss" and (got[0].r, got[0].s) == (0.25, 0.5) and got[1].r is None
     assert udfs.clean_url("https://A.org/ä?b=%41&a=") == "https://a.org/ä?a=&b=A"
     assert one(spark, udfs.canonical_json(F.lit('{"b":[1,{"d":1,"c":2}],"a":null}'))) == '{"a":null,"b":[1,{"c":2,"d":1}]}'
-    assert udfs.line_diff("a\nb", "a\nc\nd")[0] == "Normalized page text changed: +2 / -1 lines. + c | + d | - b"
+    assert udfs.line_diff("a\nb", "a\nc\nd")[0] == "lines added: 2, removed: 1: + c | + d | - b"
     assert udfs.feed_entries("<rss><channel><item><link>u</link></item><item><title>t</title></item></channel></rss>") == [{"title": "u", "url": "u", "published_at": None, "summary": None}]
     assert udfs.feed_entries("<urlset><url><loc>u</loc><lastmod>d</lastmod></url></urlset>")[0]["published_at"] == "d"
     assert udfs.feed_entries("<broken") is None and udfs.feed_entries("<other/>") is None
