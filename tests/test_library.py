@@ -188,7 +188,7 @@ def test_snapshots(spark):
     rows = [("P", "https://a.org/x/", c, t) for c, t in (("Hello  world\n", "2026-07-01 00:00:00"), ("Hello world", "2026-07-02 00:00:00"), ("Hello there", "2026-07-03 00:00:00"), ("Hello there", "2026-07-03 00:00:00"), (" ", "2026-07-04 00:00:00"))]
     captures = spark.createDataFrame(rows, "platform string, url string, content string, t string").withColumn("captured_at", F.to_timestamp("t"))
     got = sorted((r.captured_at, r.change_status, r.diff_summary) for r in snapshots.with_diffs(captures).collect())
-    assert [g[1] for g in got] == ["first_seen", "unchanged", "changed"] and "+1 / -1" in got[2][2]
+    assert [g[1] for g in got] == ["first_seen", "unchanged", "changed"] and "added: 1, removed: 1" in got[2][2]
     assert snapshots.audit(snapshots.chain(snapshots.hashed(captures))).count() == 0
 
 
