@@ -37,7 +37,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import small_batches
+from auditlake.llm.common import cut, small_batches
+from auditlake.operators.common import placed
 
 #: Logarithm to base 10 of the guesses from which a value is a secret.
 GUESSES = 10.0
@@ -304,11 +305,13 @@ def vocabulary_words(path: str) -> list[str]:
 def dictionary(docs: DataFrame, vocabulary: str | None = None, size: int = DICTIONARY, text: str = "text") -> Dictionary:
     """The dictionary of a corpus: its ``size`` commonest words, merged rank by rank with those of a vocabulary file.
 
-    Without that file the corpus's own words make the dictionary.
+    Without that file the corpus's own words make the dictionary. The words are placed by ranges of their counts over all
+    tasks, and only the first ``size`` places come to the driver.
     """
     small_batches(docs.sparkSession)
     counted = docs.select(F.col(text).alias("text")).mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    own = counted.orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"].tolist()
+    first = placed(cut(counted), F.desc("n"), F.col("word")).filter(F.col("place") <= size).select("place", "word")
+    own = first.toPandas().sort_values("place")["word"].tolist()
     more = vocabulary_words(vocabulary)[:size] if vocabulary and os.path.exists(vocabulary) else []
     both = [w for pair in zip(own, more) for w in pair] + own[len(more) :] + more[len(own) :]
     return Dictionary(both)
