@@ -379,7 +379,7 @@ def test_guess_cost_is_least():
         assert (secrets.guess_cost(value, most=10.0) < 10) == (least < 10), value
 
 
-@pytest.mark.parametrize("value", ["qw" * 500_000, "a" * 1_000_000, "x7Q!" * 250_000, "2000" * 250_000, "admin" * 200_000, "ab1" * 300_000])
+@pytest.mark.parametrize("value", ["qw" * 150_000, "a" * 300_000, "x7Q!" * 75_000, "2000" * 75_000, "admin" * 60_000, "ab1" * 100_000])
 def test_long_values_take_linear_time(value):
     began = time.monotonic()
     secrets.guess_cost(value, most=secrets.GUESSES)
