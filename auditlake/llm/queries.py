@@ -1,4 +1,4 @@
-"""The ten operators as queries over the synthetic tables, and their SQL where SQL can express them."""
+"""The thirteen operators as queries over the synthetic tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import chat, decontam, html_extract, mixing, quality, secrets, simhash, topk, url_filter, warc
+from auditlake.llm import chat, decontam, filter_audit, html_extract, lexical, media, mixing, quality, secrets, simhash, topk, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -247,6 +247,69 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 
+# -- 11 --------------------------------------------------------------------------------------------------------------
+
+
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS own, doc_id, {_TERMS} AS terms FROM documents),
+s AS MATERIALIZED (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+a AS (SELECT row, item_id, unnest(list_distinct(terms)) AS term FROM (SELECT row_number() OVER () AS row, item_id, {_TERMS} AS terms FROM benchmark)),
+t AS (SELECT own, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+f AS MATERIALIZED (SELECT own, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM a) GROUP BY own, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term),
+i AS (SELECT own, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS impact FROM f JOIN w USING (term), s),
+r AS (SELECT row, any_value(item_id) AS item_id, own, any_value(doc_id) AS doc_id, sum(impact)::BIGINT AS score FROM a JOIN i USING (term) GROUP BY row, own)
+SELECT item_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS LAST) <= 10
+"""
+
+# -- 12 --------------------------------------------------------------------------------------------------------------
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), m AS (
+  SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM d
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), k AS (
+  SELECT part, map {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS many,
+         count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL
+), f(letter) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), o AS (
+  SELECT v.letter || w.letter || x.letter || y.letter || z.letter AS filter_order FROM f v, f w, f x, f y, f z
+  WHERE len(list_distinct([v.letter, w.letter, x.letter, y.letter, z.letter])) = 5
+), s AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS letter, substr(filter_order, 1, step::INT - 1) AS earlier FROM o, range(1, 6) r(step)
+), g AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, many, fails[letter] AS fails, len(list_filter(string_split(earlier, ''), lambda x: x <> '' AND fails[x])) > 0 AS gone FROM k, s
+)
+SELECT part, filter_order, step, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+       sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails AND many = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+       sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+       sum(sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM g GROUP BY part, filter_order, step, letter
+"""
+
+# -- 13 --------------------------------------------------------------------------------------------------------------
+
+
+def op13_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sounds = media.encoded(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "media")
+    return media.described(sounds).select("doc_id", "n_bytes", "sound.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -260,6 +323,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_topk_search,
         op9_benchmark_decontamination,
         op10_secret_scans,
+        op11_ranked_lexical_search,
+        op12_filter_interaction_audit,
+        op13_media_columns,
     )
 }
 SQL = {
@@ -268,4 +334,6 @@ SQL = {
     "op6_warc_revisits": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op8_topk_search": OP8_SQL,
+    "op11_ranked_lexical_search": OP11_SQL,
+    "op12_filter_interaction_audit": OP12_SQL,
 }
