@@ -540,12 +540,12 @@ def faults_evaluated_reports(spark: SparkSession, d: str) -> DataFrame:
 LETTERS = "repeat(chr((97 + {0} % 3)::INT), 12)"
 
 
-@query(f"""WITH e AS (SELECT c_custkey AS pos, c_nationkey % 5 AS j, {LETTERS.format("c_custkey")} AS title, c_mktsegment AS authority, c_custkey // 2 % 2 AS u FROM customer WHERE c_acctbal > 8500),
+@query(f"""WITH e AS (SELECT c_custkey AS pos, c_nationkey % 5 AS j, {LETTERS.format("c_custkey")} AS title, c_mktsegment AS authority, c_custkey // 2 % 2 AS u FROM customer),
 s AS (SELECT a.pos AS ci, b.pos AS pi, a.j IS NOT DISTINCT FROM b.j AS jj, a.title = b.title AS t, a.authority = b.authority AS s, a.u = b.u AS u FROM e a JOIN e b ON a.j = b.j AND a.pos % 2 = 0 AND b.pos % 2 = 1)
 SELECT ci, pi, round((0.30 * t::INT + 0.12 * s::INT + 0.10 + 0.14 * u::INT) / 0.66, 6) AS score FROM s WHERE (t OR s) AND (0.30 * t::INT + 0.12 * s::INT + 0.10 + 0.14 * u::INT) / 0.66 >= 0.65""")
 def weighted_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of events by the weighted mean of title, authority, jurisdiction and URL; authorities share no letters' order."""
-    c = table(spark, d, "customer").filter("c_acctbal > 8500")
+    c = table(spark, d, "customer")
     title = F.repeat(F.char((F.lit(97) + F.col("c_custkey") % 3).cast("int")), 12)
     # a segment as one letter, so that unlike authorities have nothing in common
     segment = F.repeat(F.translate(F.substring("c_mktsegment", 1, 1), "ABFHM", "vwxyz"), 9)
@@ -557,6 +557,22 @@ def weighted_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ci", "pi", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH e AS (SELECT c_custkey AS pos, c_nationkey AS j, c_custkey % 3 AS t, c_custkey * 7 // 5 % 4 AS u, c_custkey % 2 AS side FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY j, t, u, side ORDER BY pos) AS n FROM e),
+same AS (SELECT c.pos AS ci, p.pos AS pi, 1.0::DOUBLE AS score FROM r c JOIN r p ON c.side = 0 AND p.side = 1 AND c.j = p.j AND c.t = p.t AND c.u = p.u AND c.n = p.n),
+rest AS (SELECT *, row_number() OVER (PARTITION BY j, t, side ORDER BY pos) AS m FROM r WHERE NOT EXISTS (SELECT 1 FROM same WHERE pos IN (ci, pi)))
+SELECT * FROM same UNION ALL SELECT c.pos, p.pos, round((0.30 + 0.10) / 0.54, 6) FROM rest c JOIN rest p ON c.side = 0 AND p.side = 1 AND c.j = p.j AND c.t = p.t AND c.m = p.m""")
+def dedup_copies_match(spark: SparkSession, d: str) -> DataFrame:
+    """Many copies on both sides: equal ones are paired by rank, and what is left with those of another URL, in two rounds."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(
+        k.alias("pos"), F.lit("").alias("id"), F.repeat(F.char((F.lit(97) + k % 3).cast("int")), 12).alias("title"), F.lit("").alias("summary"), F.lit("").alias("source_title"), F.lit("").alias("authority"),
+        F.concat(F.lit("j"), F.col("c_nationkey").cast("string")).alias("jurisdiction"), _array().alias("products"), F.concat(F.lit("https://x.org/"), (F.floor(k * 7 / 5) % 4).cast("string")).alias("source_url"),
+    )
+    pairs = linkage.score_pairs(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"))
+    return linkage.match_one_to_one(pairs, alone=0).select("ci", "pi", F.round("score", 6).alias("score"))
+
+
 LADDER = f"""WITH e AS (SELECT c_custkey AS pos, {LETTERS.format("c_custkey // 4")} AS title, c_custkey % 3 AS a, c_custkey // 2 % 40 AS u, c_custkey % 7 AS n, c_custkey % 5 AS p FROM customer),
 s AS (SELECT x.pos AS a, y.pos AS b, x.title = y.title AS t, x.a = y.a AS au, x.u = y.u AS url, x.n = y.n AS anchor, x.p = y.p AS pub FROM e x JOIN e y ON x.pos < y.pos AND (x.u = y.u OR (x.p = y.p AND x.n = y.n))),
 l AS (SELECT a, b, CASE WHEN url AND au AND pub THEN 0.97 WHEN url AND au AND anchor AND t THEN 0.94 WHEN au AND pub AND anchor AND t THEN 0.96 WHEN url THEN 0.75 END::DOUBLE AS confidence, NOT (url AND au AND pub OR au AND anchor AND t AND (url OR pub)) AS ask FROM s)"""
