@@ -6,12 +6,18 @@ Points of an element are discounted by its link density. The best container and
 text are kept; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never
 enter.
 
-What stands around an article is told by element names, roles, and words of classes and ids. A class that names such a
-thing alone drops the element. One that only holds such a word (``share-price``, ``search-results``) drops it outside an
-article, unless most of the page's text is in it; inside an article or main, paragraphs and the like stay, and others
-stay if they hold a paragraph and are not mostly links. Ids of paragraphs, headings and sections are places to link to
-and drop nothing there. Links in lists are text inside an article element; elsewhere a list of links is a menu. A button
-inside a paragraph is part of its sentence, elsewhere it is a control. Mathematics is text.
+What stands around an article is told by element names, roles, and words of classes and ids, but a word alone never
+empties a page: all text is read, and the tree decides. A class that names nothing but such things (``cookie-banner``,
+``comments``) takes the element out, unless it wraps the page's only article and half of its text. One that begins or
+ends with a telling word (``sidebar-right``, ``comments-open``, ``login-guide``), and a form, take it out unless most of
+the page's text or of its article elements is in it, and no larger article is elsewhere; readers' comments stay out
+wherever there is an article or a first heading beside them. One that only holds such a word (``share-price``,
+``search-results``) takes it out outside an article, unless most of the page's text is in it; inside an article or main,
+paragraphs and the like stay, and others stay if they hold a paragraph and are not mostly links. Ids of paragraphs,
+headings and sections are places to link to and say nothing there. Elements whose names, roles or attributes say that
+they are no text or are hidden (``nav``, ``aside``, ``footer``, ``script``) are never read. Links in lists are text
+inside an article element; elsewhere a list of links is a menu. A button inside a paragraph is part of its sentence,
+elsewhere it is a control. Mathematics is text.
 
 Reading and scoring take time in proportion to the page, however deep or broken its tree is.
 
@@ -42,7 +48,7 @@ BLOCK = frozenset(
     " p pre search section summary svg table tbody td template tfoot th thead tr ul canvas audio video".split()
 )
 DROPPED = frozenset(
-    "aside audio button canvas dialog dir footer form legend menu nav noscript object option optgroup search svg"
+    "aside audio button canvas dialog dir footer legend menu nav noscript object option optgroup search svg"
     " template video".split()
 )
 CLOSES_P = BLOCK - frozenset("button caption tbody td tfoot th thead tr option optgroup object svg canvas".split())
@@ -81,6 +87,9 @@ TELLING_WORDS = frozenset(
     " disqus breadcrumb breadcrumbs pagination pager outbrain taboola".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+# Words that say nothing of what an element holds, and words of readers' comments.
+STRUCTURE = frozenset("list section area thread box wrap wrapper container block slot unit item items panel bar button buttons link links count icon label toggle close".split())
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 NEGATED = frozenset("no has with without not is".split())
 
 SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)>")
@@ -96,36 +105,44 @@ RAW_ENDS: dict[str, re.Pattern[str]] = {}
 COMMAS = str.maketrans({c: "," for c in "،，、"})
 
 
-def _label(label: str) -> int:
-    """What a class or id says: 2 names something around the article, 1 holds such a word, 0 neither."""
+#: What a label says of its element.
+NOTHING, HOLDS, TELLS, NAMES, HIDDEN = range(5)
+
+
+def _label(label: str) -> tuple[int, bool]:
+    """What a class or id says: it names something around the article, tells of it at an end, or holds such a word; whether of readers' comments."""
     parts = [p.lower() for p in PARTS.findall(label)]
     if not parts or parts[0] in NEGATED:
-        return 0
+        return NOTHING, False
     first, last = parts[0], "" if NEGATED.intersection(parts[:-1]) else parts[-1]
+    readers = not READERS.isdisjoint(parts)
+    if not CHROME.isdisjoint(parts) and all(p in CHROME or p in STRUCTURE or p.isdigit() for p in parts):
+        return NAMES, readers
     if first not in CHROME and last not in CHROME:
-        return 0
-    return 2 if CHROME.issuperset(parts) or first in TELLING_WORDS or last in TELLING_WORDS else 1
+        return NOTHING, False
+    return TELLS if first in TELLING_WORDS or last in TELLING_WORDS else HOLDS, readers
 
 
-def chrome(attributes: str, place: bool = False) -> int:
-    """Whether an element's attributes mark it as something around the article, or as hidden: 2 surely, 1 perhaps.
+def chrome(attributes: str, place: bool = False) -> tuple[int, bool]:
+    """What an element's attributes say of it, the most of all labels, and whether one speaks of readers' comments.
 
     ``place``: its id is a place to link to.
     """
+    found, readers = NOTHING, False
     if not attributes or not TELLING.search(attributes):
-        return 0
-    found = 0
+        return found, readers
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return 2
+            return HIDDEN, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 2
+            return HIDDEN, False
         if name == "role" and value.strip().lower() in ROLES:
-            return 2
+            return HIDDEN, False
         if name == "class" or name == "id" and not place:
-            found = max([found, *map(_label, value.split())])
-    return found
+            for level, own in map(_label, value.split()):
+                found, readers = max(found, level), readers or own
+    return found, readers
 
 
 class Page:
@@ -133,7 +150,7 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent = ["#"], [-1]
-        self.doubtful: list[tuple[int, bool]] = []  # elements that hold a word of things around articles; whether in an article
+        self.doubtful: list[tuple[int, int, bool, bool]] = []  # elements with words of things around articles, what these say, whether of readers, whether in an article
         self.blocks: list[tuple[int, str, int, int]] = []  # owner, text, characters in links, links
         self._read(html)
 
@@ -251,7 +268,7 @@ class Page:
                 if name in ("br", "hr"):
                     flush()
                 continue
-            if name == "button" and not dropped and not inline and tags[stack[-1]] in LEAVES and chrome(attributes) < 2:
+            if name == "button" and not dropped and not inline and tags[stack[-1]] in LEAVES and chrome(attributes)[0] < NAMES:
                 button = True
                 continue
             if name not in BLOCK:
@@ -261,7 +278,7 @@ class Page:
                 if inline:
                     if name == inline[-1]:
                         inline.append(name)
-                elif not dropped and attributes and chrome(attributes):
+                elif not dropped and attributes and chrome(attributes)[0] >= NAMES:
                     inline.append(name)
                     inline_at = len(stack)
                 continue
@@ -287,31 +304,52 @@ class Page:
                 watched[pair].append(len(stack) - 1)
             if not dropped:
                 place = within and (name in LEAVES or name == "section")
-                mark = chrome(attributes, place) if attributes and name != "main" else 0
-                if name in DROPPED or name == "header" and not within or mark == 2:
+                mark, readers = chrome(attributes, place) if attributes and name != "main" else (NOTHING, False)
+                if name in DROPPED or name == "header" and not within or mark == HIDDEN:
                     dropped = len(stack) - 1
-                elif mark == 1 and name != "article" and not (within and name in LEAVES):
-                    self.doubtful.append((len(tags) - 1, within))
+                elif name == "form" or mark >= TELLS:
+                    self.doubtful.append((len(tags) - 1, max(mark, TELLS), readers, within))
+                elif mark == HOLDS and name != "article" and not (within and name in LEAVES):
+                    self.doubtful.append((len(tags) - 1, mark, readers, within))
         flush()
 
     def _doubts(self) -> None:
-        """Takes out what doubtful elements hold, unless it reads like text of the article."""
+        """Takes out what doubtful elements hold, unless it reads like the article: those that surely name something else first."""
         tags, parents = self.tag, self.parent
-        size, linked, told = [0] * len(tags), [0] * len(tags), [False] * len(tags)
-        for owner, text, in_links, _ in self.blocks:
-            size[owner] += len(text)
-            linked[owner] += in_links
-            told[owner] = told[owner] or tags[owner] in LEAVES and (len(text) >= 25 or text[-1] in ".!?")
-        for i in range(len(tags) - 1, 0, -1):
-            size[parents[i]] += size[i]
-            linked[parents[i]] += linked[i]
-            told[parents[i]] = told[parents[i]] or told[i]
-        out = [False] * len(tags)
-        for i, within in self.doubtful:
-            out[i] = not (2 * size[i] >= size[0] or within and told[i] and 2 * linked[i] < size[i])
-        for i in range(1, len(tags)):
-            out[i] = out[i] or out[parents[i]]
-        self.blocks = [b for b in self.blocks if not out[b[0]]]
+        marked = {i for i, level, _, _ in self.doubtful if level >= TELLS}
+        for level in (NAMES, TELLS, HOLDS):
+            asked = [d for d in self.doubtful if d[1] == level]
+            if not asked:
+                continue
+            size, linked, told, heads = [0] * len(tags), [0] * len(tags), [False] * len(tags), [0] * len(tags)
+            for owner, text, in_links, _ in self.blocks:
+                size[owner] += len(text)
+                linked[owner] += in_links
+                told[owner] = told[owner] or tags[owner] in LEAVES and (len(text) >= 25 or text[-1] in ".!?")
+                heads[owner] += tags[owner] == "h1"
+            articles = [0] * len(tags)  # characters in article elements
+            for i in range(len(tags) - 1, -1, -1):
+                if tags[i] in ("article", "main") and i not in marked:
+                    articles[i] = size[i]
+                if i:
+                    for held in (size, linked, heads, articles):
+                        held[parents[i]] += held[i]
+                    told[parents[i]] = told[parents[i]] or told[i]
+            whole, out = size[0], [False] * len(tags)
+            for i, _, readers, within in asked:
+                elsewhere = articles[0] - articles[i]
+                if level == HOLDS:
+                    stays = 2 * size[i] >= whole or within and told[i] and 2 * linked[i] < size[i]
+                elif readers:
+                    stays = level == TELLS and 2 * size[i] >= whole and not elsewhere and heads[i] == heads[0]
+                elif level == NAMES:
+                    stays = 2 * size[i] >= whole and articles[i] > 0 and not elsewhere
+                else:
+                    stays = (2 * size[i] >= whole or 2 * articles[i] > articles[0]) and 2 * elsewhere <= size[i]
+                out[i] = not stays
+            for i in range(1, len(tags)):
+                out[i] = out[i] or out[parents[i]]
+            self.blocks = [b for b in self.blocks if not out[b[0]]]
 
     def text(self) -> str:
         """The kept blocks in page order."""

@@ -73,6 +73,35 @@ def test_wrappers_named_like_chrome():
     assert html_extract.main_text("<div class='layout-search'><p>Body text, of the page, here.</p></div><p>x</p>") == "Body text, of the page, here."
 
 
+PARAGRAPHS = [f"Paragraph {i} of the article, long enough to count, with commas, and words." for i in range(4)]
+ARTICLE = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<form action='/'>%s<input name=q></form>", "<form><article>%s</article></form>", "<div class='container sidebar-right'>%s</div>", "<article class='hentry sidebar-right'>%s</article>",
+        "<div class='post comments-open'>%s</div>", "<div class='cookie-recipe'>%s</div>", "<div id='login-guide'>%s</div>", "<div class='widget'><article>%s</article></div>",
+        "<form id=aspnetForm><div class='page has-sidebar'><div class='newsletter-archive'>%s</div></div></form>", "<div class=sidebar-left><main>%s</main></div>",
+    ],
+)
+def test_words_of_a_wrapper_never_empty_a_page(wrapper):
+    """Form-wrapped pages and theme classes; chrome beside the article goes all the same."""
+    want = " ".join(["Title", *PARAGRAPHS])
+    assert html_extract.main_text(f"<body>{wrapper % ARTICLE}</body>") == want
+    around = "<nav><a href=1>Home</a></nav>%s<div class='sidebar-left'><p>About us, briefly.</p></div><div class='comment-list'><p>" + "I like it, a lot. " * 3 + "</p></div><form class='search-box'><p>Find things here</p></form><div class=cookie-banner><p>We use cookies.</p></div>"
+    assert html_extract.main_text(f"<body>{around % (wrapper % ARTICLE)}</body>") == want
+
+
+def test_chrome_that_outweighs_the_article():
+    """Comments, banners and forms that are longer than the article stay out beside it."""
+    long = "".join(f"<p>Nice post, really, number {i}, thanks, a lot, to you.</p>" for i in range(40))
+    for beside in (f"<div class=comments>{long}</div>", f"<div class='comment-thread'>{long}</div>", f"<section id='comments-open'>{long}</section>", f"<div class=cookie-consent>{long}</div>", f"<ol class=commentlist><li><article class=comment>{long}</article></li></ol>"):
+        assert html_extract.main_text(f"<article>{ARTICLE}</article>{beside}") == " ".join(["Title", *PARAGRAPHS])
+    assert html_extract.main_text(f"<div>{ARTICLE}</div><div class='comment-feed'>{long}</div>") == " ".join(["Title", *PARAGRAPHS])
+    assert html_extract.main_text("<article><p>Price of <span class='share-price'>ten euro</span> <span class=ad>buy</span>now.</p></article>") == "Price of ten euro now."
+
+
 @pytest.mark.parametrize(
     "html, many",
     [
@@ -82,6 +111,7 @@ def test_wrappers_named_like_chrome():
         ("<div>" * 50_000 + "<dd>word, word</dd>" * 50_000, 50_000),
         ("<div>" * 50_000 + "<li>word, word" * 50_000, 50_000),
         ("<div><p>word, word</p></div>" * 50_000, 50_000),
+        ("<div class=side-nav>" * 20_000 + "<form class=login-x><p>word, word</p>" * 20_000, 10_001),
         ("<a" * 200_000, 0),
     ],
 )
