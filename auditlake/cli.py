@@ -16,7 +16,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake import constants as K
-from auditlake.operators import acquisition, alerting, calibration, discovery, evaluation, language, library, planning, snapshots
+from auditlake.operators import acquisition, alerting, calibration, chains, discovery, evaluation, language, library, planning, snapshots
 from auditlake.plans import files, report, run
 from auditlake.session import build
 from auditlake.sources import reports
@@ -171,12 +171,15 @@ def dashboard(spark: SparkSession, args: argparse.Namespace) -> int:
     return give(args, {"markdown": report.dashboard_markdown, "html": report.dashboard_html, "json": report.dashboard_json}[args.format](rows))
 
 
-@command("snapshot-audit", ("table", {}))
+@command("snapshot-audit", ("table", {}), ("--index", {"default": None}), ("--diffs", {"default": None}))
 def snapshot_audit(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Stored records whose link or status is not what their order implies."""
-    found = rows_of(snapshots.audit(spark.read.parquet(args.table)))
-    for x in found:
-        print(f"{x['page_key']} {x['snapshot_id']}: expected {x['expected_status']}")
+    """Stored records whose link or status is not what their order implies; with index and diffs, all faults of the store."""
+    records = spark.read.parquet(args.table)
+    if args.index and args.diffs:
+        found = [f"{x['page_key']} {x['snapshot_id'] or ''}: {x['fault']}" for x in rows_of(chains.audited(records, spark.read.parquet(args.index), spark.read.parquet(args.diffs)))]
+    else:
+        found = [f"{x['page_key']} {x['snapshot_id']}: expected {x['expected_status']}" for x in rows_of(snapshots.audit(records))]
+    print(*found, sep="\n")
     return 1 if found else 0
 
 

@@ -8,14 +8,14 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake import fault_workloads as faults
 from auditlake.functions import ids, score, text, timing, udfs
-from auditlake.operators import acquisition, calibration, common, discovery, evaluation, graph, library, linkage, planning, snapshots, worksheet
-from auditlake.workloads import CHAIN, CONSENSUS, captures, predictions, query, reviews, table
+from auditlake.operators import acquisition, calibration, chains, common, discovery, evaluation, graph, library, linkage, planning, snapshots, worksheet
+from auditlake.workloads import CAPTURES, CHAIN, CONSENSUS, captures, predictions, query, reviews, table
 
 
 def _none() -> Column:
@@ -536,6 +536,71 @@ def faults_evaluated_reports(spark: SparkSession, d: str) -> DataFrame:
 
 # -- links and clusters whose similarities are plain ---------------------------------------------------------------------
 
+# -- stored captures with planted faults -----------------------------------------------------------------------------------
+
+#: Records, index and diffs of the captures' store: lost predecessors, rings, wrong hashes, and diffs and latest pointers that are lost or wrong.
+STORE = f"""WITH RECURSIVE {CAPTURES}, o AS (SELECT page_key, event_id, snapshot_id, captured_at, 'v' || content_hash AS content, lag(snapshot_id) OVER w AS p, lag('v' || content_hash) OVER w AS pc,
+  first_value(snapshot_id) OVER w AS first_id, last_value(snapshot_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id, split_part(page_key, '/', 1)::BIGINT AS user_id
+  FROM captures WINDOW w AS (PARTITION BY page_key ORDER BY captured_at, snapshot_id)),
+r AS (SELECT page_key, snapshot_id, captured_at, content, CASE WHEN p IS NULL THEN CASE WHEN event_id % 5 = 0 THEN last_id END WHEN event_id % 97 = 0 THEN 'gone' ELSE p END AS prev,
+  CASE WHEN event_id % 89 = 0 THEN 'bad' ELSE sha256(content) END AS content_hash, CASE WHEN p IS NULL THEN 'first_seen' WHEN pc = content THEN 'unchanged' ELSE 'changed' END AS change_status FROM o),
+d AS (SELECT page_key, CASE WHEN event_id % 1009 = 0 THEN 'x' ELSE '' END || snapshot_id AS snapshot_id,
+  CASE WHEN pc <> content THEN '--- previous' || chr(10) || '+++ current' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || pc || chr(10) || '+' || content || chr(10) ELSE '' END || CASE WHEN event_id % 73 = 0 THEN '#' ELSE '' END AS diff
+  FROM o WHERE (pc <> content AND event_id % 83 <> 0) OR (pc = content AND event_id % 79 = 0)),
+i AS (SELECT DISTINCT page_key, CASE WHEN user_id % 50 = 0 THEN 'gone' WHEN user_id % 51 = 0 THEN first_id ELSE last_id END AS latest FROM o WHERE user_id % 53 <> 0)"""
+
+
+def stored_captures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, index and diffs of a store over all events."""
+    rows = captures(spark, d).withColumn("content", F.concat(F.lit("v"), F.col("content_hash").cast("string")))
+    order = Window.partitionBy("page_key").orderBy("captured_at", "snapshot_id")
+    rows = rows.withColumn("p", F.lag("snapshot_id").over(order)).withColumn("pc", F.lag("content").over(order)).withColumn("user_id", F.split("page_key", "/")[0].cast("long"))
+    ends = rows.groupBy("page_key").agg(F.min_by("snapshot_id", F.struct("captured_at", "snapshot_id")).alias("first_id"), F.max_by("snapshot_id", F.struct("captured_at", "snapshot_id")).alias("last_id"), F.first("user_id").alias("user_id"))
+    e, last, alike = F.col("event_id"), rows.join(ends.select("page_key", "last_id"), "page_key"), F.col("pc") == F.col("content")
+    records = last.select(
+        "page_key", "snapshot_id", "captured_at", "content", F.when(F.col("p").isNull(), F.when(e % 5 == 0, F.col("last_id"))).when(e % 97 == 0, "gone").otherwise(F.col("p")).alias("previous_snapshot_id"),
+        F.when(e % 89 == 0, "bad").otherwise(ids.hashed(F.col("content"))).alias("content_hash"), F.when(F.col("p").isNull(), "first_seen").when(alike, "unchanged").otherwise("changed").alias("change_status"),
+    )
+    diff = F.when(alike, "").otherwise(F.concat(F.lit("--- previous\n+++ current\n@@ -1 +1 @@\n-"), "pc", F.lit("\n+"), "content", F.lit("\n")))
+    diffs = rows.filter((~alike & (e % 83 != 0)) | (alike & (e % 79 == 0))).select("page_key", F.concat(F.when(e % 1009 == 0, "x").otherwise(""), "snapshot_id").alias("snapshot_id"), F.concat(diff, F.when(e % 73 == 0, "#").otherwise("")).alias("diff"))
+    u = F.col("user_id")
+    index = ends.filter(u % 53 != 0).select("page_key", F.when(u % 50 == 0, "gone").when(u % 51 == 0, F.col("first_id")).otherwise(F.col("last_id")).alias("latest_snapshot_id"))
+    return records, index, diffs
+
+
+@query(STORE + """, reach AS (SELECT i.page_key, latest AS id FROM i JOIN r ON r.page_key = i.page_key AND r.snapshot_id = latest
+  UNION SELECT reach.page_key, b.snapshot_id FROM reach JOIN r ON r.page_key = reach.page_key AND r.snapshot_id = id JOIN r b ON b.page_key = r.page_key AND b.snapshot_id = r.prev),
+ring AS (SELECT page_key FROM r GROUP BY page_key HAVING count(*) FILTER (prev = 'gone') = 0 AND count(*) FILTER (prev IS NULL) = 0),
+m AS (SELECT r.*, b.captured_at AS earlier, CASE WHEN b.content_hash = r.content_hash THEN 'unchanged' ELSE 'changed' END AS status, b.content AS before FROM r JOIN r b ON b.page_key = r.page_key AND b.snapshot_id = r.prev),
+c AS (SELECT * FROM m WHERE status = 'changed')
+SELECT page_key, snapshot_id, 'cycle' AS fault FROM r SEMI JOIN ring USING (page_key)
+UNION ALL SELECT page_key, snapshot_id, 'missing_previous' FROM r WHERE prev = 'gone'
+UNION ALL SELECT page_key, snapshot_id, 'unreachable' FROM r WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.page_key = r.page_key AND id = snapshot_id)
+UNION ALL SELECT page_key, snapshot_id, 'not_chronological' FROM m WHERE captured_at <= earlier
+UNION ALL SELECT page_key, snapshot_id, 'wrong_status' FROM m WHERE change_status <> status
+UNION ALL SELECT page_key, snapshot_id, 'wrong_hash' FROM r WHERE content_hash = 'bad'
+UNION ALL SELECT page_key, snapshot_id, 'missing_diff' FROM c ANTI JOIN d USING (page_key, snapshot_id)
+UNION ALL SELECT c.page_key, c.snapshot_id, 'wrong_diff' FROM c JOIN d USING (page_key, snapshot_id)
+  WHERE diff <> CASE WHEN before = content THEN '' ELSE '--- previous' || chr(10) || '+++ current' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || before || chr(10) || '+' || content END || chr(10)
+UNION ALL SELECT page_key, snapshot_id, 'unexpected_diff' FROM d SEMI JOIN r USING (page_key, snapshot_id) ANTI JOIN c USING (page_key, snapshot_id)
+UNION ALL SELECT page_key, snapshot_id, 'unreferenced_diff' FROM d ANTI JOIN r USING (page_key, snapshot_id)
+UNION ALL SELECT DISTINCT page_key, NULL, 'no_index' FROM r ANTI JOIN i USING (page_key)
+UNION ALL SELECT page_key, NULL, 'latest_missing' FROM i WHERE latest = 'gone'
+UNION ALL SELECT DISTINCT i.page_key, NULL, 'latest_stale' FROM i JOIN r ON r.page_key = i.page_key AND r.prev = latest AND latest <> 'gone'""")
+def chain_pointer_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Every planted fault of the store, found by following its pointers."""
+    return chains.audited(*stored_captures(spark, d))
+
+
+@query(STORE + """, f AS (SELECT r.page_key, r.snapshot_id, captured_at, NOT EXISTS (SELECT 1 FROM r x WHERE x.page_key = r.page_key AND x.prev = r.snapshot_id) AS tail FROM r),
+t AS (SELECT page_key, arg_max(snapshot_id, (tail, captured_at, snapshot_id)) AS last FROM f GROUP BY page_key)
+SELECT t.page_key, coalesce(nullif(latest, 'gone'), last) AS latest_snapshot_id, coalesce(latest, 'gone') = 'gone' AS recovered FROM t LEFT JOIN i USING (page_key)""")
+def latest_recovered(spark: SparkSession, d: str) -> DataFrame:
+    """The latest capture of each page, from its records where the index lacks it or names none."""
+    records, index, _ = stored_captures(spark, d)
+    return chains.repaired(index, records)
+
+
 #: Texts of one letter: two of them are equal or have nothing in common.
 LETTERS = "repeat(chr((97 + {0} % 3)::INT), 12)"
 
