@@ -13,8 +13,8 @@ in blocks of at most ``BLOCK_GRAMS`` n-grams, each of which passes through the d
 between two blocks the matches so far are written to the shared folder and the index is destroyed, so that a task, and
 the driver, hold one index at a time.
 
-Defined results: null text or item is empty; an item without words matches nothing, one of fewer than ``LEAST`` words
-only a document of the very same words; a row without doc_id is searched like any other; rows and items that repeat are
+Defined results: null text or item is empty; an item without words matches nothing, one of fewer than ``LEAST`` words,
+which has no n-gram, wherever a document has its very words in a row; a row without doc_id is searched like any other; rows and items that repeat are
 searched as often as they occur. Further columns are carried by ``with_matches`` and ``clean`` whatever their names; one
 named like the matches is replaced.
 """
@@ -35,7 +35,7 @@ from auditlake.llm.common import carried, small_batches, stored
 
 GRAM = 3
 WINDOW = 3
-#: Items of fewer words are compared whole.
+#: Items of fewer words are found as they are.
 LEAST = 3
 #: Alignment score of a contaminated document, as a part of the item's own.
 THRESHOLD = 0.5
@@ -60,10 +60,10 @@ class Index:
             for w in words:
                 self.word.setdefault(w, len(self.word))
         self.base = len(self.word) + 1
-        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        self.short: dict[int, dict[int, list[int]]] = {n: defaultdict(list) for n in range(1, LEAST)}
         for i, words in items:
             if len(words) < LEAST:
-                self.short[tuple(words)].append(i)
+                self.short[len(words)][int(self.grams(np.array([self.word[w] for w in words], np.int64), len(words))[0])].append(i)
         items = [x for x in items if len(x[1]) >= LEAST]
         self.ids = [i for i, _ in items]
         self.items = [np.array([self.word[w] for w in words], np.int64) for _, words in items]
@@ -71,13 +71,13 @@ class Index:
         self.gram = np.unique(np.concatenate([*self.keys, np.zeros(0, np.int64)]))
         self.seed_key = np.zeros(0, np.int64)
 
-    def grams(self, x: np.ndarray) -> np.ndarray:
+    def grams(self, x: np.ndarray, size: int = GRAM) -> np.ndarray:
         """A number for each n-gram; -1 where a word isn't in the vocabulary."""
-        n = len(x) - GRAM + 1
+        n = len(x) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64)
         key, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(GRAM):
+        for k in range(size):
             part = x[k : k + n]
             key = key * self.base + part
             known &= part >= 0
@@ -94,9 +94,9 @@ class Index:
             flat.append(-1)
         return np.array(flat, np.int64), np.array(begin, np.int64), np.array(many, np.int64)
 
-    def hits(self, flat: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, flat: np.ndarray, keys: np.ndarray, size: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
         """Places of n-grams that are among the sorted ``keys``, and which."""
-        own = self.grams(flat)
+        own = self.grams(flat, size)
         at = np.flatnonzero(own >= 0)
         if not len(at) or not len(keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -104,6 +104,14 @@ class Index:
         good = keys[place] == own[at]
         return at[good], place[good]
 
+    def runs(self, flat: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Items of few words wherever they stand: item, first and last place."""
+        for size, items in self.short.items():
+            keys = np.array(sorted(items), np.int64)
+            for place, which in zip(*(x.tolist() for x in self.hits(flat, keys, size))):
+                for item in items[int(keys[which])]:
+                    yield item, place, place + size - 1
+
     def choose(self, documents: np.ndarray) -> None:
         """Seeds: of every ``WINDOW`` neighbours the n-gram in the fewest documents, the leftmost of equals."""
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -213,10 +221,12 @@ def _search(shared: Broadcast, threshold: float):  # noqa: ANN202
             own: dict[int, list[int]] = defaultdict(list)
             for n, d in enumerate((np.searchsorted(begin, at, side="right") - 1).tolist()):
                 own[d].append(n)
+            few: dict[int, list[tuple[int, float, int, int]]] = defaultdict(list)
+            for item, first, last in index.runs(flat):
+                d = int(np.searchsorted(begin, first, side="right")) - 1
+                few[d].append((item, 1.0, first - int(begin[d]), last - int(begin[d])))
             for d in range(len(begin)):
-                some = []
-                if many[d] < LEAST and index.short:
-                    some = [(i, 1.0, 0, int(many[d]) - 1) for i in index.short.get(tuple(tokens(texts[a + d])), ())]
+                some = few.get(d, [])
                 if hits := own.get(d):
                     words = flat[begin[d] : begin[d] + many[d]]
                     some += index.matches(words, (at[hits] - begin[d]).tolist(), which[hits].tolist(), threshold)

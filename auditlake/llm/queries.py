@@ -235,13 +235,9 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 
-#: A tokenizer's vocabulary whose words the dictionary of guesses also holds, where the file is there.
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
-
-
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.with_spans(docs, words=secrets.dictionary(docs, VOCABULARY))
+    found = secrets.with_spans(docs, words=secrets.dictionary(docs))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = secrets.digest(F.col("spans"), ("assign", "access", "hex"))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))

@@ -12,8 +12,10 @@ one run, the later one is followed only while it is the cheaper of the two. Plac
 left, and with none cheaper ahead the search ends.
 
 The dictionary's ranks come from the corpus itself: words of all texts, outside credential values, by how often they
-occur, after a fixed list of password words; an optional vocabulary file of a tokenizer adds words of its language in
-its own order. ``DICTIONARY`` words of each at most are broadcast, so its size does not grow with the corpus.
+occur, after a fixed list of password words; a vocabulary file of a tokenizer, where one is named, adds words of its
+language in its own order, and is an error where it is not there. All words are counted; the guesser that is modelled
+knows the ``DICTIONARY`` commonest ones, and rarer words, which would cost it 10^4.7 guesses and more, are priced by
+their pieces. So what is broadcast does not grow with the corpus, and spans depend on the documents alone.
 
 Spans are (kind, start, end) in code points, the end exclusive. Of the fixed patterns the span is the whole match, of
 the guessed values the value; a value inside a fixed pattern's span is not named twice.
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -303,16 +304,16 @@ def vocabulary_words(path: str) -> list[str]:
 
 
 def dictionary(docs: DataFrame, vocabulary: str | None = None, size: int = DICTIONARY, text: str = "text") -> Dictionary:
-    """The dictionary of a corpus: its ``size`` commonest words, merged rank by rank with those of a vocabulary file.
+    """The dictionary of a corpus: its ``size`` commonest words, merged rank by rank with those of a vocabulary file, if one is named.
 
-    Without that file the corpus's own words make the dictionary. The words are placed by ranges of their counts over all
+    The words are placed by ranges of their counts over all
     tasks, and only the first ``size`` places come to the driver.
     """
     small_batches(docs.sparkSession)
     counted = docs.select(F.col(text).alias("text")).mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     first = placed(cut(counted), F.desc("n"), F.col("word")).filter(F.col("place") <= size).select("place", "word")
     own = first.toPandas().sort_values("place")["word"].tolist()
-    more = vocabulary_words(vocabulary)[:size] if vocabulary and os.path.exists(vocabulary) else []
+    more = vocabulary_words(vocabulary)[:size] if vocabulary else []
     both = [w for pair in zip(own, more) for w in pair] + own[len(more) :] + more[len(own) :]
     return Dictionary(both)
 

@@ -265,16 +265,17 @@ def test_decontamination(spark):
         edited[at] = "changed"
     docs = [
         (0, f"{filler(200)} {items[0][1].upper()}!! {filler(50)}"), (1, f"{filler(90)}\n{' '.join(edited)} {filler(9)}"), (2, filler(300)), (3, None), (4, ""), (5, items[2][1]), (None, items[2][1]),
-        (6, " ".join(items[3][1].split()[:10])), (7, f"{items[4][1]} {filler(5000)} {items[5][1]}"), (8, "the the the the"), (10, "-- too SHORT"), (11, "it is too short"), (12, "gone"), (9, " ".join(w for n, x in enumerate(items[4][1].split()) for w in ([x, "um"] if n % 5 == 4 else [x]))),
+        (6, " ".join(items[3][1].split()[:10])), (7, f"{items[4][1]} {filler(5000)} {items[5][1]}"), (8, "the the the the"), (10, "-- too SHORT"), (11, "it is too short, too short!"), (12, "gone"), (13, "too, but not short"), (9, " ".join(w for n, x in enumerate(items[4][1].split()) for w in ([x, "um"] if n % 5 == 4 else [x]))),
     ]
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit(0)).withColumn("matches", F.lit(0))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (500_000, 40):  # one index, one an item
         found = decontam.with_matches(table.select("doc_id", "text"), bench, block=block).select("doc_id", F.explode("matches").alias("m")).collect()
-        assert {(r.doc_id, r.m.item_id) for r in found} == {(0, 0), (1, 1), (5, 2), (None, 2), (7, 4), (7, 5), (9, 4), (10, 50), (12, 53)}
+        assert {(r.doc_id, r.m.item_id) for r in found} == {(0, 0), (1, 1), (5, 2), (None, 2), (7, 4), (7, 5), (9, 4), (10, 50), (11, 50), (12, 53)}
     assert [(r.first_word, r.last_word, r.score) for r in decontam.contaminated(table, bench).filter("doc_id = 0").collect()] == [(200, 229, 1.0)]
+    assert sorted((r.first_word, r.last_word) for r in decontam.contaminated(table, bench).filter("doc_id = 11").collect()) == [(2, 3), (4, 5)]
     kept = decontam.clean(table, bench)
-    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6, 8, 11]
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6, 8, 13]
     assert decontam.clean(table, bench.limit(0)).count() == len(docs) and decontam.contaminated(table.limit(0), bench).collect() == []
 
 
@@ -286,6 +287,8 @@ def test_secrets(spark):
     words = secrets.dictionary(docs_of(spark, [(1, "zorble zorble understanding password=zorbleqq1", "en", "s", 1), (2, None, None, None, None)]))
     assert {"zorble", "understanding"} <= set(words.rank) and "zorbleqq" not in words.rank
     assert secrets.dictionary(docs.limit(0)).rank == secrets.BUILT_IN.rank
+    with pytest.raises(FileNotFoundError):
+        secrets.dictionary(docs.limit(0), "/no/such/vocabulary.json")
     shown = secrets.redact(docs.drop("spans")).collect()
     assert sorted((r.doc_id, str(r.text), str(r.n_chars)) for r in shown) == [(1, "é [SECRET]", "10"), (2, "", "0"), (2, "None", "None")]
 

@@ -84,7 +84,7 @@ def test_decontamination_stage(spark, documents):
 
 def test_secret_stage(spark, documents):
     """All rows stay; every fixed span is gone, and texts without any span are as they were."""
-    words = secrets.dictionary(documents, queries.VOCABULARY)
+    words = secrets.dictionary(documents)
     want = Counter()
     for r in documents.collect():
         text = r.text and secrets.redacted(r.text, secrets.scan(r.text, words=words))

@@ -325,7 +325,8 @@ def test_every_copy_is_found():
     flat, _, many = index.read([" ".join(words + words + ["x"] * 70 + words)])
     at, which = index.hits(flat, index.seed_key)
     assert [m[2:] for m in index.matches(flat[: many[0]], at.tolist(), which.tolist(), 0.5)] == [(0, 19), (20, 39), (110, 129)]
-    assert index.short == {("one",): [3], ("one", "two"): [4]}
+    flat, begin, _ = index.read(["One, two one w1", "two", "two one"])
+    assert begin.tolist() == [0, 5, 7] and sorted(index.runs(flat)) == [(3, 0, 0), (3, 2, 2), (3, 8, 8), (4, 0, 1)]
 
 
 # -- secrets -----------------------------------------------------------------------------------------------------------
