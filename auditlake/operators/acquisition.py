@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import ids, score, text, timing
+from auditlake.operators import containment
 from auditlake.operators.common import best_of, zero_filled
 
 
@@ -149,7 +150,7 @@ def dashboard(routes: DataFrame, health_rows: DataFrame) -> DataFrame:
 def resolve(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """Names with the platform that has the alias; aliases: alias, platform."""
     known = aliases.select(text.normalized(F.col("alias")).alias("__a"), "platform").distinct()
-    return names.withColumn("__a", text.normalized(F.col("name"))).join(F.broadcast(known), "__a", "left").drop("__a")
+    return names.withColumn("__a", text.normalized(F.col("name"))).join(known, "__a", "left").drop("__a")
 
 
 def ambiguous_aliases(aliases: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def ambiguous_aliases(aliases: DataFrame) -> DataFrame:
 
 def named_platforms(scopes: DataFrame, aliases: DataFrame) -> DataFrame:
     """scope, platform: platforms that a scope text names."""
-    return scopes.join(F.broadcast(aliases), text.named_in(F.col("scope"), F.col("alias"))).select("scope", "platform").distinct()
+    return containment.named(scopes.select("scope"), aliases, "scope")
 
 
 def dashboard_summary(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import score, text, timing
+from auditlake.operators import containment
 
 # Fields and their JSON kinds; a mark of "?" admits null.
 ROOT = {"report_date": "string", "timezone": "string", "cutoff": "string", "language": "string", "scope": "array", "coverage_gaps": "array", "events": "array"}
@@ -269,9 +270,10 @@ def scope_rules(reports: DataFrame, aliases: DataFrame) -> DataFrame:
     """Platforms that a report's scope names and its ledger lacks."""
     rows = reports.select("report", F.try_parse_json("raw").alias("v"))
     scopes = rows.select("report", F.explode(F.try_variant_get("v", "$.scope", "array<string>")).alias("scope"))
-    wanted = scopes.join(F.broadcast(aliases), text.named_in(F.col("scope"), F.col("alias"))).select("report", "platform").distinct()
-    named = elements(rows, F.col("v"), "coverage_ledger", F.lit("")).select("report", text.normalized(get(F.col("item"), "platform")).alias("__a"))
-    have = named.join(F.broadcast(aliases.select(text.normalized(F.col("alias")).alias("__a"), "platform")), "__a").select("report", "platform")
+    named = containment.named(scopes.select("scope"), aliases, "scope")  # each text once, however many reports have it
+    wanted = scopes.join(named, "scope").select("report", "platform").distinct()
+    entered = elements(rows, F.col("v"), "coverage_ledger", F.lit("")).select("report", text.normalized(get(F.col("item"), "platform")).alias("__a"))
+    have = entered.join(aliases.select(text.normalized(F.col("alias")).alias("__a"), "platform"), "__a").select("report", "platform")
     lacking = wanted.join(have, ["report", "platform"], "left_anti")
     return lacking.select("report", F.lit("coverage_ledger").alias("location"), F.concat(F.lit("has no row for "), "platform").alias("message"))
 
