@@ -139,7 +139,7 @@ def library_of(spark: SparkSession, args: argparse.Namespace) -> int:
     if held is None:
         raise ValueError("the store is empty")
     if args.action == "search":
-        return give(args, rows_of(library.search(held[1], args.query, args.limit)))
+        return give(args, rows_of(library.find(spark, args.store, args.query, args.limit)))
     return give(args, rows_of(library.show(held[1], args.event) if args.action == "show" else library.stats(held[1])))
 
 

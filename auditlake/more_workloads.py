@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from auditlake import constants as K
 from auditlake import fault_workloads as faults
 from auditlake.functions import ids, score, text, timing, udfs
-from auditlake.operators import acquisition, calibration, chains, common, discovery, evaluation, graph, library, linkage, planning, snapshots, worksheet
-from auditlake.workloads import CAPTURES, CHAIN, CONSENSUS, captures, predictions, query, reviews, table
+from auditlake.operators import acquisition, calibration, chains, common, discovery, evaluation, graph, library, library_index, linkage, planning, snapshots, worksheet
+from auditlake.workloads import CAPTURES, CHAIN, CONSENSUS, SQL, captures, predictions, query, reviews, table
 
 
 def _none() -> Column:
@@ -536,6 +536,19 @@ def faults_evaluated_reports(spark: SparkSession, d: str) -> DataFrame:
 
 # -- links and clusters whose similarities are plain ---------------------------------------------------------------------
 
+@query(SQL["library_search"])
+def library_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search of ``library_search`` over a store that two ingests have filled, by its index; the second replaces what the first had wrong."""
+    docs = table(spark, d, "documents")
+    day = F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("event_id"), day.alias("report_date"), day.alias("cutoff"), F.concat_ws("/", day, (F.col("doc_id") % 2).cast("string")).alias("report_key"), F.col("lang").alias("title"), F.col("text").alias("summary"))
+    store = f"{common.shared_dir(spark)}/library-{uuid.uuid4().hex}"
+    stale = rows.filter("report_key like '%/1'").withColumn("summary", F.lit("onthe first try"))
+    for part in (rows.filter("report_key like '%/0'").unionByName(stale), rows.filter("report_key like '%/1'")):
+        library_index.append(spark, store, part.select("report_key", "report_date", "cutoff").distinct(), part, library.SEARCHED)
+    return library.find(spark, store, "onthe", 20).select("event_id", "last_seen")
+
+
 # -- stored captures with planted faults -----------------------------------------------------------------------------------
 
 #: Records, index and diffs of the captures' store: lost predecessors, rings, wrong hashes, and diffs and latest pointers that are lost or wrong.

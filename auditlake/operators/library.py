@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import ids, text
-from auditlake.operators import validation
+from auditlake.operators import library_index, validation
 from auditlake.operators.common import best_of
 from auditlake.sources import reports as sources
 
@@ -60,28 +60,25 @@ def drill_context(sightings: DataFrame, event_id: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(at)).filter("place = 1").drop("place")
 
 
-def _newest(spark: SparkSession, store: str) -> int:
-    """The number of the store's newest whole version; 0 without one."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(store)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return 0
-    names = [x.getPath().getName() for x in fs.listStatus(root)]
-    return max((int(n[2:]) for n in names if n.startswith("v=") and fs.exists(hadoop.Path(f"{store}/{n}/sightings/_SUCCESS"))), default=0)
+def tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame] | None:
+    """(reports, sightings) of a store; none of an empty store."""
+    return library_index.live(spark, store)
 
 
-def tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame] | None:
-    """(reports, sightings) of a store's newest version; none of an empty store."""
-    n = _newest(spark, store)
-    return (spark.read.parquet(f"{store}/v={n}/reports"), spark.read.parquet(f"{store}/v={n}/sightings")) if n else None
+def find(spark: SparkSession, store: str, query: str, limit: int = 20) -> DataFrame:
+    """``search`` over a store, by its index."""
+    hits = library_index.search(spark, store, query, SEARCHED, limit)
+    held = tables(spark, store)
+    if held is None:
+        raise ValueError("the library is empty")
+    return history(held[1].join(hits.select("event_id"), "event_id", "left_semi")).orderBy(F.desc("last_seen"), F.desc("event_id"))
 
 
 def ingest(spark: SparkSession, store: str, path: str, ingested_at: str, aliases: DataFrame | None = None) -> dict:
     """Adds the valid reports of a file or folder to a store of tables; a broken single file is an error, others are skipped.
 
-    A version of both tables is written whole and counts once its last table is complete, so readers never see half an
-    ingest. Of several files of one report the last by path holds.
+    The reports are appended as one part of the store, which counts once it is complete, so readers never see half an ingest.
+    Of several files of one report the last by path holds; a report that is stored already is replaced.
     """
     found = sources.raw(spark, path)
     if found.isEmpty():
@@ -97,12 +94,7 @@ def ingest(spark: SparkSession, store: str, path: str, ingested_at: str, aliases
     fresh = head.join(counts, "report").join(valid.select("report", ids.hashed(F.col("raw")).alias("content_hash")), "report")
     fresh = best_of(fresh, ["report_key"], F.desc("report")).select("report_key", F.lit(ingested_at).alias("ingested_at"), F.col("report").alias("path"), "report_date", "cutoff", "events", "content_hash")
     seen = rows.join(fresh.select(F.col("path").alias("report"), "report_key"), "report").withColumnsRenamed({"id": "event_id", "report": "path"}).withColumn("ingested_at", F.lit(ingested_at))
-    now = tables(spark, store)
-    if now is not None:
-        fresh, seen = upsert(now[0], fresh), now[1].join(fresh.select("report_key"), "report_key", "left_anti").unionByName(seen, allowMissingColumns=True)
-    target = f"{store}/v={_newest(spark, store) + 1}"
-    fresh.write.mode("overwrite").parquet(f"{target}/reports")
-    seen.write.mode("overwrite").parquet(f"{target}/sightings")
+    number = library_index.append(spark, store, fresh, seen, SEARCHED)
     done, events = tables(spark, store)
-    mine = done.filter(F.col("ingested_at") == ingested_at)
+    mine = done.filter(F.col("part") == number)
     return {"imported_count": mine.count(), "event_count": events.join(mine.select("report_key"), "report_key", "left_semi").count(), "skipped": skipped}
