@@ -910,3 +910,35 @@ def stream_idempotent_receipts(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "events").select(F.col("user_id").alias("task_id"), (F.col("event_id") % 5).alias("content_hash"), F.col("ts").cast("timestamp").alias("ts"))
     return streamed(spark, rows, "receipts", lambda s: idempotent(s, "3650 days")).groupBy("task_id", "content_hash").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, last_value(CASE WHEN event_id % 3 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM events),
+r AS (SELECT e.*, held % 9 <> 0 AND e.ts - h.ts <= INTERVAL 36 HOUR AS good FROM e LEFT JOIN (SELECT event_id AS held, ts FROM events) h USING (held) WHERE event_id % 3 <> 0)
+SELECT user_id::VARCHAR AS task_id, event_id::VARCHAR AS ref, CASE WHEN good THEN 'reused' ELSE 'fetch' END AS outcome, CASE WHEN good THEN held::VARCHAR END AS receipt_ref FROM r""")
+def stream_ttl_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """Lookups on a stream, answered from receipts that expire: a third of the events are receipts, some of which failed."""
+    from auditlake.streaming.receipts import fresh_receipts
+
+    e, n = table(spark, d, "events"), F.col("event_id")
+    rows = e.select(F.col("user_id").cast("string").alias("task_id"), F.when(n % 3 == 0, "receipt").otherwise("lookup").alias("kind"), F.col("ts").cast("timestamp").alias("at"), n.alias("seq"), n.cast("string").alias("ref"), F.when(n % 9 == 0, "timeout").otherwise("candidate_found").alias("result"))
+    out = streamed(spark, rows, "fresh", lambda s: fresh_receipts(s, 36 * 3600))
+    return out.filter("outcome in ('reused', 'fetch')").select("task_id", "ref", "outcome", "receipt_ref")
+
+
+def accepted(body: list[str], key: str) -> None:
+    """A receiver that takes every chunk."""
+
+
+@query("""SELECT DISTINCT user_id::VARCHAR || '/' || event_type AS signature, 1::BIGINT AS sent FROM events""")
+def stream_outbox_delivery(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of a stream that pass through an outbox: each signature is in one delivered chunk."""
+    import uuid
+
+    from auditlake.streaming import outbox
+
+    folder = f"{common.shared_dir(spark)}/outbox-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("signature"), F.to_json(F.struct("event_id", "value")).alias("body"))
+    rows.repartition(3, "signature").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    outbox.start(stream, f"{folder}/box", accepted).awaitTermination()
+    return outbox.delivered(spark, f"{folder}/box").groupBy("signature").agg(F.count("*").alias("sent"))
