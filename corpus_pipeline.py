@@ -12,19 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm import common, decontam, jaccard, quality, queries, secrets
 
 
+#: Bytes that an Arrow batch brings into a Python worker: the stages share workers, which keep the most they ever held.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Smaller batches than the operators ask for by themselves; a session's own lower bound holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = (spark.conf.get(key, None) or "").removesuffix("b")
+    if not own.isdigit() or not 0 < int(own) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return quality.keep_good(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return decontam.clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return secrets.redact(docs, words=secrets.dictionary(docs))
 
 
