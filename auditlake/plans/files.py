@@ -73,7 +73,7 @@ class Profile:
     output: dict = field(default_factory=dict)
     deduplication: dict = field(default_factory=lambda: {"threshold": 0.82, "review_threshold": 0.65})
     quality: dict = field(default_factory=lambda: {"language_mode": "warn"})
-    alerts: dict = field(default_factory=lambda: {"min_level": "high", "require_applicability_match": False})
+    alerts: dict = field(default_factory=lambda: {"min_level": "high", "require_applicability_match": None})
     scope: dict = field(default_factory=dict)
 
 
@@ -93,6 +93,8 @@ def load_profile(path: str | Path) -> Profile:
         if unknown := set(data.get(key, {})) - set(default) - {"state_file", "webhook"}:
             raise ValueError(f"unknown {key} settings: {', '.join(sorted(unknown))}")
         data[key] = default | data.get(key, {})
+    if data["alerts"]["require_applicability_match"] is None:  # alerts are about the catalog, where there is one
+        data["alerts"]["require_applicability_match"] = data.get("catalog") is not None
     if data["alerts"].get("state_file"):
         data["alerts"]["state_file"] = str((path.parent / data["alerts"]["state_file"]).resolve())
     out = Profile(**data)
@@ -101,9 +103,26 @@ def load_profile(path: str | Path) -> Profile:
         raise ValueError("require 0 <= review_threshold <= threshold <= 1")
     if out.quality["language_mode"] not in ("off", "warn", "strict"):
         raise ValueError("language_mode must be off, warn or strict")
+    _check_rest(out)
     return out
 
 
+def _check_rest(profile: Profile) -> None:
+    """Names, formats and addresses that a run would otherwise only meet at its end."""
+    stem, formats, hook = (profile.output.get(k, d) for k, d in (("basename", "report"), ("formats", ["markdown"]), ("webhook", None)))
+    hook = profile.alerts.get("webhook", hook)
+    rules = {
+        "name must be a nonblank text": isinstance(profile.name, str) and bool(profile.name.strip()),
+        "output.basename must be a file name without folders": isinstance(stem, str) and bool(stem.strip()) and not set("\\/:") & set(stem),
+        "output.formats must hold markdown or docx": isinstance(formats, list) and bool(formats) and all(f in ("markdown", "docx") for f in formats),
+        "alerts.min_level must be a level": profile.alerts["min_level"] in ("watch", "low", "medium", "high"),
+        "alerts.require_applicability_match must be true or false": isinstance(profile.alerts["require_applicability_match"], bool),
+        "alerts.webhook must be an https URL": hook is None or isinstance(hook, str) and hook.startswith("https://"),
+    }
+    if broken := [rule for rule, holds in rules.items() if not holds]:
+        raise ValueError("; ".join(broken))
+
+
 def starters(folder: str | Path, name: str = "default") -> list[str]:
     """A profile and an empty catalog to begin with; existing files stay."""
     made = []
