@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from auditlake import constants as K
 from auditlake.functions import score, text, timing
 from auditlake.operators import containment
+from auditlake.operators.common import written
 
 # Fields and their JSON kinds; a mark of "?" admits null.
 ROOT = {"report_date": "string", "timezone": "string", "cutoff": "string", "language": "string", "scope": "array", "coverage_gaps": "array", "events": "array"}
@@ -91,14 +92,19 @@ def elements(rows: DataFrame, v: Column, path: str, label: Column) -> DataFrame:
     return rows.select("*", F.posexplode(array).alias("i", "item")).withColumn("at", F.concat(label, F.lit(path), F.lit("["), F.col("i").cast("string"), F.lit("]"))).withColumn("dot", F.concat("at", F.lit(".")))
 
 
+def opened(reports: DataFrame) -> DataFrame:
+    """report and v, its JSON as a variant; rows that have it already as they are."""
+    return reports.select("report", "v" if "v" in reports.columns else F.try_parse_json("raw").alias("v"))
+
+
 def events_of(reports: DataFrame) -> DataFrame:
     """report, i, item (variant), at and dot of each event."""
-    rows = reports.select("report", F.try_parse_json("raw").alias("v"))
+    rows = opened(reports)
     return elements(rows, F.col("v"), "events", F.lit(""))
 
 
 def root_rules(reports: DataFrame) -> DataFrame:
-    rows, v, none = reports.select("report", F.try_parse_json("raw").alias("v")), F.col("v"), F.lit("")
+    rows, v, none = opened(reports), F.col("v"), F.lit("")
     out = [(F.lit("root"), "must be a JSON object", v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT<"))]
     out += [(a, m, v.isNotNull() & b) for a, m, b in shape(v, none, ROOT, ROOT_OPTIONAL)]
     out.append((F.lit("report_date"), "must be an ISO date", _bad(v, "report_date", timing.valid_date)))
@@ -175,7 +181,7 @@ def policy_rules(reports: DataFrame, platforms: DataFrame | None = None) -> Data
 
 def ledger_rules(reports: DataFrame) -> DataFrame:
     """Ledger rows, their source checks with receipts and snapshots, and the events they name."""
-    rows = elements(reports.select("report", F.try_parse_json("raw").alias("v")), F.col("v"), "coverage_ledger", F.lit(""))
+    rows = elements(opened(reports), F.col("v"), "coverage_ledger", F.lit(""))
     g, dot = F.col("item"), F.col("dot")
     at = lambda n: F.concat(dot, F.lit(n))
     start, done = timing.instant(get(g, "lookback_start")), timing.instant(get(g, "checked_at"))
@@ -268,7 +274,7 @@ def applicability_rules(reports: DataFrame) -> DataFrame:
 
 def scope_rules(reports: DataFrame, aliases: DataFrame) -> DataFrame:
     """Platforms that a report's scope names and its ledger lacks."""
-    rows = reports.select("report", F.try_parse_json("raw").alias("v"))
+    rows = opened(reports)
     scopes = rows.select("report", F.explode(F.try_variant_get("v", "$.scope", "array<string>")).alias("scope"))
     named = containment.named(scopes.select("scope"), aliases, "scope")  # each text once, however many reports have it
     wanted = scopes.join(named, "scope").select("report", "platform").distinct()
@@ -279,7 +285,11 @@ def scope_rules(reports: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def violations(reports: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """All violations of all reports; ``aliases``: alias and platform of the registry."""
+    """All violations of all reports; ``aliases``: alias and platform of the registry.
+
+    Reports are read and parsed once, into a table that every family of rules reads.
+    """
+    reports = written(opened(reports))
     out = root_rules(reports)
     for family in (event_rules, policy_rules, ledger_rules, applicability_rules):
         out = out.unionByName(family(reports))
