@@ -942,3 +942,16 @@ def stream_outbox_delivery(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     outbox.start(stream, f"{folder}/box", accepted).awaitTermination()
     return outbox.delivered(spark, f"{folder}/box").groupBy("signature").agg(F.count("*").alias("sent"))
+
+
+@query("""SELECT a.user_id::VARCHAR AS key, a.event_id AS receipt, b.event_id AS capture FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id % 4 = 0 AND b.event_id % 4 <> 0
+  AND b.ts BETWEEN a.ts - INTERVAL 24 HOUR AND a.ts + INTERVAL 30 MINUTE""")
+def stream_horizon_join(spark: SparkSession, d: str) -> DataFrame:
+    """Captures of a day before each receipt and half an hour after it, joined as two streams."""
+    from auditlake.streaming.horizons import within
+
+    n = F.col("event_id")
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), n, F.col("ts").cast("timestamp").alias("ts"))
+    side = lambda s, which, name, at: s.filter(which).select("key", n.alias(name), F.col("ts").alias(at))
+    out = streamed(spark, rows, "horizons", lambda s: within(side(s, n % 4 == 0, "receipt", "checked_at"), side(s, n % 4 != 0, "capture", "captured_at"), ahead="30 minutes", delay="3650 days"))
+    return out.select("key", "receipt", "capture")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 
 from auditlake.streaming import outbox
+from auditlake.streaming.horizons import within
 from auditlake.streaming.receipts import fresh_receipts
 
 ROWS = "task_id string, kind string, at timestamp, seq long, ref string, result string"
@@ -91,3 +92,21 @@ def test_killed_between_write_and_commit(spark, tmp_path):
     outbox.deliver(spark, folder, post)
     kept = dict(posts())  # the receiver tells repeats by their key
     assert kept == {"0-0": ["1", "2"], "0-1": ["3"]} and len(posts()) == 3
+
+
+def test_horizons_keep_little_state(spark, tmp_path):
+    """Two streams over many days: the pairs of each day, and state of the last hours alone."""
+    folder, shape = f"file://{tmp_path}", "kind string, key string, n long, ts timestamp"
+    want, held = set(), []
+    for day in range(4):
+        at = START + timedelta(days=day)
+        rows = [("r", "a", day, at + timedelta(hours=12))] + [("c", "a", day * 10 + k, at + timedelta(hours=h)) for k, h in enumerate((5, 6, 12, 13, 14))] + [("c", "b", 99, at + timedelta(hours=12))]
+        want |= {(day, day * 10 + k) for k in (1, 2, 3)}
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        s = spark.readStream.schema(shape).parquet(f"{folder}/in")
+        out = within(s.filter("kind = 'r'").selectExpr("key", "n receipt", "ts checked_at"), s.filter("kind = 'c'").selectExpr("key", "n capture", "ts captured_at"), "6 hours", "1 hour", "2 hours")
+        run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        held.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert {(r.receipt, r.capture) for r in spark.read.schema(out.schema).parquet(f"{folder}/out").collect()} == want
+    assert max(held) <= 7 and held[3] <= held[0]
