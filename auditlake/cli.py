@@ -1,7 +1,7 @@
 """The command line: ``python -m auditlake.cli <command> --help``.
 
 Commands read and write files; what they do is in the operators and plans. Exit codes: 0 done, 1 found something that
-must not be, 2 bad input.
+must not be, 2 bad input, 3 a gate is not passed.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pathlib import Path
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.operators import acquisition, alerting, calibration, chains, discovery, evaluation, language, library, planning, snapshots
-from auditlake.plans import files, report, run
+from auditlake.plans import evaluation_runs, files, report, run
 from auditlake.session import build
 from auditlake.sources import reports
 
@@ -164,6 +165,57 @@ def evaluation_check(spark: SparkSession, args: argparse.Namespace) -> int:
     return 1 if found else 0
 
 
+GATES = tuple((f"--{name.replace('_', '-')}", {"type": float, "default": limit}) for name, limit in K.GATES.items())
+
+
+def limits(args: argparse.Namespace) -> dict[str, float]:
+    return {name: getattr(args, name) for name in K.GATES}
+
+
+def judged(args: argparse.Namespace, out: DataFrame, errors: DataFrame) -> int:
+    """Gives metrics, gates and errors; 3 if a gate is not passed."""
+    result = rows_of(out)[0]
+    give(args, result | {"errors": rows_of(errors.orderBy("run", "kind", "id"))})
+    return 0 if result["passed"] else 3
+
+
+@command("evaluate", REPORT, ("labels", {}), *GATES, ("--allow-draft", {"action": "store_true"}), OUTPUT)
+def evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
+    """A report against its labels: 1 if a file is broken, 3 if a gate is not passed."""
+    report, labels = (evaluation_runs.files_of(spark, {"run": str(Path(p).resolve())}) for p in (args.report, args.labels))
+    return _evaluated(args, report, labels, args.allow_draft, history=False)
+
+
+@command("evaluate-history", ("manifest", {}), ("reports_directory", {}), *GATES, OUTPUT)
+def evaluate_history(spark: SparkSession, args: argparse.Namespace) -> int:
+    """All runs that a manifest names: labels beside the manifest, each run's report in a folder of its name."""
+    names, home = load(args.manifest).get("files"), Path(args.manifest).resolve().parent
+    if not isinstance(names, list) or not names or len(set(names)) < len(names) or any(not isinstance(n, str) or not n.endswith(".labels.json") for n in names):
+        raise ValueError("manifest.files must be different names that end with .labels.json")
+    runs = {n.removesuffix(".labels.json"): n for n in names}
+    labels = evaluation_runs.files_of(spark, {run: str(home / n) for run, n in runs.items()})
+    report = evaluation_runs.files_of(spark, {run: str(Path(args.reports_directory).resolve() / run / "deduplicated.json") for run in runs})
+    return _evaluated(args, report, labels, False, history=True)
+
+
+def _evaluated(args: argparse.Namespace, report: DataFrame, labels: DataFrame, drafts: bool, history: bool) -> int:
+    if found := rows_of(evaluation_runs.broken(report, labels)):
+        print(*[f"{x['report']}: {x['location']}: {x['message']}" for x in found], sep="\n", file=sys.stderr)
+        return 1
+    sums, errors = evaluation_runs.states(report, labels)
+    if drafts:
+        sums = sums.withColumn("unreviewed", F.lit(0).cast("long"))
+    return judged(args, evaluation_runs.totalled(sums, limits(args), history), errors)
+
+
+@command("evaluation-scaffold", ("candidates", {}), ("final", {}), ("--dataset-name", {"required": True}), OUTPUT)
+def evaluation_scaffold(spark: SparkSession, args: argparse.Namespace) -> int:
+    """A draft of labels for a person to review."""
+    one = lambda p: evaluation_runs.files_of(spark, {"run": str(Path(p).resolve())})
+    records = rows_of(evaluation_runs.drafts(one(args.candidates), one(args.final)))
+    return give(args, {"dataset_version": 1, "dataset_name": args.dataset_name, "review_status": "draft", "records": records, "deduplication_cases": []})
+
+
 @command("coverage-dashboard", ("registry", {}), ("--health", {"default": None}), ("--format", {"choices": ("markdown", "html", "json"), "default": "markdown"}), OUTPUT)
 def dashboard(spark: SparkSession, args: argparse.Namespace) -> int:
     states = [(x["platform"], x["audit_state"], x.get("checked_at")) for x in (load(args.health)["records"] if args.health else [])]

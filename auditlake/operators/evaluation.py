@@ -31,21 +31,35 @@ def matched(predicted: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(*keys, outcome.alias("outcome"), F.when(tp, F.array_contains("accepted", F.col("url")).cast("int")).alias("source_ok"), F.when(tp, dates).alias("dates_ok"), same("status").alias("status_ok"), same("level").alias("level_ok"))
 
 
-def counts(rows: DataFrame, by_run: bool = False) -> DataFrame:
+def sums(rows: DataFrame, by_run: bool = False) -> DataFrame:
     """Sums of outcomes; ``by_run``: one row a run and one, with a null run, over all."""
     n = lambda cond, name: F.sum(F.when(cond, 1).otherwise(0)).alias(name)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    grouped = rows.rollup("run") if by_run else rows.groupBy()
-    unsupported = (F.col("outcome") == "fp") | (F.col("source_ok") == 0)
-    return grouped.agg(
-        n(F.col("outcome") == "tp", "tp"), n(F.col("outcome") == "fp", "fp"), n(F.col("outcome") == "fn", "fn"),
-        total("source_ok"), total("dates_ok"), total("status_ok"), total("level_ok"), n(unsupported, "unsupported_sources"),
-        F.array_sort(F.collect_set(F.when(F.col("outcome") == "fp", F.col("event_id")))).alias("false_positive_ids"),
-        F.array_sort(F.collect_set(F.when(F.col("outcome") == "fn", F.col("event_id")))).alias("false_negative_ids"),
-        F.array_sort(F.collect_set(F.when(unsupported, F.col("event_id")))).alias("unsupported_source_ids"),
+    outcome = F.col("outcome")
+    return (rows.rollup("run") if by_run else rows.groupBy()).agg(
+        n(outcome == "tp", "tp"), n(outcome == "fp", "fp"), n(outcome == "fn", "fn"),
+        total("source_ok"), total("dates_ok"), total("status_ok"), total("level_ok"), n((outcome == "fp") | (F.col("source_ok") == 0), "unsupported_sources"),
     )
 
 
+def errors(rows: DataFrame) -> DataFrame:
+    """run, kind and id of each error: false positives and negatives, and sources that are not accepted."""
+    outcome = F.col("outcome")
+    kinds = F.array(F.when(outcome == "fp", "false_positive"), F.when(outcome == "fn", "false_negative"), F.when((outcome == "fp") | (F.col("source_ok") == 0), "unsupported_source"))
+    return rows.select("run", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"), F.col("event_id").cast("string").alias("id"))
+
+
+def counts(rows: DataFrame, by_run: bool = False) -> DataFrame:
+    """``sums`` with the ids of errors as arrays, for one report's page; ``errors`` has them as rows."""
+    ids_of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("id")))).alias(f"{kind}_ids")
+    found = rows.select("run", F.col("event_id").alias("id"), F.explode(F.array(F.lit(None).cast("string"), F.when(F.col("outcome") == "fp", "false_positive"), F.when(F.col("outcome") == "fn", "false_negative"), F.when((F.col("outcome") == "fp") | (F.col("source_ok") == 0), "unsupported_source"))).alias("kind"))
+    found = (found.rollup("run") if by_run else found.groupBy()).agg(ids_of("false_positive"), ids_of("false_negative"), ids_of("unsupported_source")).withColumnsRenamed({"run": "__r"} if by_run else {})
+    out = sums(rows, by_run)
+    if by_run:
+        return out.join(found, F.col("run").eqNullSafe(F.col("__r"))).drop("__r")
+    return out.withColumn("__k", F.lit(1)).join(found.withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
 def metrics(totals: DataFrame) -> DataFrame:
     """Ratios from sums; a ratio without denominator is null."""
     out = totals.withColumn("precision", score.ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", score.ratio(F.col("tp"), F.col("tp") + F.col("fn")))

@@ -538,20 +538,29 @@ j AS (SELECT coalesce(p.run, g.run) AS run, p.doc_id IS NOT NULL AND g.doc_id IS
 SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS "precision", round(tp / (tp + fn), 4) AS recall FROM t""")
 def eval_precision_recall(spark: SparkSession, d: str) -> DataFrame:
     p, g = predictions(spark, d)
-    return evaluation.metrics(evaluation.counts(evaluation.matched(p, g))).select("tp", "fp", "fn", "precision", "recall")
+    return evaluation.metrics(evaluation.sums(evaluation.matched(p, g))).select("tp", "fp", "fn", "precision", "recall")
 
 
 @query(f"""WITH {EVAL} SELECT count(*) FILTER (tp AND src) AS source_ok, sum(CASE WHEN tp THEN 2 + third ELSE 0 END)::BIGINT AS dates_ok, count(*) FILTER (tp AND toxic = 0) AS status_ok, count(*) FILTER (tp AND level_ok) AS level_ok,
   count(*) FILTER (fp OR (tp AND NOT src)) AS unsupported_sources FROM j""")
 def eval_field_accuracy(spark: SparkSession, d: str) -> DataFrame:
     p, g = predictions(spark, d)
-    return evaluation.counts(evaluation.matched(p, g)).select("source_ok", "dates_ok", "status_ok", "level_ok", "unsupported_sources")
+    return evaluation.sums(evaluation.matched(p, g)).select("source_ok", "dates_ok", "status_ok", "level_ok", "unsupported_sources")
+
+
+@query(f"""WITH {EVAL}, e AS (SELECT run, id, unnest([CASE WHEN fp THEN 'false_positive' END, CASE WHEN fn THEN 'false_negative' END, CASE WHEN fp OR (tp AND NOT src) THEN 'unsupported_source' END]) AS kind
+  FROM (SELECT j.*, coalesce(d, l)::VARCHAR AS id FROM (SELECT coalesce(p.run, g.run) AS run, p.doc_id AS d, g.doc_id AS l, p.doc_id IS NOT NULL AND g.doc_id IS NOT NULL AS tp, g.doc_id IS NULL AS fp, p.doc_id IS NULL AS fn, src FROM p FULL JOIN g ON p.doc_id = g.doc_id) j))
+SELECT run, kind, id FROM e WHERE kind IS NOT NULL""")
+def evaluation_error_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every error of every run as a row."""
+    p, g = predictions(spark, d)
+    return evaluation.errors(evaluation.matched(p, g))
 
 
 @query(f"WITH {EVAL} SELECT run, count(*) FILTER (tp) AS tp, count(*) FILTER (fp) AS fp, count(*) FILTER (fn) AS fn FROM j GROUP BY ROLLUP (run)")
 def eval_history_rollup(spark: SparkSession, d: str) -> DataFrame:
     p, g = predictions(spark, d)
-    return evaluation.counts(evaluation.matched(p, g), by_run=True).select("run", "tp", "fp", "fn")
+    return evaluation.sums(evaluation.matched(p, g), by_run=True).select("run", "tp", "fp", "fn")
 
 
 @query(f"""WITH {EVAL}, t AS (SELECT count(*) FILTER (tp) AS tp, count(*) FILTER (fp) AS fp, count(*) FILTER (fn) AS fn, count(*) FILTER (tp AND src) AS s, sum(CASE WHEN tp THEN 2 + third ELSE 0 END) AS dt, count(*) FILTER (fp OR (tp AND NOT src)) AS u FROM j)
