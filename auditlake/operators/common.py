@@ -15,12 +15,14 @@ def shared_dir(spark: SparkSession) -> str:
     Where that is unset, a temporary one if driver and executors are one process; on a cluster that is an error.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="auditlake-"))
-    return sc.getCheckpointDir()
+        named = "file://" + tempfile.mkdtemp(prefix="auditlake-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
