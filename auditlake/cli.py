@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
-from auditlake.operators import acquisition, alerting, calibration, chains, discovery, evaluation, language, library, planning, snapshots
+from auditlake.operators import acquisition, alerting, calibration, chains, common, discovery, evaluation, language, library, planning, snapshots
 from auditlake.plans import evaluation_runs, files, report, run
 from auditlake.session import build
 from auditlake.sources import reports
@@ -223,15 +223,26 @@ def dashboard(spark: SparkSession, args: argparse.Namespace) -> int:
     return give(args, {"markdown": report.dashboard_markdown, "html": report.dashboard_html, "json": report.dashboard_json}[args.format](rows))
 
 
-@command("snapshot-audit", ("table", {}), ("--index", {"default": None}), ("--diffs", {"default": None}))
+@command("snapshot", ("store", {}), ("captures", {}), ("--policy", {"choices": ("filesystem", "sqlite", "git", "s3"), "default": "sqlite"}))
+def snapshot(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Adds captures (JSON lines: platform, url, content, captured_at) to a store; 1 if late ones were refused."""
+    lines = spark.read.schema("platform string, url string, content string, captured_at timestamp").json(args.captures)
+    refused = rows_of(snapshots.capture(spark, args.store, common.numbered(lines, "seq"), args.policy))
+    for x in refused:
+        print(f"{x['platform']} {x['url']}: refused, captured at {x['captured_at']}", file=sys.stderr)
+    return 1 if refused else 0
+
+
+@command("snapshot-audit", ("table", {}))
 def snapshot_audit(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Stored records whose link or status is not what their order implies; with index and diffs, all faults of the store."""
-    records = spark.read.parquet(args.table)
-    if args.index and args.diffs:
-        found = [f"{x['page_key']} {x['snapshot_id'] or ''}: {x['fault']}" for x in rows_of(chains.audited(records, spark.read.parquet(args.index), spark.read.parquet(args.diffs)))]
+    """All faults of a store, or stored records in a table whose link or status is not what their order implies."""
+    held = snapshots.stored(spark, args.table)
+    if held:
+        found = [f"{x['page_key']} {x['snapshot_id'] or ''}: {x['fault']}" for x in rows_of(chains.audited(*held))]
     else:
-        found = [f"{x['page_key']} {x['snapshot_id']}: expected {x['expected_status']}" for x in rows_of(snapshots.audit(records))]
-    print(*found, sep="\n")
+        found = [f"{x['page_key']} {x['snapshot_id']}: expected {x['expected_status']}" for x in rows_of(snapshots.audit(spark.read.parquet(args.table)))]
+    if found:
+        print(*found, sep="\n")
     return 1 if found else 0
 
 

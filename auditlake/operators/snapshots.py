@@ -6,10 +6,11 @@ repeats the one before (same id and hash) is the same record.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import ids, text, udfs
+from auditlake.operators.common import written
 
 FIRST = "first capture, nothing to compare with"
 SAME = "same text as in the capture before"
@@ -23,9 +24,12 @@ def hashed(captures: DataFrame) -> DataFrame:
     return out.withColumn("snapshot_id", ids.snapshot_id(F.col("captured_at"), F.col("content_hash")))
 
 
-def chain(rows: DataFrame, key: str = "page_key", time: str = "captured_at", id: str = "snapshot_id", digest: str = "content_hash") -> DataFrame:
-    """Rows with previous id and hash, and change_status, in one window pass; consecutive repeats are dropped."""
-    order = Window.partitionBy(key).orderBy(time, id)
+def chain(rows: DataFrame, key: str = "page_key", time: str = "captured_at", id: str = "snapshot_id", digest: str = "content_hash", order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with previous id and hash, and change_status, in one window pass; consecutive repeats are dropped.
+
+    ``order``: columns that order a key's rows, if not time and id.
+    """
+    order = Window.partitionBy(key).orderBy(*(order or (time, id)))
     out = rows.withColumn("__i", F.lag(id).over(order)).withColumn("__h", F.lag(digest).over(order))
     out = out.filter(~(F.col("__i").eqNullSafe(F.col(id)) & F.col("__h").eqNullSafe(F.col(digest))))
     status = F.when(F.col("__i").isNull(), "first_seen").when(F.col("__h") == F.col(digest), "unchanged").otherwise("changed")
@@ -42,6 +46,53 @@ def with_diffs(captures: DataFrame) -> DataFrame:
     return changed.unionByName(rest)
 
 
+RECORD = ("page_key", "snapshot_id", "previous_snapshot_id", "platform", "url", "captured_at", "content", "content_hash", "change_status", "diff_summary")
+
+
+def added(held: DataFrame | None, captures: DataFrame, policy: str = "sqlite") -> tuple[DataFrame, DataFrame]:
+    """(records with their ``diff``, refused captures) that captures (with ``seq``, their arrival) add to a store's records.
+
+    Only each page's latest record is looked at. A repeat of the latest adds nothing; late ones are refused as the kind of
+    store says (see ``admit``), or, by a filesystem, follow the one that arrived before.
+    """
+    fresh = hashed(captures).withColumn("fresh", F.lit(True))
+    if held is not None:
+        last = Window.partitionBy("page_key").orderBy(F.desc("part"), F.desc("place")) if policy == "filesystem" else Window.partitionBy("page_key").orderBy(F.desc("captured_at"), F.desc("part"), F.desc("place"))
+        newest = held.withColumn("__n", F.row_number().over(last)).filter("__n = 1")
+        fresh = fresh.unionByName(newest.select("platform", "url", "content", "captured_at", F.lit(-1).cast("long").alias("seq"), "content_hash", "page_key", "snapshot_id", F.lit(False).alias("fresh")))
+    judged = admit(fresh, policy)
+    order = ("seq",) if policy == "filesystem" else ("captured_at", "seq")
+    rows = chain(judged.filter("accepted"), order=order)
+    before = F.lag("content").over(Window.partitionBy("page_key").orderBy(*order))
+    rows = rows.withColumn("__before", before).filter("fresh")
+    d = F.when(F.col("change_status") == "changed", udfs.unified_diff("__before", "content"))
+    rows = rows.withColumn("__d", d).withColumn("diff", F.col("__d.diff"))
+    said = F.when(F.col("change_status") == "first_seen", FIRST).when(F.col("change_status") == "unchanged", SAME).otherwise(F.col("__d.summary"))
+    return rows.withColumn("diff_summary", said).select(*RECORD, "seq", "diff"), judged.filter("fresh and not accepted").select("platform", "url", "captured_at", "seq")
+
+
+def stored(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(records, index, diffs) of a store; none of an empty one. The index is each page's last record that none follows."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/records")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    rows = spark.read.parquet(f"{store}/records")
+    last = F.max_by("snapshot_id", F.struct("part", "place")).alias("latest_snapshot_id")
+    return rows.drop("diff"), rows.groupBy("page_key").agg(last), rows.filter("diff is not null").select("page_key", "snapshot_id", "diff")
+
+
+def capture(spark: SparkSession, store: str, captures: DataFrame, policy: str = "sqlite") -> DataFrame:
+    """Appends captures to a store as one part, each record with its diff in one row, and returns those that were refused."""
+    held = stored(spark, store)
+    records, refused = added(None if held is None else held[0], captures, policy)
+    part = 1 + (0 if held is None else held[0].agg(F.max("part")).first()[0] or 0)
+    refused = written(refused)
+    order = F.struct("seq") if policy == "filesystem" else F.struct("captured_at", "seq")
+    place = F.row_number().over(Window.partitionBy("page_key").orderBy(order)).cast("long")
+    records.withColumn("part", F.lit(part).cast("long")).withColumn("place", place).drop("seq").write.mode("append").parquet(f"{store}/records")
+    return refused
+
+
 def latest(rows: DataFrame, key: str = "page_key") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct("captured_at", "snapshot_id")).alias("r")).select(key, "r.*")
 
