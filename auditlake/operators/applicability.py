@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import text
+from auditlake.operators.common import written
 
 ANY = "*"
 GRAM = 3
@@ -81,12 +82,62 @@ def match(events: DataFrame, catalog: DataFrame) -> DataFrame:
     return found.agg(F.array_sort(F.collect_set("hs")).alias("hs"), F.array_sort(F.collect_set("term")).alias("terms"))
 
 
+def counts(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """event_id, in_scope, by_hs, by_term and matched: how many items are in scope, and match by code, by term, by either.
+
+    No pair of an event and an item is formed. Items that reach the same scopes and have the same of the codes and terms
+    that any event names are one class, and so are events of one scope that name the same of what items have; classes meet
+    as ``match`` has events and items meet, and an item class counts as often as it has items.
+    """
+    said = events.select("event_id", text.catalog_scope(F.col("jurisdiction")).alias("jurisdiction"), text.catalog_scope(F.col("platform")).alias("platform"), text.hs_codes(F.col("hs_codes"), _said(events)).alias("codes"), text.spaced(_said(events)).alias("body"))
+    said = written(said.withColumn("speech", F.sha2(F.to_json(F.struct("codes", "body")), 256)))
+    speeches = written(said.groupBy("speech").agg(F.first("codes").alias("codes"), F.first("body").alias("body")))
+    has = lambda kind, c: F.concat(F.lit(kind), c).alias("has")
+    own = catalog.select("sku", F.explode("hs_codes").alias("own")).filter("own <> ''").distinct()
+    words = catalog.select("sku", F.explode(F.concat(F.array("name"), "keywords")).alias("word")).select("sku", text.spaced(F.col("word")).alias("low")).filter(F.length("low") >= GRAM).distinct()
+
+    codes = speeches.select("speech", F.explode("codes").alias("code"))
+    named = codes.select("code").distinct(), own.select("own").distinct()
+    longer = named[0].select("code", F.explode(_heads("code")).alias("own")).join(named[1], "own").select("code", "own")
+    shorter = named[1].select("own", F.explode(_heads("own")).alias("code")).join(named[0], "code").select("code", "own")
+    by_code = codes.join(longer.unionByName(shorter).distinct(), "code").select("speech", has("h", F.col("own")))
+    asked = words.select("low").distinct().withColumn("gram", F.substring("low", 1, GRAM))
+    by_term = speeches.select("speech", "body", F.explode(_grams(F.col("body"))).alias("gram")).join(asked, "gram").filter(F.contains("body", "low")).select("speech", has("t", F.col("low")))
+    heard = written(by_code.unionByName(by_term).distinct())
+    told = heard.groupBy("speech").agg(F.array_sort(F.collect_set("has")).alias("named"))
+
+    # classes of items, and what they have that is named at all
+    used = written(own.select("sku", has("h", F.col("own"))).unionByName(words.select("sku", has("t", F.col("low")))).join(heard.select("has").distinct(), "has", "left_semi").distinct())
+    scopes = _keys(catalog).groupBy("sku").agg(F.array_sort(F.collect_set(F.struct("__m", "__p"))).alias("scopes"))
+    items = used.groupBy("sku").agg(F.array_sort(F.collect_set("has")).alias("have")).join(scopes, "sku")
+    items = written(items.groupBy("scopes", "have").agg(F.count("*").alias("n")).withColumn("item", F.sha2(F.to_json(F.struct("scopes", "have")), 256)))
+    offered = items.select("item", "n", F.explode("scopes").alias("s"), "have").select("item", "n", "s.*", F.explode("have").alias("has"))
+
+    rows = said.join(told, "speech", "left").select("event_id", "jurisdiction", "platform", F.col("named"))
+    name = F.sha2(F.to_json(F.struct("jurisdiction", "platform", "named"), {"ignoreNullFields": "false"}), 256)
+    rows = written(rows.withColumn("event", name))
+    kinds = written(rows.groupBy("event").agg(F.first("jurisdiction").alias("jurisdiction"), F.first("platform").alias("platform"), F.first("named").alias("named")))
+    keys = _wanted(kinds.select(F.col("event").alias("event_id"), "jurisdiction", "platform")).withColumnRenamed("event_id", "event")
+    wants = kinds.select("event", F.explode("named").alias("has")).join(keys, "event")
+    flag = lambda kind: F.max((F.substring("has", 1, 1) == kind).cast("int"))
+    met = wants.join(offered, ["has", "__m", "__p"]).groupBy("event", "item", "n").agg(flag("h").alias("hs"), flag("t").alias("term"))
+    met = met.groupBy("event").agg(F.sum(F.col("n") * F.col("hs")).alias("by_hs"), F.sum(F.col("n") * F.col("term")).alias("by_term"), F.sum("n").alias("matched"))
+    in_scope = scope_counts(kinds.select(F.col("event").alias("event_id"), "jurisdiction", "platform"), catalog).withColumnRenamed("event_id", "event")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    found = written(in_scope.join(met, "event", "left").select("event", "in_scope", none("by_hs"), none("by_term"), none("matched")))
+    return rows.select("event_id", "event").join(found, "event").drop("event")
+
+
+def status_of(matched: Column, in_scope: Column) -> Column:
+    return F.when(matched > 0, "matched").when(in_scope > 0, "needs_review").otherwise("no_match")
+
+
 def statuses(events: DataFrame, catalog: DataFrame) -> DataFrame:
     """event_id, status (matched, needs_review, no_match) and the matched items."""
     basis = F.filter(F.array(F.when(F.size("hs") > 0, "hs_prefix"), F.when(F.size("terms") > 0, "product_keyword")), lambda b: b.isNotNull())
     item = F.struct("sku", basis.alias("basis"), F.col("hs").alias("matched_hs_codes"), F.col("terms").alias("matched_terms"))
     found = match(events, catalog).groupBy("event_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     rows = scope_counts(events, catalog).join(found, "event_id", "left")
-    status = F.when(F.size("items") > 0, "matched").when(F.col("in_scope") > 0, "needs_review").otherwise("no_match")
+    status = status_of(F.size("items"), F.col("in_scope"))
     none = F.expr("array()").cast("array<struct<sku:string,basis:array<string>,matched_hs_codes:array<string>,matched_terms:array<string>>>")
     return rows.select("event_id", status.alias("status"), F.coalesce("items", none).alias("items"))

@@ -466,16 +466,14 @@ m AS (SELECT event_id, sku, starts_with(code, hs) AS by_hs, (length(word) >= 3 A
 
 @query(f"WITH {MATCHES} SELECT event_id, count(*) AS in_scope, count(*) FILTER (by_hs) AS by_hs, count(*) FILTER (by_term) AS by_term FROM m GROUP BY event_id")
 def scope_join_catalog(spark: SparkSession, d: str) -> DataFrame:
-    events, items = scoped_events(spark, d), catalog(spark, d)
-    met = applicability.match(events, items).groupBy("event_id").agg(F.count_if(F.size("hs") > 0).alias("by_hs"), F.count_if(F.size("terms") > 0).alias("by_term"))
-    rows = applicability.scope_counts(events, items).filter("in_scope > 0").join(met, "event_id", "left")
-    return rows.select("event_id", "in_scope", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("by_hs", "by_term")])
+    found = applicability.counts(scoped_events(spark, d), catalog(spark, d))
+    return found.filter("in_scope > 0").select("event_id", "in_scope", "by_hs", "by_term")
 
 
 @query(f"WITH {MATCHES} SELECT e.event_id, CASE WHEN count(*) FILTER (by_hs OR by_term) > 0 THEN 'matched' WHEN count(sku) > 0 THEN 'needs_review' ELSE 'no_match' END AS status, count(*) FILTER (by_hs OR by_term) AS n FROM e LEFT JOIN m USING (event_id) GROUP BY e.event_id")
 def applicability_status(spark: SparkSession, d: str) -> DataFrame:
-    rows = applicability.statuses(scoped_events(spark, d), catalog(spark, d))
-    return rows.select("event_id", "status", F.size("items").cast("long").alias("n"))
+    found = applicability.counts(scoped_events(spark, d), catalog(spark, d))
+    return found.select("event_id", applicability.status_of(F.col("matched"), F.col("in_scope")).alias("status"), F.col("matched").alias("n"))
 
 
 @query("""WITH a AS (SELECT p_partkey, (p_partkey * 37 % 9000 + 1000)::VARCHAR AS x FROM part), b AS (SELECT DISTINCT (l_partkey % 900 + 100)::VARCHAR AS y FROM lineitem)
