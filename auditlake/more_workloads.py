@@ -655,27 +655,29 @@ s AS (SELECT x.pos AS a, y.pos AS b, x.title = y.title AS t, x.a = y.a AS au, x.
 l AS (SELECT a, b, CASE WHEN url AND au AND pub THEN 0.97 WHEN url AND au AND anchor AND t THEN 0.94 WHEN au AND pub AND anchor AND t THEN 0.96 WHEN url THEN 0.75 END::DOUBLE AS confidence, NOT (url AND au AND pub OR au AND anchor AND t AND (url OR pub)) AS ask FROM s)"""
 
 
-@query(LADDER + " SELECT a, b, CASE WHEN ask THEN 'review_required' ELSE 'automatic_duplicate' END AS decision, confidence FROM l WHERE confidence IS NOT NULL")
-def semantic_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """The ladder of rules over events whose titles are alike or not at all."""
+def _laddered(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose titles are alike or not at all."""
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     letters = F.repeat(F.char((F.lit(97) + F.floor(k / 4) % 3).cast("int")), 12)
     day = F.concat(F.lit("2026-07-0"), (k % 5 + 1).cast("string"))
-    rows = c.select(
+    return c.select(
         k.alias("pos"), letters.alias("title"), F.concat(F.lit("No "), (k % 7 + 50).cast("string")).alias("source_title"), F.lit("").alias("summary"),
         F.element_at(_array(F.lit("aaaa"), F.lit("bbbb"), F.lit("cccc")), (k % 3 + 1).cast("int")).alias("authority"), F.concat(F.lit("https://x.org/"), (F.floor(k / 2) % 40).cast("string")).alias("source_url"),
         day.alias("published_date"), F.lit("2026-08-01").alias("effective_date"),
     )
-    return discovery.semantic_links(rows)
+
+
+@query(LADDER + " SELECT a, b, CASE WHEN ask THEN 'review_required' ELSE 'automatic_duplicate' END AS decision, confidence FROM l WHERE confidence IS NOT NULL")
+def semantic_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """The ladder of rules over events whose titles are alike or not at all."""
+    return discovery.semantic_links(_laddered(spark, d))
 
 
 @query(LADDER.replace("WITH e", "WITH RECURSIVE e") + """, g AS (SELECT a, b FROM l WHERE confidence IS NOT NULL AND NOT ask), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
 r AS (SELECT pos AS node, pos AS seen FROM e UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node AS pos, min(seen) AS canonical FROM r GROUP BY node""")
 def semantic_canonicals(spark: SparkSession, d: str) -> DataFrame:
     """The canonical event of every event, over automatic duplicates."""
-    links = semantic_ladder(spark, d).filter("decision = 'automatic_duplicate'").select("a", "b")
-    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
-    return graph.components(nodes, links).select(F.col("node").alias("pos"), F.col("component").alias("canonical"))
+    return discovery.semantic_clusters(_laddered(spark, d))
 
 
 LEADS = """WITH e AS (SELECT c_custkey AS pos, c_custkey // 3 AS u, c_nationkey % 4 AS j, c_custkey % 4 AS tier, c_custkey % 6 AS momentum, c_custkey % 40 AS age FROM customer),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import ids, score, text, timing, udfs
-from auditlake.operators.common import meet, placed, spread
+from auditlake.operators.common import meet, placed, spread, written
 from auditlake.operators.graph import components, constrained
 
 
@@ -110,11 +110,11 @@ def prioritize(leads: DataFrame, cutoff: str, regions: Sequence[str] = (), platf
     return out.withColumn("weak_signal", none & (F.col("rank") == 1)).withColumn("verification_queries", queries).withColumn("event_status", F.lit("unconfirmed")).withColumn("risk_level", F.lit("watch")).orderBy("rank")
 
 
-def semantic_links(events: DataFrame) -> DataFrame:
-    """a < b, decision and confidence of labelled events that mean one event, by a ladder of six rules.
+def _ladder(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rungs of pairs of classes (x, y, decision, confidence), x before y, and class and pos of each event.
 
-    Events: pos, title, source_title, summary, authority, source_url, published_date, effective_date. Every rule needs an
-    equal URL or a common identifier or an equal publication date with a common number, so pairs meet by those keys.
+    Events that are alike in all that is compared are one class; a class meets itself, and two classes meet both ways, as
+    similarity depends on the order.
     """
     rows = events.select(
         "pos",
@@ -126,13 +126,16 @@ def semantic_links(events: DataFrame) -> DataFrame:
         text.identifiers(F.concat_ws(" ", "title", "summary", "source_title")).alias("identifiers"),
         text.number_anchors(F.concat_ws(" ", "title", "source_title")).alias("anchors"),
     )
+    same = [c for c in rows.columns if c != "pos"]
+    rows = written(rows.withColumn("class", F.sha2(F.to_json(F.struct(*same), {"ignoreNullFields": "false"}), 256)))
+    own, rows = rows.select("class", "pos"), written(rows.groupBy("class").agg(*[F.first(c).alias(c) for c in same]))
     keys = F.array_union(
         F.array_union(F.transform("identifiers", lambda x: F.concat(F.lit("i:"), x)), F.when(F.col("url").isNotNull(), F.array(F.concat(F.lit("u:"), "url"))).otherwise(F.array().cast("array<string>"))),
         F.when(F.col("published") != "", F.transform("anchors", lambda x: F.concat(F.lit("d:"), F.col("published"), F.lit(":"), x))).otherwise(F.array().cast("array<string>")),
     )
     keyed = rows.withColumn("key", F.explode(keys))
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.pos") < F.col("b.pos"))).select(F.col("a.pos").alias("x"), F.col("b.pos").alias("y")).distinct()
-    pairs = pairs.join(rows.alias("a"), F.col("x") == F.col("a.pos")).join(rows.alias("b"), F.col("y") == F.col("b.pos"))
+    pairs = keyed.alias("a").join(keyed.alias("b"), F.col("a.key") == F.col("b.key")).select(F.col("a.class").alias("x"), F.col("b.class").alias("y")).distinct()
+    pairs = pairs.join(rows.alias("a"), F.col("x") == F.col("a.class")).join(rows.alias("b"), F.col("y") == F.col("b.class"))
     filled = lambda n: (F.col(f"a.{n}") != "") & (F.col(f"a.{n}") == F.col(f"b.{n}"))
     pairs = spread(pairs, "x", "y").withColumn("t", F.coalesce(udfs.seq_ratio("a.title", "b.title"), F.lit(0.0))).withColumn("s", udfs.seq_ratio("a.authority", "b.authority"))
     authority = F.coalesce(filled("authority") | (F.col("s") >= 0.9), F.lit(False))
@@ -150,10 +153,42 @@ def semantic_links(events: DataFrame) -> DataFrame:
         .when(url, rung(ask, F.lit(0.75)))
         .when(dated & (t >= K.REVIEW_TITLE), rung(ask, F.least(F.lit(0.89), 0.55 + t / 2)))
     )
-    return pairs.withColumn("r", ladder).filter("r is not null").select(F.col("x").alias("a"), F.col("y").alias("b"), "r.decision", "r.confidence")
+    return written(pairs.withColumn("r", ladder).filter("r is not null").select("x", "y", "r.decision", "r.confidence")), own
+
+
+def semantic_links(events: DataFrame) -> DataFrame:
+    """a < b, decision and confidence of labelled events that mean one event, by a ladder of six rules.
+
+    Events: pos, title, source_title, summary, authority, source_url, published_date, effective_date. Every rule needs an
+    equal URL or a common identifier or an equal publication date with a common number, so pairs meet by those keys. Rules
+    are judged once for events that are alike in all of these, and their pairs formed from that.
+    """
+    rungs, own = _ladder(events)
+    a, b = own.select(F.col("class").alias("x"), F.col("pos").alias("a")), own.select(F.col("class").alias("y"), F.col("pos").alias("b"))
+    return rungs.join(a, "x").join(b, "y").filter("a < b").select("a", "b", "decision", "confidence")
+
+
+def semantic_edges(events: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what automatic duplicates connect, a few an event and a pair of classes.
+
+    The events of a class that is a duplicate of itself, or of another class both ways, are all connected, so each has an
+    edge to the class's first, and classes have one between these. Of two classes that are duplicates one way alone, only
+    events before the other's last and after the other's first are, and these two are among them.
+    """
+    rungs, own = _ladder(events)
+    sure = rungs.filter("decision = 'automatic_duplicate'").select("x", "y")
+    back = sure.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    both, oneway = written(sure.join(back, ["x", "y"], "left_semi")), written(sure.join(back, ["x", "y"], "left_anti"))
+    ends = written(own.groupBy("class").agg(F.min("pos").alias("least"), F.max("pos").alias("most")))
+    of = lambda side: ends.select(F.col("class").alias(side), F.col("least").alias(f"first_{side}"), F.col("most").alias(f"last_{side}"))
+    inside = own.join(both.select(F.col("x").alias("class")).distinct(), "class").join(ends, "class").filter("pos <> least").select(F.col("least").alias("a"), F.col("pos").alias("b"))
+    between = both.filter("x < y").join(of("x"), "x").join(of("y"), "y").select(F.least("first_x", "first_y").alias("a"), F.greatest("first_x", "first_y").alias("b"))
+    apart = oneway.join(of("x"), "x").join(of("y"), "y").filter("first_x < last_y").select("x", "y", "first_x", "last_y")
+    before = apart.join(own.withColumnRenamed("class", "x"), "x").filter("pos < last_y").select(F.col("pos").alias("a"), F.col("last_y").alias("b"))
+    after = apart.join(own.withColumnRenamed("class", "y"), "y").filter("pos > first_x").select(F.col("first_x").alias("a"), F.col("pos").alias("b"))
+    return inside.union(between).union(before).union(after).distinct()
 
 
 def semantic_clusters(events: DataFrame) -> DataFrame:
     """pos and canonical (the smallest pos that automatic duplicates lead to)."""
-    links = semantic_links(events).filter("decision = 'automatic_duplicate'").select("a", "b")
-    return components(events.select(F.col("pos").alias("node")), links).select(F.col("node").alias("pos"), F.col("component").alias("canonical"))
+    return components(events.select(F.col("pos").alias("node")), semantic_edges(events)).select(F.col("node").alias("pos"), F.col("component").alias("canonical"))

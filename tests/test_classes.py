@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import applicability
+from auditlake.operators import applicability, discovery
 
 
 def test_items_are_counted_by_classes(spark, monkeypatch):
@@ -23,3 +23,32 @@ def test_items_are_counted_by_classes(spark, monkeypatch):
     monkeypatch.delattr(applicability, "match")
     got = applicability.counts(e, i).select("event_id", "in_scope", "by_hs", "by_term", "matched", applicability.status_of(F.col("matched"), F.col("in_scope")))
     assert sorted(map(tuple, got.collect())) == expected and len({r[5] for r in expected}) == 3
+
+
+def test_ladder_by_classes(spark, monkeypatch):
+    """Canonical events need no pair of copies, and are what the links of all pairs lead to; similarity is judged one time a pair of classes."""
+    rng = random.Random(4)
+    kinds = "pos long, title string, source_title string, summary string, authority string, source_url string, published_date string, effective_date string"
+    # the first two titles are alike enough in one order alone
+    titles = ("abcdefgh xyz", "xyz abcdefgh", "qqqq", "qqqq rr")
+    rows = [(n, rng.choice(titles), f"No {rng.randrange(50, 54)}", "", rng.choice(("aaaa", "bbbb")), f"https://x.org/{rng.randrange(6)}", f"2026-07-0{rng.randrange(1, 4)}", "2026-08-01") for n in range(120)]
+    events = spark.createDataFrame(rows, kinds)
+    links = discovery.semantic_links(events).collect()
+    low = {n: n for n in range(120)}
+    for _ in range(120):
+        for r in links:
+            if r.decision == "automatic_duplicate":
+                low[r.a] = low[r.b] = min(low[r.a], low[r.b])
+    monkeypatch.delattr(discovery, "semantic_links")
+    assert {r.pos: r.canonical for r in discovery.semantic_clusters(events).collect()} == low and len(set(low.values())) > 1
+    copies = spark.range(3000).selectExpr("id as pos", "'t' as title", "'No 50' as source_title", "'' as summary", "'a' as authority", "'https://x.org/' as source_url", "'2026-07-01' as published_date", "'' as effective_date")
+    assert discovery.semantic_edges(copies).count() == 2999
+
+
+def test_ladder_one_way(spark, monkeypatch):
+    """Classes that are duplicates in one order alone: an event is linked to those of the other class after it."""
+    own = spark.createDataFrame([("x", 5), ("x", 1), ("x", 9), ("y", 4), ("y", 0), ("y", 7)], "class string, pos long")
+    rungs = spark.createDataFrame([("x", "y", "automatic_duplicate", 0.9)], "x string, y string, decision string, confidence double")
+    monkeypatch.setattr(discovery, "_ladder", lambda events: (rungs, own))
+    nodes = own.select("pos")
+    assert {r.pos: r.canonical for r in discovery.semantic_clusters(nodes).collect()} == {0: 0, 1: 1, 4: 1, 5: 1, 7: 1, 9: 9}
