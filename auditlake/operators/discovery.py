@@ -33,8 +33,9 @@ def _prepared(leads: DataFrame) -> DataFrame:
 def lead_links(leads: DataFrame, threshold: float = K.CLUSTER_THRESHOLD) -> DataFrame:
     """a < b and their similarity, from the threshold up.
 
-    Equal URLs and shared identifiers meet by key; the rest by jurisdiction, leads without one with all, large groups in
-    chunks, and only where bounds by lengths, by letters and by common subsequence reach the threshold.
+    Equal URLs and shared identifiers meet by key; the rest by jurisdiction and platform, leads without one of these with all
+    that have any, large groups in chunks, and only where bounds by lengths, by letters and by common subsequence reach the
+    threshold. Leads whose texts and goods cannot reach it with any other meet none.
     """
     rows = _prepared(leads)
     clash = lambda n: F.coalesce(F.col(f"a.{n}") != F.col(f"b.{n}"), F.lit(False))
@@ -52,11 +53,16 @@ def lead_links(leads: DataFrame, threshold: float = K.CLUSTER_THRESHOLD) -> Data
     goods = F.when((F.size("a.goods") > 0) & (F.size("b.goods") > 0), score.jaccard(F.col("a.goods"), F.col("b.goods"))).otherwise(0.0)
     x, y, z = K.LEAD_WEIGHTS
     rows = rows.withColumn("any", F.pmod("pos", F.lit(1)))  # one key for all; a literal would make the join a product
-    known, loose = rows.filter("jurisdiction is not null"), rows.filter("jurisdiction is null")
-    pairs = meet(known, known, "jurisdiction").filter("a.pos < b.pos")
+    has = lambda c, weight: F.when(c, weight).otherwise(0.0)
+    rows = rows.filter(has(F.length("claim") > 0, x) + has(F.length("title") > 0, y) + has(F.size("goods") > 0, z) >= threshold - 1e-9)
+    rows = rows.withColumn("scope", F.when(F.col("jurisdiction").isNotNull() & F.col("platform").isNotNull(), F.to_json(F.struct("jurisdiction", "platform"))))
+    whole, known, loose = rows.filter("scope is not null"), rows.filter("jurisdiction is not null"), rows.filter("jurisdiction is null")
+    pairs = meet(whole, whole, "scope").filter("a.pos < b.pos")
     first = F.col("a.pos") < F.col("b.pos")
-    other = meet(loose, rows, "any").filter((F.col("b.jurisdiction").isNotNull() & (F.col("a.pos") != F.col("b.pos"))) | first)
-    pairs = pairs.union(other.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")))
+    # of two rows that both lack it, one order is enough
+    for some, other, key, lacks in ((known.filter("platform is null"), known, "jurisdiction", "platform"), (loose, rows, "any", "jurisdiction")):
+        met = meet(some, other, key).filter((F.col(f"b.{lacks}").isNotNull() & (F.col("a.pos") != F.col("b.pos"))) | first)
+        pairs = pairs.union(met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")))
     pairs = pairs.filter(ordered & (x * bound("claim") + y * bound("title") + z * goods >= threshold - 1e-9))
     texts = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("pos", "claim", "title")]
     least = (F.lit(threshold) - y * bound("title") - z * goods) / x
