@@ -287,8 +287,22 @@ def scope_rules(reports: DataFrame, aliases: DataFrame) -> DataFrame:
 def violations(reports: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """All violations of all reports; ``aliases``: alias and platform of the registry.
 
-    Reports are read and parsed once, into a table that every family of rules reads.
+    Rules look at a report's own text alone, so reports of equal texts are judged once. Rows that share a report's name are
+    judged together.
     """
+    if "v" in reports.columns:
+        return _judged(reports, aliases)
+    many = reports.groupBy(F.col("report").alias("__report")).agg(F.count("*").alias("__n"))
+    rows = reports.select("report", "raw").join(many, F.col("report").eqNullSafe(F.col("__report")))
+    own = F.when(F.col("__n") == 1, F.sha2(F.to_json(F.struct("raw")), 256)).otherwise(F.concat(F.lit("report "), F.to_json(F.struct("report"))))
+    rows = written(rows.select("report", "raw", "__n", own.alias("__text")))
+    texts = rows.filter("__n = 1").groupBy("__text").agg(F.first("raw").alias("raw")).union(rows.filter("__n > 1").select("__text", "raw"))
+    found = written(_judged(texts.select(F.col("__text").alias("report"), "raw"), aliases))
+    return rows.select("report", "__text").distinct().join(found.withColumnRenamed("report", "__text"), "__text").select("report", "location", "message")
+
+
+def _judged(reports: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """Violations of reports, which are read and parsed once, into a table that every family of rules reads."""
     reports = written(opened(reports))
     out = root_rules(reports)
     for family in (event_rules, policy_rules, ledger_rules, applicability_rules):

@@ -27,8 +27,11 @@ def entries(feeds: DataFrame, content: str = "content") -> DataFrame:
 def refused(feeds: DataFrame, content: str = "content") -> DataFrame:
     """Texts that are no feeds, with ``reason``: missing, too_large or not_a_feed."""
     size = F.octet_length(content)
-    reason = F.when(size.isNull(), "missing").when(size > K.XML_LIMIT, "too_large").when(udfs.parse_feed(F.when(size <= K.XML_LIMIT, F.col(content))).isNull(), "not_a_feed")
-    return feeds.select(*[c for c in feeds.columns if c != content], reason.alias("reason")).filter("reason is not null")
+    others = [c for c in feeds.columns if c != content]
+    # rows that no parser need see are told apart from it, as it keeps all that its rows hold
+    unread = feeds.filter(size.isNull() | (size > K.XML_LIMIT)).select(*others, F.when(size.isNull(), "missing").otherwise("too_large").alias("reason"))
+    read = feeds.filter(size <= K.XML_LIMIT).filter(udfs.parse_feed(content).isNull())
+    return unread.unionByName(read.select(*others, F.lit("not_a_feed").alias("reason")))
 
 
 def outcome(status: Column, failed: Column) -> Column:

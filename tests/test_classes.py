@@ -1,10 +1,13 @@
 """Work on classes of equal rows against the same work row by row."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import applicability, discovery
+from auditlake import constants as K
+from auditlake.operators import applicability, discovery, validation
+from auditlake.sources import feeds
 
 
 def test_items_are_counted_by_classes(spark, monkeypatch):
@@ -52,3 +55,27 @@ def test_ladder_one_way(spark, monkeypatch):
     monkeypatch.setattr(discovery, "_ladder", lambda events: (rungs, own))
     nodes = own.select("pos")
     assert {r.pos: r.canonical for r in discovery.semantic_clusters(nodes).collect()} == {0: 0, 1: 1, 4: 1, 5: 1, 7: 1, 9: 9}
+
+
+def test_equal_reports_are_judged_once(spark, monkeypatch):
+    """Copies of a report are found to break what each would; rows that share a name are still judged together."""
+    broken = json.dumps({"report_date": "2026-02-30", "events": [{"id": "a"}, {"id": "a"}]})
+    rows = [(f"r{n}", broken if n % 2 else "nothing") for n in range(40)] + [("twice", broken), ("twice", broken), ("empty", None)]
+    reports = spark.createDataFrame(rows, "report string, raw string")
+    judged, seen = validation._judged, []
+    listed = lambda found: sorted(map(tuple, found.collect()))
+    expected = listed(judged(reports, None))
+    monkeypatch.setattr(validation, "_judged", lambda some, aliases: seen.append(some.count()) or judged(some, aliases))
+    assert listed(validation.violations(reports)) == expected and seen == [5]
+
+
+def test_refused_contents_stay_out_of_the_parser(spark, monkeypatch):
+    """What is too large is told from its size; the parser's rows, which are kept beside it, are the small ones alone."""
+    monkeypatch.setattr(K, "XML_LIMIT", 60)
+    texts = [(0, "<broken"), (1, "x" * 61), (2, None), (3, "<urlset><url><loc>u</loc></url></urlset>")]
+    rows = spark.createDataFrame(texts, "id int, content string")
+    told = feeds.refused(rows)
+    assert {(r.id, r.reason) for r in told.collect()} == {(0, "not_a_feed"), (1, "too_large"), (2, "missing")}
+    plan = told._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [plan[n + 1] for n, line in enumerate(plan) if "ArrowEvalPython" in line]
+    assert len(below) == 1 and "Filter" in below[0] and "octet_length" in below[0]
