@@ -1,5 +1,6 @@
 """Work on classes of equal rows against the same work row by row."""
 
+import difflib
 import json
 import random
 
@@ -79,3 +80,24 @@ def test_refused_contents_stay_out_of_the_parser(spark, monkeypatch):
     plan = told._jdf.queryExecution().optimizedPlan().toString().splitlines()
     below = [plan[n + 1] for n, line in enumerate(plan) if "ArrowEvalPython" in line]
     assert len(below) == 1 and "Filter" in below[0] and "octet_length" in below[0]
+
+
+def test_leads_meet_by_both_scopes(spark, monkeypatch):
+    """Links of leads with and without scopes as pair by pair; leads without texts or goods meet none."""
+    rng = random.Random(6)
+    scope = lambda *xs: rng.choice(xs)
+    rows = [(n, scope("steel duty", "steel duties", "toy ban", ""), f"https://x.org/{n}", scope("us", "china", None), scope("acme", "other", None), scope([], ["p"], ["q"]), scope("duty on steel is up", "duty on steel", "toys are out", "")) for n in range(50)]
+    rows += [(50 + n, "", f"https://x.org/{50 + n}", "us", "acme", [], "") for n in range(50)]
+    leads = spark.createDataFrame(rows, "pos long, source_title string, source_url string, jurisdiction string, platform string, products array<string>, claim string").withColumn("hs_codes", F.array().cast("array<string>"))
+    x, y, z = K.LEAD_WEIGHTS
+    alike = lambda p, q: difflib.SequenceMatcher(None, p, q).ratio() if p and q else 0.0
+    expected = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and not any(a[n] and b[n] and a[n] != b[n] for n in (3, 4)):
+                if x * alike(a[6], b[6]) + y * alike(a[1], b[1]) + z * (bool(a[5]) and a[5] == b[5]) >= K.CLUSTER_THRESHOLD:
+                    expected.add((a[0], b[0]))
+    met, meet = [], discovery.meet
+    monkeypatch.setattr(discovery, "meet", lambda a, b, key: met.append((key, b.filter("pos >= 50").count())) or meet(a, b, key))
+    assert {(r.a, r.b) for r in discovery.lead_links(leads).collect()} == expected and expected
+    assert met == [("scope", 0), ("jurisdiction", 0), ("any", 0)]
