@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python stay this small, so that workers hold few long texts at a time.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+_LIBC = ctypes.CDLL(None)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -25,6 +28,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Gives what earlier batches have freed back to the system; a worker would else keep the most it ever held."""
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

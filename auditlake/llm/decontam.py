@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import carried, small_batches, stored
+from auditlake.llm.common import carried, release, small_batches, stored
 
 GRAM = 3
 WINDOW = 3
@@ -191,6 +191,7 @@ def gram_documents(docs: DataFrame, index: Index) -> np.ndarray:
         index = shared.value
         total = np.zeros(len(index.gram), np.int64)
         for rows in batches:
+            release()
             texts = rows["text"].tolist()
             for a in range(0, len(texts), _DOCS):
                 flat, begin, _ = index.read(texts[a : a + _DOCS])
@@ -214,6 +215,7 @@ def _search(shared: Broadcast, threshold: float):  # noqa: ANN202
 
     @F.pandas_udf(SCHEMA)
     def search(column: pd.Series) -> pd.Series:
+        release()
         index, texts, found = shared.value, column.tolist(), []
         for a in range(0, len(texts), _DOCS):
             flat, begin, many = index.read(texts[a : a + _DOCS])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import carried, cut, small_batches, stored
+from auditlake.llm.common import carried, cut, release, small_batches, stored
 from auditlake.llm.simhash import SEED, components, majority, near_edges
 
 SHINGLE = 5
@@ -119,6 +119,7 @@ def with_sets(docs: DataFrame, *columns: Column) -> DataFrame:
 
     @F.pandas_udf("set long, size int, fp long, prefix array<long>, odd binary, sketch array<long>")
     def read(text: pd.Series) -> pd.DataFrame:
+        release()
         rows = []
         for raw in text:
             own = shingles(raw)
@@ -133,6 +134,7 @@ def _whole(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     @F.pandas_udf("set long, all binary")
     def read(text: pd.Series) -> pd.DataFrame:
+        release()
         some = [shingles(x) for x in text]
         return pd.DataFrame({"set": np.array([set_id(s) for s in some], np.int64), "all": [s.tobytes() for s in some]})
 
@@ -150,10 +152,12 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def likely(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
+        release()
         return pd.Series([may_be_alike(*x) for x in zip(a, b, total)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        release()
         out = []
         for x, y in zip(a, b):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

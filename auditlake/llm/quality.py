@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import carried, small_batches
+from auditlake.llm.common import carried, release, small_batches
 
 #: Labelled rows of each class that the fit may use.
 PER_CLASS = 2000
@@ -190,6 +190,7 @@ def score(docs: DataFrame, model: Machine | None, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        release()
         out = [np.zeros(0)]
         some: list = []
         for t in texts:

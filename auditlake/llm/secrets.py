@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import cut, small_batches
+from auditlake.llm.common import cut, release, small_batches
 from auditlake.operators.common import placed
 
 #: Logarithm to base 10 of the guesses from which a value is a secret.
@@ -279,6 +279,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"word": np.array([*seen], object), "n": np.array([*seen.values()], np.int64)})
 
     for rows in batches:
+        release()
         for text in rows["text"]:
             if not text:
                 continue
@@ -335,6 +336,7 @@ def with_spans(docs: DataFrame, guesses: float = GUESSES, text: str = "text", wo
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
     def found(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in scan(t, guesses, shared.value)] for t in texts], dtype=object)
 
     return docs.withColumn(name, found(F.col(text)))
@@ -347,6 +349,7 @@ def redact(docs: DataFrame, guesses: float = GUESSES, words: Dictionary = BUILT_
 
     @F.pandas_udf("string")
     def shown(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series([t and redacted(t, scan(t, guesses, shared.value)) for t in texts], dtype=object)
 
     out = docs.withColumn("text", shown("text"))
