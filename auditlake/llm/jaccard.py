@@ -7,9 +7,10 @@ which searches three, cannot find all links: its edges are candidates, beside wh
 
 No link is left to chance: in any one order of all shingles, two sets that alike share a shingle among the first fifth of
 each (and one more). The order puts shingles last that a sample finds often, so that a passage many texts share brings no
-candidates; it decides the time, never the result. Only distinct sets are searched, in three steps, so that a large group
+candidates; it decides the time, never the result. Only distinct sets are searched, in steps, so that a large group
 of near copies is joined before its members meet each other: the index's edges and each set's first shared shingle; then
-the members of a shingle that are in another component than its smallest or its largest set; then all pairs that are
+the members of a shingle that are in another component than its smallest or its largest set; then, in turns while many
+pairs are left, each such set with a few members of the largest components of its shingles; then all pairs that are
 still in different components, hot shingles in pairs of chunks, and only if sketches of their sets admit a link. A
 candidate is dropped where the parities of its sets, about a bit for each shingle, differ in more places than sets that
 are alike could; all others are verified on the whole sets, for which only the candidates' texts are read again.
@@ -36,6 +37,8 @@ ALIKE = (4, 5)
 SAMPLE, SEEN, FREQUENT = 16, 4, 200_000
 #: Members of a shingle in one chunk.
 CHUNK = 1024
+#: Members of larger components that a set meets in one turn, and turns at most; what they don't link is met by all pairs.
+PIVOTS, TURNS = 8, 4
 #: Places of a sketch.
 SKETCH = 256
 #: So many sets at most are sent to all tasks.
@@ -179,10 +182,14 @@ def _hopeful(a: str, b: str) -> Column:
     return F.least(left(a), left(b)) * sum(ALIKE) >= ALIKE[0] * (F.col(f"{a}.size") + F.col(f"{b}.size"))
 
 
+def _differ(a: str, b: str) -> Column:
+    """Places in which two sketches differ."""
+    return sum((F.bit_count(F.col(f"{a}.k{n}").bitwiseXOR(F.col(f"{b}.k{n}"))) for n in range(SKETCH // 64)), F.lit(0))
+
+
 def _unlike(a: str, b: str) -> Column:
     """Whether two sketches differ in more places than those of sets that are alike could."""
-    differ = sum((F.bit_count(F.col(f"{a}.k{n}").bitwiseXOR(F.col(f"{b}.k{n}"))) for n in range(SKETCH // 64)), F.lit(0))
-    return differ * sum(ALIKE) > (ALIKE[1] - ALIKE[0]) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+    return _differ(a, b) * sum(ALIKE) > (ALIKE[1] - ALIKE[0]) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -236,12 +243,43 @@ def linked(docs: DataFrame, sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
         known = components(edges)
         own = parts(known)
 
+    longs = [F.col("sketch")[n].alias(f"k{n}") for n in range(SKETCH // 64)]
+    sketches = sets.select("set", *longs)
+
+    def uneven() -> DataFrame:
+        """The members of shingles with several parts, with sketches, and ``n``, ``squares``: the members, and the sum of the parts' squares."""
+        per = own.groupBy("shingle", "part").agg(F.count("*").alias("m"))
+        groups = per.groupBy("shingle").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count("*").alias("parts")).filter("n > 2 and parts > 1")
+        some = own.join(groups.drop("parts"), "shingle").join(sketches, F.col("me.set") == F.col("set"))
+        return some.select("shingle", "part", "n", "squares", F.struct("me.*", *[f"k{n}" for n in range(SKETCH // 64)]).alias("me"))
+
+    # while more pairs are left than shared shingles: sets outside a shingle's largest parts and members of these, those of the likest sketches
+    enough, first = rows.count(), 0
+    for turn in range(TURNS):
+        apart = stored(uneven(), "apart")
+        pairs = apart.groupBy("shingle").agg(F.first(F.col("n") * F.col("n") - F.col("squares")).alias("pairs"))
+        if (pairs.agg(F.sum("pairs")).first()[0] or 0) <= 2 * enough:
+            break
+        salt = F.xxhash64("me.set", "shingle", F.lit(turn))
+        ends = apart.groupBy("shingle", "part", F.pmod(salt, F.lit(PIVOTS)).alias("salt")).agg(F.count("*").alias("m"), F.min_by("me", salt).alias("end"))
+        ends = ends.groupBy("shingle", "salt").agg(F.max(F.struct("m", "part", "end")).alias("most")).select("shingle", "most.part", "most.end").alias("ends")
+        near = apart.join(ends, "shingle").filter(apart.part != F.col("ends.part")).select("me", "end").filter(_hopeful("me", "end") & ~_unlike("me", "end"))
+        likest = F.slice(F.array_sort(F.collect_set(F.struct(_differ("me", "end").alias("by"), F.col("end.set").alias("set")))), 1, PIVOTS)
+        near = near.groupBy("me.set").agg(likest.alias("ends")).select(F.struct("set").alias("me"), F.explode("ends").alias("end"))
+        more = found(near.select(*_pair("me", "end")), met)
+        if not (links := more.count()):
+            break
+        edges = cut(edges.unionByName(more))
+        known = components(edges)
+        own = parts(known)
+        first = first or links
+        if 20 * links <= first:
+            break
+
     # all that are still in different parts, in pairs of chunks
-    apart = own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).filter("n > 2 and x <> y")
+    own = uneven()
     chunks = F.ceil(F.col("n") / chunk).cast("int")
-    own = own.join(apart.select("shingle", "n"), "shingle").select("shingle", "me", "part", chunks.alias("c")).withColumn("m", F.pmod(F.xxhash64("me.set"), F.col("c")).cast("int"))
-    longs = [F.col("sketch")[n].alias(f"k{n}") for n in range(SKETCH // 64)]
-    own = own.join(sets.select("set", *longs), F.col("me.set") == F.col("set")).withColumn("me", F.struct("me.*", *[f"k{n}" for n in range(SKETCH // 64)]))
+    own = own.select("shingle", "me", "part", chunks.alias("c")).withColumn("m", F.pmod(F.xxhash64("me.set"), F.col("c")).cast("int"))
     own = own.select("shingle", "me", "part", "c", "m", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
     a = own.select("shingle", F.col("m").alias("i"), F.col("o").alias("j"), F.col("me").alias("a"), F.col("part").alias("p"))
     b = own.select("shingle", F.col("o").alias("i"), F.col("m").alias("j"), F.col("me").alias("b"), F.col("part").alias("q"))

@@ -84,3 +84,24 @@ def test_repeated_and_missing_ids(spark):
     rows = [(3, a, "en"), (7, a, "en"), (7, b, "en"), (None, a, "en"), (None, c, "en"), (None, c, "en"), (None, c, "fr")]
     got = sorted((str(r.doc_id), r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, SHAPE)).collect())
     assert got == [("3", a), ("7", b), ("None", c)]
+
+
+def test_a_large_group_of_near_copies_forms_few_pairs(spark, monkeypatch):
+    """Copies of one text with edits of their own: components are linked by a few members, not by all pairs."""
+    met, whole = [], jaccard.verified
+
+    def counted(pairs, docs, sets):
+        met.append(pairs.count())
+        return whole(pairs, docs, sets)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(160)], []
+    for i in range(240):
+        w = list(base)
+        for at in rng.sample(range(160), rng.choice((1, 2, 3, 4))):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en"))
+    got = jaccard.keep_one(spark.createDataFrame(rows, SHAPE))
+    assert sorted(r.doc_id for r in got.collect()) == firsts_by_hand(rows)
+    assert sum(met) < 12 * len(rows)
