@@ -41,11 +41,12 @@ OBLIGATIONS = (
     "allowed", "cancelled", "exempt", "exemption", "may not", "must", "prohibit", "prohibited", "required", "requirement", "resumed", "suspended",
     "不得", "允许", "应当", "必须", "恢复", "暂停", "禁止", "要求", "豁免",
 )
+#: All begin with a digit, which the first part looks for before it tries the forms.
 FACTS = (
-    r"\d{4}[-/.年]\d{1,2}(?:[-/.月]\d{1,2}日?)?"
+    r"(?=[\d一二三四五六七八九十百千万])(?:\d{4}[-/.年]\d{1,2}(?:[-/.月]\d{1,2}日?)?"
     r"|\b\d{6,10}\b"
     r"|\d+(?:[.,]\d+)?\s*(?:%|％|percent|percentage points?|个百分点|欧元|美元|元|days?|天|日|个月|months?|years?|年)"
-    r"|[一二三四五六七八九十百千万]+(?:欧元|美元|元|天|日|个月|年)"
+    r"|[一二三四五六七八九十百千万]+(?:欧元|美元|元|天|日|个月|年))"
 )
 IDENTIFIERS = (
     r"\b(?:celex|docket|document|notice|regulation|directive|decision|rule)\s*(?:no\.?|number|id|:)?\s*(?=[a-z0-9./()_-]*\d)[a-z0-9][a-z0-9./()_-]{2,}\b"

@@ -137,8 +137,9 @@ def facts(text: Column) -> Column:
 
 
 def obligations(text: Column) -> Column:
-    low = F.lower(text_of(text))
-    return F.filter(F.array(*[F.lit(t) for t in sorted(K.OBLIGATIONS)]), lambda t: F.contains(low, t))
+    # the text is the outer function's item, so that it is lowered once, not for each term
+    terms = F.array(*[F.lit(t) for t in sorted(K.OBLIGATIONS)])
+    return F.transform(F.array(F.lower(text_of(text))), lambda low: F.filter(terms, lambda t: F.contains(low, t)))[0]
 
 
 def number_anchors(title: Column) -> Column:
