@@ -53,7 +53,8 @@ def f1(precision: Column, recall: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; null only if both are empty."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), None).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), None).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def confidence(score: Column, threshold: float) -> Column:

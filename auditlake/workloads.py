@@ -292,11 +292,12 @@ SELECT doc_id, other, len(list_intersect(w, v)) AS both, len(list_distinct(list_
 def jaccard_products(spark: SparkSession, d: str) -> DataFrame:
     """Word sets of neighbouring documents of a source: ids are paired first, then their sets joined."""
     docs = table(spark, d, "documents")
-    own = docs.select("doc_id", text.normalized_set(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
+    own = docs.select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("w"))  # words as they are found are normal
     p = common.previous_in(docs, "source", "doc_id").filter("previous is not null").withColumnRenamed("previous", "other")
     p = p.join(own, "doc_id").join(own.withColumnsRenamed({"doc_id": "other", "w": "v"}), "other")
     alike = F.round(score.jaccard(F.col("w"), F.col("v")), 9).alias("similarity")
-    return p.select("doc_id", "other", F.size(F.array_intersect("w", "v")).cast("long").alias("both"), F.size(F.array_union("w", "v")).cast("long").alias("either"), alike)
+    both = F.size(F.array_intersect("w", "v"))
+    return p.select("doc_id", "other", both.cast("long").alias("both"), (F.size("w") + F.size("v") - both).cast("long").alias("either"), alike)
 
 
 # -- receipts, coverage and health -----------------------------------------------------------------------------------
