@@ -421,9 +421,7 @@ CATEGORIES = ("new_unscored", "score_conflicts", "reset_changed", "reset_changed
 @query("SELECT [" + ", ".join(f"'{x}'" for x in CATEGORIES) + """][o_orderkey % 10 + 1] AS category, count(*) AS n, min('e' || o_orderkey) AS first, (SELECT count(*) FROM orders WHERE o_orderkey % 10 < 4) AS blockers, false AS ready FROM orders GROUP BY 1""")
 def worksheet_diff(spark: SparkSession, d: str) -> DataFrame:
     """Categories of a merged worksheet, and whether it may be calibrated from."""
-    merged = _worksheets(spark, d)
-    state = worksheet.ready(merged).select("ready", F.col("blockers").alias("blockers"))
-    return worksheet.incremental_diff(merged).select("category", "n", F.col("event_ids")[0].alias("first")).join(F.broadcast(state))
+    return worksheet.diff_summary(_worksheets(spark, d)).select("category", "n", "first", "ready", "blockers")
 
 
 @query("""WITH k AS (SELECT o_orderkey % 10 AS k FROM orders) SELECT count(*) AS record_count, count(*) FILTER (k IN (4, 5, 8, 9)) AS completed_score_breakdown_count, count(*) FILTER (k NOT IN (4, 5, 8, 9)) AS pending_score_breakdown_count,

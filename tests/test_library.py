@@ -240,6 +240,24 @@ def test_worksheet(spark):
     assert not worksheet.ready(worksheet.merge(fresh, old)).first().ready
 
 
+def test_worksheet_in_groups(spark):
+    """A record is one group of what its identifiers meet, and a diff needs no list of ids."""
+    s = "struct<" + ",".join(f"{d}:int" for d in K.BREAKDOWN) + ">"
+    shape = f"pos long, event_id string, semantic_aliases array<string>, reviewed_level string, score_breakdown {s}, score int, review_fingerprint string"
+    full, none = (1, 1, 1, 1, 1), (None,) * 5
+    # one is met by an alias and by its id, one by two rows of unlike scores, one by two of like scores, one has no id
+    fresh = spark.createDataFrame([(0, "a", ["x", "a"], "low", none, None, "f"), (1, "b", ["y"], "low", none, None, "f"), (2, "c", ["z"], "low", none, None, "f"), (3, None, None, "low", none, None, "f")], shape)
+    old = spark.createDataFrame([
+        (0, "x", [], "low", full, 5, "f"), (1, "a", ["x"], "low", full, 5, "f"), (2, "b", [], "low", full, 5, "f"), (3, "y", [], "low", full, 4, "f"), (4, "c", [], "low", full, 5, "f"), (5, "q", ["z"], "low", full, 5, "f"), (6, None, None, "low", full, 5, "f"),
+    ], shape)
+    merged = worksheet.merge(fresh, old)
+    got = sorted((str(r.event_id), r.merge_status, r.score) for r in merged.collect())
+    assert got == [("None", "new_unscored", None), ("None", "retained_existing_only", 5), ("a", "preserved_complete", 5), ("b", "existing_score_conflict_requires_review", None), ("c", "preserved_complete", 5)]
+    found = {r.category: (r.n, r["first"], r.blockers, r.ready) for r in worksheet.diff_summary(merged).collect()}
+    assert found == {"new_unscored": (1, None, 2, False), "score_conflicts": (1, "b", 2, False), "preserved_complete": (2, "a", 2, False), "retained_existing_only": (1, None, 2, False)}
+    assert "collect_list" not in worksheet.diff_summary(merged)._jdf.queryExecution().toString()
+
+
 def test_files(tmp_path, spark):
     base, new = tmp_path / "base.json", tmp_path / "new.json"
     files.write_whole(base, "old")
