@@ -45,7 +45,8 @@ SELECT doc_id, array_to_string(list_filter(list_transform(w, lambda x: regexp_re
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
     """Page text has its inner white space collapsed, evidence text keeps it; blank lines go from both."""
     c = F.replace(F.col("text"), F.lit(". "), F.lit("  \n "))
-    return table(spark, d, "documents").select("doc_id", text.content_lines(c).alias("page"), text.content_lines(c, inner=False).alias("evidence"))
+    common.small_batches(spark)
+    return table(spark, d, "documents").select("doc_id", udfs.both_lines(c).alias("x")).select("doc_id", "x.page", "x.evidence")
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(lower('  ' || p_name || '   ' || p_type || ' '), '\\s+', ' ', 'g')) AS spaced,

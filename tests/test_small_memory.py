@@ -24,3 +24,15 @@ def test_diff_summary(spark):
     finally:
         spark.conf.set(key, own)
     assert "unified_diff_summary" in workloads.QUERIES
+
+
+def test_both_lines(spark):
+    """Page and evidence lines from one reading are what the column functions give, on all kinds of white space and line ends."""
+    from auditlake.functions import text
+
+    breaks = ["\r\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    spaces = [" ", "\t", "\xa0", "\u1680", "\u2003", "\u202f", "\u205f", "\u3000", "\x1f"]
+    made = [f"{s}a{s}{s}b{s}{n}{n}{s}{n}c{s}d{n}" for n in breaks for s in spaces]
+    rows = spark.createDataFrame([(x,) for x in [*made, None, "", " ", "\n", "e\u0301\u200b x", "\ufeff y"]], "t string")
+    got = rows.select(udfs.both_lines("t").alias("x"), text.content_lines(F.col("t")).alias("page"), text.content_lines(F.col("t"), inner=False).alias("evidence")).collect()
+    assert [(r.x.page, r.x.evidence) for r in got] == [(r.page, r.evidence) for r in got]
