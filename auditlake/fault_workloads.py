@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.operators import validation
+from auditlake.operators.common import spread
 from auditlake.workloads import query, table
 
 GONE = object()
@@ -71,7 +72,7 @@ def planted(spark: SparkSession, d: str, document: dict, faults: list[Fault]) ->
     """report, raw and fault: a document with one fault for each customer."""
     texts = spark.createDataFrame([(n, changed(document, c)) for n, (c, _) in enumerate(faults)], "fault long, raw string")
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("report"), (F.col("c_custkey") % len(faults)).alias("fault"))
-    return c.join(F.broadcast(texts), "fault")
+    return spread(c, "report").join(F.broadcast(texts), "fault")  # a few bytes of customers become many of texts
 
 
 def told(rows: DataFrame, found: DataFrame) -> DataFrame:

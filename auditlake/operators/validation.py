@@ -373,47 +373,56 @@ def _strings(v: Column, name: str, some: bool = False) -> Column:
 
 def platform_rules(files: DataFrame) -> DataFrame:
     """What is wrong with platform files: their fields, routes, declared gaps, and aliases that two platforms claim."""
-    rows = files.select("report", F.try_parse_json("raw").alias("v"))
-    v, kinds = F.col("v"), tuple(K.ROUTE_ROLES)
-    gap = lambda k: F.try_variant_get(v, f"$.source_profile.known_gaps.{k}", "string")
-    routes = F.coalesce(F.try_variant_get(v, "$.official_routes", "array<variant>"), F.array().cast("array<variant>"))
-    has = lambda k: F.exists(routes, lambda r: F.try_variant_get(r, "$.source_type", "string").eqNullSafe(F.lit(k)))
+    kinds = tuple(K.ROUTE_ROLES)
+    parsed, v = files.select("report", F.try_parse_json("raw").alias("v")), F.col("v")
+    # each field is read once, into a table that all rules read
+    route = {n: "string" for n in ("source_type", "url", "route_id", "access", "evidence_role", "verification_status", "last_verified_on")}
+    of_route = lambda r: F.struct(*[get(r, n).alias(n) for n in route], get(r, "verify_before_use", "boolean").alias("verify_before_use"), (kind_of(r, "market_specific") == "BOOLEAN").alias("market_specific"), _strings(r, "markets", some=True).alias("bad_markets"))
+    rows = written(
+        parsed.select(
+            "report", get(v, "id").alias("id"), get(v, "display_name").alias("display_name"), F.try_variant_get(v, "$.source_profile.expected_source_types", "array<string>").alias("expected"),
+            F.try_variant_get(v, "$.aliases", "array<string>").alias("aliases"), F.transform(F.try_variant_get(v, "$.official_routes", "array<variant>"), of_route).alias("routes"),
+            *[_strings(v, name).alias(f"bad_{name}") for name in K.PLATFORM_LISTS], *[F.try_variant_get(v, f"$.source_profile.known_gaps.{k}", "string").alias(f"gap_{k}") for k in kinds],
+        )
+    )
+    gap = lambda k: F.col(f"gap_{k}")
+    routes = F.coalesce(F.col("routes.source_type"), F.array().cast("array<string>"))
+    has = lambda k: F.exists(routes, lambda r: r.eqNullSafe(F.lit(k)))
     at = lambda name: F.lit(name)
-    expected = F.try_variant_get(v, "$.source_profile.expected_source_types", "array<string>")
     every = F.array_sort(F.array(*[F.lit(k) for k in kinds]))
     root = [
-        (at("id"), "must be lowercase kebab-case", ~F.coalesce(get(v, "id").rlike(KEBAB), F.lit(False))),
-        (at("display_name"), "must be nonblank", ~F.coalesce(text.nonblank(get(v, "display_name")), F.lit(False))),
+        (at("id"), "must be lowercase kebab-case", ~F.coalesce(F.col("id").rlike(KEBAB), F.lit(False))),
+        (at("display_name"), "must be nonblank", ~F.coalesce(text.nonblank(F.col("display_name")), F.lit(False))),
         (at("official_routes"), "must not be empty", F.size(routes) == 0),
-        (at("source_profile.expected_source_types"), "must name all source types", ~F.coalesce(F.array_sort(F.array_distinct(expected)) == every, F.lit(False))),
-        *[(at(name), "must be an array of nonblank strings", _strings(v, name)) for name in K.PLATFORM_LISTS],
+        (at("source_profile.expected_source_types"), "must name all source types", ~F.coalesce(F.array_sort(F.array_distinct("expected")) == every, F.lit(False))),
+        *[(at(name), "must be an array of nonblank strings", F.col(f"bad_{name}")) for name in K.PLATFORM_LISTS],
         *[(at(f"official_routes.{k}"), "needs a route or a declared gap", ~has(k) & ~F.coalesce(text.nonblank(gap(k)), F.lit(False))) for k in kinds],
         *[(at(f"official_routes.{k}"), "cannot be both routed and a gap", has(k) & gap(k).isNotNull()) for k in kinds],
     ]
-    items = elements(rows, v, "official_routes", F.lit(""))
-    r, dot = F.col("item"), F.col("dot")
-    place = Window.partitionBy("report", get(r, "route_id")).orderBy("i")
-    items = items.withColumn("again", F.row_number().over(place) > 1)
-    role = F.element_at(F.create_map(*[F.lit(x) for pair in K.ROUTE_ROLES.items() for x in pair]), F.coalesce(get(r, "source_type"), F.lit("")))
-    status, verified_on = get(r, "verification_status"), get(r, "last_verified_on")
+    items = rows.select("report", F.posexplode("routes").alias("i", "item")).withColumn("dot", F.concat(F.lit("official_routes["), F.col("i").cast("string"), F.lit("].")))
+    items = items.withColumn("again", F.row_number().over(Window.partitionBy("report", F.col("item.route_id")).orderBy("i")) > 1)
+    of, dot = (lambda n: F.col(f"item.{n}")), F.col("dot")
+    role = F.element_at(F.create_map(*[F.lit(x) for pair in K.ROUTE_ROLES.items() for x in pair]), F.coalesce(of("source_type"), F.lit("")))
+    status, verified_on = of("verification_status"), of("last_verified_on")
     outside = lambda c, allowed: ~F.coalesce(c.isin(*allowed), F.lit(False))
     each = [
-        (F.concat(dot, F.lit("source_type")), "is not a known kind", outside(get(r, "source_type"), kinds)),
-        (F.concat(dot, F.lit("url")), "must be http(s)", ~F.coalesce(get(r, "url").rlike("^https?://"), F.lit(False))),
-        (F.concat(dot, F.lit("route_id")), "must be lowercase kebab-case", ~F.coalesce(get(r, "route_id").rlike(KEBAB), F.lit(False))),
-        (F.concat(dot, F.lit("route_id")), "must be unique", F.col("again") & get(r, "route_id").isNotNull()),
-        (F.concat(dot, F.lit("access")), "is not a known access", outside(get(r, "access"), K.ROUTE_ACCESS)),
-        (F.concat(dot, F.lit("evidence_role")), "must fit source_type", role.isNotNull() & ~get(r, "evidence_role").eqNullSafe(role)),
-        (F.concat(dot, F.lit("market_specific")), "must be boolean", ~F.coalesce(kind_of(r, "market_specific") == "BOOLEAN", F.lit(False))),
-        (F.concat(dot, F.lit("markets")), "must be nonblank strings", _strings(r, "markets", some=True)),
+        (F.concat(dot, F.lit("source_type")), "is not a known kind", outside(of("source_type"), kinds)),
+        (F.concat(dot, F.lit("url")), "must be http(s)", ~F.coalesce(of("url").rlike("^https?://"), F.lit(False))),
+        (F.concat(dot, F.lit("route_id")), "must be lowercase kebab-case", ~F.coalesce(of("route_id").rlike(KEBAB), F.lit(False))),
+        (F.concat(dot, F.lit("route_id")), "must be unique", F.col("again") & of("route_id").isNotNull()),
+        (F.concat(dot, F.lit("access")), "is not a known access", outside(of("access"), K.ROUTE_ACCESS)),
+        (F.concat(dot, F.lit("evidence_role")), "must fit source_type", role.isNotNull() & ~of("evidence_role").eqNullSafe(role)),
+        (F.concat(dot, F.lit("market_specific")), "must be boolean", ~F.coalesce(of("market_specific"), F.lit(False))),
+        (F.concat(dot, F.lit("markets")), "must be nonblank strings", of("bad_markets")),
         (F.concat(dot, F.lit("verification_status")), "must be verified or conditional", outside(status, ("verified", "conditional"))),
         (F.concat(dot, F.lit("last_verified_on")), "must be YYYY-MM-DD", (status == "verified") & ~F.coalesce(timing.valid_date(verified_on), F.lit(False))),
         (F.concat(dot, F.lit("last_verified_on")), "must be null unless verified", (status != "verified") & verified_on.isNotNull()),
-        (F.concat(dot, F.lit("verify_before_use")), "must be true for conditional routes", (status == "conditional") & ~F.coalesce(get(r, "verify_before_use", "boolean"), F.lit(False))),
+        (F.concat(dot, F.lit("verify_before_use")), "must be true for conditional routes", (status == "conditional") & ~F.coalesce(of("verify_before_use"), F.lit(False))),
     ]
-    names = F.array_distinct(F.transform(F.concat(F.array(get(v, "id"), get(v, "display_name")), F.coalesce(F.try_variant_get(v, "$.aliases", "array<string>"), F.array().cast("array<string>"))), lambda x: text.normalized(x)))
-    claimed = rows.select("report", F.explode(names).alias("alias")).filter("alias <> ''").withColumn("n", F.size(F.collect_set("report").over(Window.partitionBy("alias"))))
-    twice = claimed.filter("n > 1").select("report", F.lit("aliases").alias("location"), F.concat(F.lit("another platform also claims "), "alias").alias("message"))
+    names = F.array_distinct(F.transform(F.concat(F.array("id", "display_name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: text.normalized(x)))
+    claimed = rows.select("report", F.explode(names).alias("alias")).filter("alias <> ''")
+    shared = claimed.groupBy("alias").agg((F.min("report") != F.max("report")).alias("shared")).filter("shared")
+    twice = claimed.join(shared, "alias", "left_semi").select("report", F.lit("aliases").alias("location"), F.concat(F.lit("another platform also claims "), "alias").alias("message"))
     return found(rows, root).unionByName(found(items, each)).unionByName(twice)
 
 

@@ -104,3 +104,16 @@ def test_placed(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"), F.lit("a").alias("y")).repartition(7)
     assert [r.place for r in placed(rows, F.desc("x")).orderBy(F.desc("x")).collect()] == list(range(1, 1001))
     assert placed(rows.limit(0), F.col("x")).collect() == []
+
+
+def test_platforms_are_read_once(spark):
+    """Rules of platform files read a table of fields, not the files' texts; many files of one alias are no one list."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(300).select(F.col("id").cast("string").alias("report"), F.format_string('{"id": "p%d", "display_name": "P %d", "aliases": ["Shop"], "official_routes": [{"route_id": "r"}, null, {"route_id": "r"}]}', "id", "id").alias("raw"))
+    out = validation.platform_rules(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan.lower() and "collect_set" not in plan
+    got = out.groupBy("location", "message").count().collect()
+    assert {r["count"] for r in got if r.location in ("aliases", "official_routes[2].route_id")} == {300}
+    assert {r.message for r in got if r.location == "aliases"} == {"another platform also claims shop"}
