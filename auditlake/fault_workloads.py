@@ -68,11 +68,12 @@ def changed(document: dict, changes: dict) -> str:
     return json.dumps(out)
 
 
-def planted(spark: SparkSession, d: str, document: dict, faults: list[Fault]) -> DataFrame:
-    """report, raw and fault: a document with one fault for each customer."""
+def planted(spark: SparkSession, d: str, document: dict, faults: list[Fault], dealt: bool = False) -> DataFrame:
+    """report, raw and fault: a document with one fault for each customer; ``dealt`` over all tasks."""
     texts = spark.createDataFrame([(n, changed(document, c)) for n, (c, _) in enumerate(faults)], "fault long, raw string")
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("report"), (F.col("c_custkey") % len(faults)).alias("fault"))
-    return spread(c, "report").join(F.broadcast(texts), "fault")  # a few bytes of customers become many of texts
+    # a few bytes of customers become many of texts
+    return (spread(c, "report") if dealt else c).join(F.broadcast(texts), "fault")
 
 
 def told(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -319,7 +320,7 @@ PLATFORM_FAULTS: list[Fault] = [
 @query(counted(PLATFORM_FAULTS))
 def faults_platforms(spark: SparkSession, d: str) -> DataFrame:
     """Platform files, each with one fault; names are the customer's, so that no alias is claimed twice."""
-    rows = planted(spark, d, PLATFORM, PLATFORM_FAULTS)
+    rows = planted(spark, d, PLATFORM, PLATFORM_FAULTS, dealt=True)
     own = lambda c, old, new: F.replace(c, F.lit(f'"{old}"'), F.concat(F.lit(f'"{new}'), "report", F.lit('"')))
     raw = own(own(F.col("raw"), "acme", "acme"), "Acme", "Acme ")
     return told(rows, validation.platform_rules(rows.select("report", raw.alias("raw"))))
