@@ -93,6 +93,37 @@ def meet(a: DataFrame, b: DataFrame, key: str, least: int = 128, most: int = 409
     return left.repartition(n, "__k", "__c").join(right.repartition(n, "__k", "__c"), ["__k", "__c"]).select("a", "b")
 
 
+#: Rows of a key in one list, whose pairs with another list are formed at once; lists that travel together; parts of a key at most.
+LIST, TOGETHER, PARTS = 2048, 16, 16
+
+
+def listed(rows: DataFrame, key: str, of: Column, size: int | None = None) -> DataFrame:
+    """``key``, ``part`` and ``lists``: of each list ``x`` of a key's rows what ``of`` makes of it, in parts that travel.
+
+    Lists are short, as pairs of two are held at once. Parts are few, as each is copied for every part that it meets: what
+    is shuffled to meet another key is at most ``PARTS`` times the rows, however many pairs they form.
+    """
+    n = rows.groupBy(key).agg(F.ceil(F.count("*") / (size or LIST)).cast("int").alias("__n"))
+    own = F.struct(*[c for c in rows.columns if c != key])
+    rows = rows.join(n, key).withColumn("__list", F.pmod(F.xxhash64("pos"), F.col("__n")).cast("int"))
+    rows = rows.groupBy(key, "__n", "__list").agg(F.collect_list(own).alias("x"))
+    part = F.pmod(F.col("__list"), F.least(F.lit(PARTS), F.ceil(F.col("__n") / TOGETHER).cast("int")))
+    return rows.groupBy(key, part.alias("part")).agg(F.collect_list(of).alias("lists"))
+
+
+def unrolled(met: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """Pairs of a list of column ``a`` and one of ``b``, one a row; the rows that hold them are dealt to all tasks by ``keys``.
+
+    ``apart`` ends it: Spark's code of a stage would else keep all pairs of the lists of a row before it gives the first.
+    """
+    return apart(spread(met, *keys).drop(*keys).withColumn(a, F.explode(a)).withColumn(b, F.explode(b)))
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows, but what follows is not compiled into one loop with what is before, so rows pass one by one."""
+    return df.coalesce(1 << 20)
+
+
 def previous_in(rows: DataFrame, key: str, number: str, span: int = 100_000) -> DataFrame:
     """``key``, ``number`` and ``previous``, the next smaller number of the key; a key's numbers are ordered span by span."""
     rows = rows.select(key, number, F.floor(F.col(number) / span).alias("__s"))

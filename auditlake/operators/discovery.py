@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import ids, score, text, timing, udfs
-from auditlake.operators.common import meet, placed, spread, written
+from auditlake.operators.common import apart, listed, meet, placed, spread, unrolled, written
 from auditlake.operators.graph import components, constrained
 
 
@@ -167,11 +167,15 @@ def semantic_links(events: DataFrame) -> DataFrame:
 
     Events: pos, title, source_title, summary, authority, source_url, published_date, effective_date. Every rule needs an
     equal URL or a common identifier or an equal publication date with a common number, so pairs meet by those keys. Rules
-    are judged once for events that are alike in all of these, and their pairs formed from that.
+    are judged once for events that are alike in all of these. Classes then meet in lists of their events, and the pairs of
+    two lists are formed as they are read, so that no pair is shuffled.
     """
     rungs, own = _ladder(events)
-    a, b = own.select(F.col("class").alias("x"), F.col("pos").alias("a")), own.select(F.col("class").alias("y"), F.col("pos").alias("b"))
-    return rungs.join(a, "x").join(b, "y").filter("a < b").select("a", "b", "decision", "confidence")
+    lists = listed(own, "class", F.struct(F.col("x.pos").alias("pos"), F.array_min("x.pos").alias("least"), F.array_max("x.pos").alias("most")))
+    side = lambda c, name: lists.select(F.col("class").alias(c), F.col("part").alias(f"{name}n"), F.col("lists").alias(name))
+    met = unrolled(rungs.join(side("x", "p"), "x").join(side("y", "q"), "y"), "p", "q", "x", "pn", "y", "qn").filter("p.least < q.most")
+    near = apart(met.select(F.explode("p.pos").alias("a"), F.col("q.pos").alias("bs"), "decision", "confidence"))
+    return near.select("a", F.explode("bs").alias("b"), "decision", "confidence").filter("a < b")
 
 
 def semantic_edges(events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
-from auditlake.operators import applicability, discovery, validation
+from auditlake.operators import applicability, common, discovery, validation
 from auditlake.sources import feeds
 
 
@@ -101,3 +101,18 @@ def test_leads_meet_by_both_scopes(spark, monkeypatch):
     monkeypatch.setattr(discovery, "meet", lambda a, b, key: met.append((key, b.filter("pos >= 50").count())) or meet(a, b, key))
     assert {(r.a, r.b) for r in discovery.lead_links(leads).collect()} == expected and expected
     assert met == [("scope", 0), ("jurisdiction", 0), ("any", 0)]
+
+
+def test_pairs_of_classes_pass_no_join_event_by_event(spark, monkeypatch):
+    """Links of copies come from lists: what is shuffled last are rows of lists, and pairs are those of a plain loop."""
+    shape = "pos long, title string, source_title string, summary string, authority string, source_url string, published_date string, effective_date string"
+    rows = [(n, "t" * 9, "", "", "Council", f"https://a.eu/{n % 2}", "2026-07-01", "") for n in range(9000)]
+    links = discovery.semantic_links(spark.createDataFrame(rows, shape))
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join") and plan.index("RepartitionByExpression") < plan.index("Join")
+    assert links.count() == 2 * 4500 * 4499 // 2
+    few = rows[:300] + [(n, "t" * 9, "", "", "Court", "https://a.eu/1", "", "") for n in range(300, 310)]
+    monkeypatch.setattr(common, "LIST", 7)
+    got = sorted(tuple(r) for r in discovery.semantic_links(spark.createDataFrame(few, shape)).select("a", "b", "decision").collect())
+    sure = lambda x, y: x[4] == y[4] == "Council"
+    assert got == sorted((x[0], y[0], "automatic_duplicate" if sure(x, y) else "review_required") for x in few for y in few if x[0] < y[0] and x[5] == y[5])
