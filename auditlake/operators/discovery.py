@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions import ids, score, text, timing, udfs
-from auditlake.operators.common import apart, listed, meet, placed, spread, unrolled, written
+from auditlake.operators.common import apart, listed, meet, placed, spread, unrolled, written, written_small
 from auditlake.operators.graph import components, constrained
 
 
@@ -47,15 +47,17 @@ def lead_links(leads: DataFrame, threshold: float = K.CLUSTER_THRESHOLD) -> Data
     by_id = pick(named.alias("a").join(named.alias("b"), (F.col("a.identifier") == F.col("b.identifier")) & ordered), F.lit(0.95))
 
     def bound(name: str) -> Column:
-        x, y = F.length(F.col(f"a.{name}")), F.length(F.col(f"b.{name}"))
-        return F.when((x > 0) & (y > 0), 2 * F.least(x, y) / (x + y)).otherwise(0.0)
+        p, q = F.col(f"a.{name}_length"), F.col(f"b.{name}_length")
+        return F.when((p > 0) & (q > 0), 2 * F.least(p, q) / (p + q)).otherwise(0.0)
 
-    goods = F.when((F.size("a.goods") > 0) & (F.size("b.goods") > 0), score.jaccard(F.col("a.goods"), F.col("b.goods"))).otherwise(0.0)
+    filled = (F.size("a.goods") > 0) & (F.size("b.goods") > 0)
+    goods = F.when(filled & (F.col("a.goods") == F.col("b.goods")), 1.0).when(filled, score.jaccard(F.col("a.goods"), F.col("b.goods"))).otherwise(0.0)
     x, y, z = K.LEAD_WEIGHTS
     rows = rows.withColumn("any", F.pmod("pos", F.lit(1)))  # one key for all; a literal would make the join a product
     has = lambda c, weight: F.when(c, weight).otherwise(0.0)
     rows = rows.filter(has(F.length("claim") > 0, x) + has(F.length("title") > 0, y) + has(F.size("goods") > 0, z) >= threshold - 1e-9)
     rows = rows.withColumn("scope", F.when(F.col("jurisdiction").isNotNull() & F.col("platform").isNotNull(), F.to_json(F.struct("jurisdiction", "platform"))))
+    rows = rows.drop("url", "identifiers").withColumns({"claim_length": F.length("claim"), "title_length": F.length("title")})
     whole, known, loose = rows.filter("scope is not null"), rows.filter("jurisdiction is not null"), rows.filter("jurisdiction is null")
     pairs = meet(whole, whole, "scope").filter("a.pos < b.pos")
     first = F.col("a.pos") < F.col("b.pos")
@@ -63,16 +65,22 @@ def lead_links(leads: DataFrame, threshold: float = K.CLUSTER_THRESHOLD) -> Data
     for some, other, key, lacks in ((known.filter("platform is null"), known, "jurisdiction", "platform"), (loose, rows, "any", "jurisdiction")):
         met = meet(some, other, key).filter((F.col(f"b.{lacks}").isNotNull() & (F.col("a.pos") != F.col("b.pos"))) | first)
         pairs = pairs.union(met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")))
-    pairs = pairs.filter(ordered & (x * bound("claim") + y * bound("title") + z * goods >= threshold - 1e-9))
-    texts = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("pos", "claim", "title")]
-    least = (F.lit(threshold) - y * bound("title") - z * goods) / x
-    near = pairs.withColumn("most", udfs.seq_bound("a.claim", "b.claim", least))
-    near = near.filter(x * F.coalesce("most", F.lit(0.0)) + y * bound("title") + z * goods >= threshold - 1e-9)
-    near = spread(near.select(*texts, goods.alias("g")), "a_pos", "b_pos").withColumn("c", F.coalesce(udfs.seq_ratio("a_claim", "b_claim"), F.lit(0.0)))
-    p, q = F.length("a_title"), F.length("b_title")
-    still = x * F.col("c") + y * F.when((p > 0) & (q > 0), 2 * F.least(p, q) / (p + q)).otherwise(0.0) + z * F.col("g") >= threshold - 1e-9
-    near = near.filter(still).withColumn("t", udfs.seq_ratio("a_title", "b_title"))
-    by_text = near.select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"), (x * F.col("c") + y * F.coalesce("t", F.lit(0.0)) + z * F.col("g")).alias("similarity"))
+    # all pairs pass this filter, so it has no array functions
+    pairs = pairs.filter(ordered & (x * bound("claim") + y * bound("title") + F.when(filled, z).otherwise(0.0) >= threshold - 1e-9)).withColumn("g", goods)
+    # where the claims are the titles, what bounds the one bounds the other; else the title's bound follows the claim's
+    same = (F.col("a.claim") == F.col("a.title")) & (F.col("b.claim") == F.col("b.title"))
+    texts = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("pos", "claim")]
+    titles = [F.when(~same, F.col(f"{s}.title")).alias(f"{s}_title") for s in ("a", "b")]
+    near = pairs.select(*texts, *titles, "g", same.alias("same"), bound("title").alias("titles"))
+    g, same, zero = F.col("g"), F.col("same"), F.lit(0.0)
+    reach = lambda claim: x * F.coalesce(claim, zero) + y * F.coalesce(F.when(same, claim).otherwise(F.col("titles")), zero) + z * g >= threshold - 1e-9
+    near = near.withColumn("claims", udfs.seq_bound("a_claim", "b_claim", F.when(same, (threshold - z * g) / (x + y)).otherwise((threshold - y * F.col("titles") - z * g) / x)))
+    near = near.filter(reach(F.col("claims"))).withColumn("titles", udfs.seq_bound("a_title", "b_title", (threshold - x * F.coalesce("claims", zero) - z * g) / y))
+    near = written_small(near.filter(reach(F.col("claims"))).drop("claims"))
+    near = spread(near, "a_pos", "b_pos").withColumn("c", udfs.seq_ratio("a_claim", "b_claim"))
+    near = near.filter(reach(F.col("c"))).withColumn("t", udfs.seq_ratio("a_title", "b_title"))
+    c, t = F.coalesce("c", zero), F.coalesce(F.when(same, F.col("c")).otherwise(F.col("t")), zero)
+    by_text = near.select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"), (x * c + y * t + z * g).alias("similarity"))
     return by_url.union(by_id).union(by_text).filter(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
@@ -87,6 +95,7 @@ def cluster(leads: DataFrame, threshold: float = K.CLUSTER_THRESHOLD) -> DataFra
 def prioritize(leads: DataFrame, cutoff: str, regions: Sequence[str] = (), platforms: Sequence[str] = (), products: Sequence[str] = (), minimum: int = K.MINIMUM_PRIORITY, threshold: float = K.CLUSTER_THRESHOLD) -> DataFrame:
     """A row a cluster in order of priority; ``qualified`` marks those from ``minimum`` up, ``weak_signal`` the first if none is."""
     array = lambda xs, f: F.array(*[f(F.lit(x)) for x in xs]).cast("array<string>")
+    leads = written(leads)  # scores, nodes and each kind of links read them
     at = timing.instant(F.lit(cutoff))
     asked, goods = array(products, F.lower), F.transform(F.concat("products", "hs_codes"), F.lower)
     region = F.lit(not regions) | F.array_contains(array(regions, text.canonical_scope), text.canonical_scope(F.col("jurisdiction")))
